@@ -146,14 +146,14 @@ def _enough(min_reviews: int, min_share: float) -> Column:
 
 
 def select_languages(
-    text: DataFrame, min_reviews: int = 50, min_share: float = 1.0, keys: Sequence[str] = ()
+    text: DataFrame, min_reviews: int = 100, min_share: float = 1.0, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Languages with enough reviews or a large enough share for tables of their own."""
     return _languages(text, keys).filter(_enough(min_reviews, min_share))
 
 
 def text_corpus_overview(
-    text: DataFrame, keys: Sequence[str] = (), min_reviews: int = 50, min_share: float = 1.0, scope: str = "global"
+    text: DataFrame, keys: Sequence[str] = (), min_reviews: int = 100, min_share: float = 1.0, scope: str = "global"
 ) -> DataFrame:
     """Size, vocabulary and length of the corpus; with scope `by_language` once per language in `keys`."""
     context = [c for c in ("app_id", "game_slug", "game_title") if c in text.columns and c not in keys]
