@@ -23,19 +23,26 @@ def _sums(df: DataFrame, group: Sequence[str], categories: Sequence[str], tokens
         hits = X.quoted(f"{c}_count")
         parts += [
             F.sum(hits).alias(f"{c}__hits"),
-            F.sum(X.quoted(f"{c}_per_100_tokens")).alias(f"{c}__rates"),
+            F.sum(F.round(X.quoted(f"{c}_per_100_tokens") * 1_000_000).cast("bigint")).alias(f"{c}__rates"),
             F.count_if(hits > 0).alias(f"{c}__reviews"),
         ]
     return df.groupBy(*group).agg(*parts)
 
 
+def _mean_rate(c: str) -> Column:
+    """Mean of the six-place rates. They are summed as whole millionths, so the order of the rows cannot matter."""
+    n = F.col("review_count")
+    millionths = F.expr(f"(2 * `{c}__rates` + review_count) div (2 * nullif(review_count, 0))")
+    return F.when(n > 0, millionths / 1_000_000)
+
+
 def _finish(sums: DataFrame, group: Sequence[str], categories: Sequence[str], matches: str) -> DataFrame:
     n = F.col("review_count")
     shown = []
     for c in categories:
         shown += [
             F.round(F.try_divide(X.quoted(f"{c}__hits"), n), 6).alias(f"{c}_mean_count"),
-            F.round(F.try_divide(X.quoted(f"{c}__rates"), n), 6).alias(f"{c}_mean_per_100_tokens"),
+            _mean_rate(c).alias(f"{c}_mean_per_100_tokens"),
             X.pct(X.quoted(f"{c}__reviews"), n).alias(f"{c}_review_share"),
         ]
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("review_count", "total_tokens", matches)]
@@ -73,7 +80,7 @@ def distribution(
             X.quoted(f"{c}__reviews").alias(f"reviews_with_{name}"),
             X.pct(X.quoted(f"{c}__reviews"), n).alias(f"review_share_with_{name}"),
             F.round(F.try_divide(X.quoted(f"{c}__hits"), n), 6).alias("mean_count_per_review"),
-            F.round(F.try_divide(X.quoted(f"{c}__rates"), n), 6).alias("mean_per_100_tokens"),
+            _mean_rate(c).alias("mean_per_100_tokens"),
         )
         for c in categories
     ]

@@ -29,7 +29,8 @@ def _bucket(v: Column) -> Column:
 
 def _centre(b: Column) -> Column:
     """A point inside bucket `b`; moments are summed around it to keep full precision."""
-    return F.signum(b.cast("double")) * (F.pow(F.lit(2.0), F.abs(b) / _PER_OCTAVE) - 1)
+    b = b.cast("double")
+    return F.signum(b) * (F.pow(F.lit(2.0), F.abs(b) / _PER_OCTAVE) - 1)
 
 
 # Group columns travel packed in one struct: a struct of nulls still equals itself in a plain equi-join, so all steps

@@ -23,7 +23,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def parse_pages(df: DataFrame, column: str = "value") -> DataFrame:
     """Pages that arrive as JSON text in a column; the other columns stay."""
     others = [c for c in df.columns if c != column]
-    return df.select(*others, F.from_json(column, S.page_schema()).alias("page")).select(*others, "page.*")
+    return df.select(*others, F.from_json(column, S.page_schema()).alias("__page")).select(*others, "__page.*")
 
 
 def cast_raw(column: str, value: Column) -> Column:

@@ -56,7 +56,7 @@ def write_json_records(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """A report table as CSV with header; quotes are doubled, so texts with newlines survive."""
-    writer = df.write.mode("overwrite").options(header=True, escape='"')
+    writer = df.write.mode("overwrite").options(header=True, escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
