@@ -12,7 +12,8 @@ from gleaner.sources import schema as S
 DAY, WEEK, MONTH, YM = (
     "review_created_date_day", "review_created_date_week", "review_created_date_month", "review_created_year_month",
 )
-WS = rf"[{K.WHITESPACE_CLASS}]"
+_SPACES = "".join(rf"\x{{{p:x}}}" for p in K.WHITESPACE_POINTS)
+WS = f"[{_SPACES}]"
 TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_''-]*[\p{L}\p{N}_])?"
 DIGITS = r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}]+"
 _CHARS = " || ".join(f"chr({p})" for p in K.WHITESPACE_POINTS)
@@ -90,7 +91,7 @@ def derived(source: str) -> str:
   round((timestamp_dev_responded - timestamp_created)::double / 86400, 3) as days_to_developer_response,
   length({text})::bigint as review_length_chars,
   length(regexp_replace({text}, '{WS}+', '', 'g'))::bigint as review_length_chars_no_spaces,
-  len(regexp_extract_all({text}, '[^{K.WHITESPACE_CLASS}]+'))::bigint as review_length_words,
+  len(regexp_extract_all({text}, '[^{_SPACES}]+'))::bigint as review_length_words,
   (length(review) - length(replace(review, chr(10), '')) + 1)::bigint as review_length_lines,
   {', '.join(f"strftime({ts(c)}, '%Y-%m-%d') as {n}_date" for c, n in _TIMES.items())},
   year({ts('timestamp_created')})::bigint as review_created_year,

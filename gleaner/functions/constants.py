@@ -36,10 +36,9 @@ WHITESPACE_POINTS = [
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]
 WHITESPACE = "".join(map(chr, WHITESPACE_POINTS))
-# The same set as a regular-expression class body.
-WHITESPACE_CLASS = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# A run of anything else. The engine's own Unicode class lacks the four separators; a hand-written class of all code
+# points gives the same words but matches ten times slower.
+WORD_PATTERN = r"(?U)[\S&&[^\x1c-\x1f]]+"
 
 # A token is word characters, with apostrophes and hyphens allowed inside. Possessive repeats, as no shorter match is
 # ever wanted; the plain ASCII ranges first, as they are tested fastest.

@@ -77,11 +77,10 @@ def add_times(df: DataFrame) -> DataFrame:
 def add_lengths(df: DataFrame) -> DataFrame:
     """Characters, characters without whitespace, words and lines. Only the lines of a missing text are null."""
     text = F.coalesce(F.col("review"), F.lit(""))
-    gap, word = f"[{K.WHITESPACE_CLASS}]+", f"[^{K.WHITESPACE_CLASS}]+"
     return df.withColumns({
         "review_length_chars": F.length(text).cast("bigint"),
-        "review_length_chars_no_spaces": F.length(F.regexp_replace(text, gap, "")).cast("bigint"),
-        "review_length_words": F.regexp_count(text, F.lit(word)).cast("bigint"),
+        "review_length_chars_no_spaces": F.length(F.translate(text, K.WHITESPACE, "")).cast("bigint"),
+        "review_length_words": F.regexp_count(text, F.lit(K.WORD_PATTERN)).cast("bigint"),
         "review_length_lines": (F.regexp_count(F.col("review"), F.lit("\n")) + 1).cast("bigint"),
     })
 
