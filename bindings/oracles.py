@@ -490,7 +490,7 @@ def oracle_sql() -> dict[str, str]:
     o["daily_volume"], o["weekly_volume"] = running(DAY, "day"), running(WEEK, "week")
     three = f"over (order by {MONTH} rows between 2 preceding and current row)"
     o["monthly_volume_extended"] = running(MONTH, "month", ", count(distinct steamid) as unique_reviewers",
-        f", round(avg(review_count) {three}, 4) as review_count_rolling_mean_3m, round(avg(positive_percentage) {three}, 4) as positive_percentage_rolling_mean_3m")
+        f", round(avg(review_count) {three}, 4) as review_count_rolling_mean_3m, ((2 * sum(round(positive_percentage * 10000)::bigint) {three} + count(positive_percentage) {three}) // (2 * count(positive_percentage) {three}))::double / 10000 as positive_percentage_rolling_mean_3m")
     trends = f"""select *, round(positive_reviews::double / nullif(negative_reviews, 0), 4) as positive_negative_ratio,
       round(positive_percentage - lag(positive_percentage) over (order by {MONTH}), 4) as positive_percentage_change_vs_previous_month
       from (select {MONTH}, {POLARITY} from c group by {MONTH})"""

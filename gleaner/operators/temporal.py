@@ -95,6 +95,13 @@ def _change(column: str, w) -> Column:
     return F.col(column) - F.lag(column).over(w)
 
 
+def _mean_of_percentages(column: str, w) -> Column:
+    """Mean of four-place percentages, halves rounded up exactly: computed in whole ten-thousandths."""
+    total = F.sum(F.round(F.col(column) * 10_000).cast("bigint")).over(w)
+    n = F.count(column).over(w)
+    return F.when(n > 0, F.floor((2 * total + n) / (2 * n)) / 10_000)
+
+
 def _running(df: DataFrame, period: str, unit: str, keys: Sequence[str]) -> DataFrame:
     """Running total, change of count and change of percentage against the previous row (gaps are not filled)."""
     w = _in_time(keys, period)
@@ -140,7 +147,7 @@ def monthly_volume_extended(df: DataFrame, keys: Sequence[str] = ()) -> DataFram
     three = _in_time(keys, MONTH).rowsBetween(-2, 0)
     return _running(volume, MONTH, "month", keys).withColumns({
         "review_count_rolling_mean_3m": F.round(F.avg("review_count").over(three), 4),
-        "positive_percentage_rolling_mean_3m": F.round(F.avg("positive_percentage").over(three), 4),
+        "positive_percentage_rolling_mean_3m": _mean_of_percentages("positive_percentage", three),
     })
 
 
