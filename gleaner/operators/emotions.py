@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import constants as K
@@ -29,37 +30,49 @@ def enrich_with_emotions(
 ) -> DataFrame:
     """Matched tokens, and hits and hits per 100 tokens for each emotion.
 
-    A lexicon of checked size becomes hash sets inside a projection: no join, no shuffle, and rows need no id. A larger
-    one is joined to the exploded tokens, and the counts per review come back by `ids`, which must then be unique.
+    A lexicon of checked size becomes a constant lookup table inside a projection: no join, no shuffle, and rows need no
+    id. A larger one is joined to the exploded tokens, and the counts per review come back by `ids`, which must then be
+    unique.
     """
-    lexicon = lexicon.filter(F.col("emotion").isin(K.EMOTIONS)).select("word", "emotion").distinct()
-    rows = rows_if_small(lexicon, small)
-    counted = _count_in_place(text, rows) if rows is not None else _count_by_join(text, lexicon, ids)
+    lexicon = lexicon.filter(F.col("emotion").isin(K.EMOTIONS))
+    bit = F.element_at(F.create_map(*[F.lit(x) for i, e in enumerate(K.EMOTIONS) for x in (e, 1 << i)]), F.col("emotion"))
+    words = lexicon.groupBy("word").agg(F.bit_or(bit).alias("bits"))
+    rows = rows_if_small(words.select("word", "bits", _slot(F.col("word")).alias("slot")), small)
+    counted = _count_in_place(text, rows) if rows is not None else _count_by_join(text, words, ids)
     return counted.withColumns({f"{e}_per_100_tokens": C.rate(e, TOKENS) for e in K.EMOTIONS})
 
 
-def _count_in_place(text: DataFrame, rows: Sequence) -> DataFrame:
-    words = {e: sorted({r.word for r in rows if r.emotion == e}) for e in K.EMOTIONS}
-    every = sorted({r.word for r in rows})
+_SLOTS = 4096
+
+
+def _slot(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(_SLOTS)) + 1
+
 
-    def hits(column: str, wanted: Sequence[str]):
-        if not wanted:
-            return F.lit(0).cast("bigint")
-        return F.expr(f"cast(size(filter({column}, t -> t in ({X.sql_list(wanted)}))) as bigint)")
+def _has(emotion: str) -> Callable[[Column], Column]:
+    return lambda bits: bits.bitwiseAND(1 << K.EMOTIONS.index(emotion)) != 0
 
-    found = f"filter(tokens, t -> t in ({X.sql_list(every)}))" if every else "array()"
-    matched = text.withColumn("__matched", F.expr(found))
-    return matched.withColumns({
-        MATCHES: F.size("__matched").cast("bigint"), **{f"{e}_count": hits("__matched", words[e]) for e in K.EMOTIONS}
-    }).drop("__matched")
+
+def _count_in_place(text: DataFrame, rows: Sequence) -> DataFrame:
+    """The words sit in 4096 small maps by their hash, so a token is compared with a handful of words only. The table
+    is one JSON constant that the optimizer parses once."""
+    slots: list[dict[str, int]] = [{} for _ in range(_SLOTS)]
+    for r in rows:
+        slots[r.slot - 1][r.word] = r.bits
+    table = F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,int>>")
+    found = F.filter(
+        F.transform("tokens", lambda t: F.element_at(table, _slot(t))[t]), lambda bits: bits.isNotNull()
+    )
+    return text.withColumn("__bits", found).withColumns({
+        MATCHES: F.size("__bits").cast("bigint"),
+        **{f"{e}_count": F.size(F.filter("__bits", _has(e))).cast("bigint") for e in K.EMOTIONS},
+    }).drop("__bits")
 
 
-def _count_by_join(text: DataFrame, lexicon: DataFrame, ids: Sequence[str]) -> DataFrame:
-    by_word = lexicon.groupBy("word").agg(F.collect_set("emotion").alias("emotions"))
+def _count_by_join(text: DataFrame, words: DataFrame, ids: Sequence[str]) -> DataFrame:
     tokens = text.select(*ids, F.explode("tokens").alias("word"))
-    counts = tokens.join(by_word, "word").groupBy(*ids).agg(
-        F.count(F.lit(1)).alias(MATCHES),
-        *[F.count_if(F.array_contains("emotions", e)).alias(f"{e}_count") for e in K.EMOTIONS],
+    counts = tokens.join(words, "word").groupBy(*ids).agg(
+        F.count(F.lit(1)).alias(MATCHES), *[F.count_if(_has(e)(F.col("bits"))).alias(f"{e}_count") for e in K.EMOTIONS]
     )
     out = X.join_on(text, counts, ids)
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in (MATCHES, *[f"{e}_count" for e in K.EMOTIONS])})
