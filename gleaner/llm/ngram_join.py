@@ -33,7 +33,7 @@ from gleaner.llm.storage import shuffle_width, written
 
 #: Shingles of this many texts or more form one frequency class; it is also the size from which a batch combines them.
 HOT = 64
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 LOW48 = np.uint64((1 << 48) - 1)
 
 # kind 0: shingles of a fragment; 1: shared shingles of texts; 2: partial overlap of u and v; 3: one row per text.
@@ -154,36 +154,38 @@ def shingle_rows(batches: Iterator[pa.RecordBatch], fragments: int, width: int,
 
 def fragment_rows(batches: Iterator[pa.RecordBatch], fragments: int, per_mille: int) -> Iterator[pa.RecordBatch]:
     """Fragments to partial overlaps and shared shingles; other rows pass."""
-    row, size, hashes, heavy = [], [], [], []
+    blocks: dict[int, list[tuple[bytes, bytes, bytes, bytes]]] = {}
     for batch in batches:
         kind = batch.column("kind").to_numpy()
         rest = np.flatnonzero(kind != 0)
         if len(rest):
             yield batch.take(pa.array(rest))
-        blocks = batch.take(pa.array(np.flatnonzero(kind == 0)))
-        for key, a, b, c, d in zip(*(blocks.column(x).to_pylist() for x in ("key", "a", "b", "c", "d"))):
+        own = batch.take(pa.array(np.flatnonzero(kind == 0)))
+        for key, *parts in zip(*(own.column(x).to_pylist() for x in ("key", "a", "b", "c", "d"))):
+            blocks.setdefault(key, []).append(tuple(parts))
+    while blocks:
+        key, parts = blocks.popitem()
+        row, size, hashes, heavy = [], [], [], []
+        for a, b, c, d in parts:
             count, n = np.frombuffer(b, np.int32).reshape(2, -1)
             row.append(np.repeat(np.frombuffer(a, np.int64), count))
             size.append(np.repeat(n, count))
             low = np.zeros((len(row[-1]), 8), np.uint8)
             low[:, :6] = np.frombuffer(c, np.uint8).reshape(-1, 6)
-            hashes.append(low.view(np.uint64).ravel() | (np.uint64(key) << np.uint64(48)))
+            hashes.append(low.view(np.uint64).ravel())
             heavy.append(np.zeros(len(row[-1]), np.int32))
             heavy[-1][np.frombuffer(d, np.int32)] = HOT - 1
-    if not row:
-        return
-    row, size, hashes, heavy = (np.concatenate(x) for x in (row, size, hashes, heavy))
-    order = np.lexsort((row, hashes))
-    starts, lengths = _runs(hashes[order])
-    weight = np.add.reduceat(heavy[order], starts) + lengths
-    listed = np.repeat(lengths, lengths) > 1
-    at = order[listed]
-    inside = lengths[lengths > 1]
-    yield _stars(row[at], size[at], np.repeat(np.cumsum(inside) - inside, inside), per_mille)
-    shared = np.repeat(weight, lengths) > 1
-    at = order[shared]
-    level = np.minimum(np.repeat(weight, lengths)[shared], HOT).astype(np.uint8)
-    yield _shared_blocks(row[at], hashes[at], level, fragments)
+        del parts
+        row, size, hashes, heavy = (np.concatenate(x) for x in (row, size, hashes, heavy))
+        order = np.lexsort((row, hashes))
+        starts, lengths = _runs(hashes[order])
+        weight = np.add.reduceat(heavy[order], starts) + lengths
+        at = order[np.repeat(lengths > 1, lengths)]
+        inside = lengths[lengths > 1]
+        yield _stars(row[at], size[at], np.repeat(np.cumsum(inside) - inside, inside), per_mille)
+        at = order[np.repeat(weight > 1, lengths)]
+        level = np.minimum(np.repeat(weight, lengths)[np.repeat(weight > 1, lengths)], HOT).astype(np.uint8)
+        yield _shared_blocks(row[at], hashes[at], level, fragments)
 
 
 SURVIVOR = "row long, n int, rare array<long>, shared binary"
@@ -192,7 +194,7 @@ SURVIVOR = "row long, n int, rare array<long>, shared binary"
 def surviving_rows(batches: Iterator[pa.RecordBatch], per_mille: int) -> Iterator[pa.RecordBatch]:
     """Texts with enough shared shingles, with the rarest of them that two linked texts cannot both avoid, and all of them.
 
-    The blocks of fragments keep 48 bits and the fragment of a hash, combined shingles all 64; both are cut to 48 here.
+    Blocks of fragments have the 48 low bits of a hash, combined shingles all 64; here 48 are used of either.
     """
     sizes, row, hashes, level = [], [], [], []
     for batch in batches:
@@ -262,7 +264,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, fragments
     those with a null doc_id in a group without any other.
     """
     texts, found = _groups(docs, similarity, width, fragments)
-    first = found.filter("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min_by("__row", F.struct("doc_id", "__row")).alias("__first"))
+    first = found.filter("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("__first"))
     dropped = found.join(first, "component_id").filter("n_shingles > 0 and __row <> __first").select("__row")
     return texts.join(dropped, "__row", "left_anti").select(*docs.columns)
 
