@@ -4,20 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import ngram_join, sql
+from gleaner.llm import ngram_join, packing, sql, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), spaces="dropped", end_id=2, window=4096)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = token_store.write(docs, public_tokenizers.path("byte_bpe_50k.json"), spaces="leading", end_id=0)
+    found = token_store.read(spark, folder, docs.select("doc_id"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write(table(spark, sf_dir, "pages"), least_bytes=0)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"), similarity=0.8, width=5)
 
 
-QUERIES = [op9_ngram_jaccard_join]
+QUERIES = [op2_packing, op3_token_store, op4_warc, op9_ngram_jaccard_join]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -17,4 +17,20 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id
 from documents d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by 1) c using (doc_id)
 """
 
-ORACLES = {"op9_ngram_jaccard_join": JACCARD_JOIN}
+WARC = r"""
+with p as (
+  select page_id, encode(coalesce(html, '')) as b from pages
+), d as (
+  select page_id, octet_length(b) as payload_bytes, sha1(b) as h, sha256(b) as s from p
+), g as (
+  select s, max(page_id) as response from d group by s
+)
+select d.page_id, d.payload_bytes::bigint as payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+    lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * i + 1)::int, 5))::int >> k) & 31) + 1, 1)), '')), '') as payload_digest,
+  case when d.page_id = g.response then 'response' else 'revisit' end as record_type,
+  case when d.page_id = g.response then null else g.response end as refers_to
+from d join g using (s)
+"""
+
+ORACLES = {"op4_warc": WARC, "op9_ngram_jaccard_join": JACCARD_JOIN}
