@@ -17,8 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     shared storage. Links from a node to itself and repeated links are harmless; an empty table gives no rows.
     """
     down = written(_pointing_down(links).distinct(), "links")
-    seen = None
-    while True:
+    while not _stars(down):
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
@@ -26,13 +25,18 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         down = written(_pointing_down(small.unionByName(least.select("u", F.col("low").alias("v")))).distinct(), "links")
-        mark = down.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
     roots = down.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return down.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
 def _pointing_down(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
+
+
+def _stars(down: DataFrame) -> bool:
+    """Whether every node either has one link down, to a node that has none, or none itself."""
+    ends = down.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
+        down.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root"))
+    )
+    bad = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up > 1 or (up = 1 and root = 1)")
+    return bad.isEmpty()

@@ -8,8 +8,10 @@ holds the posting lists of its shingles and works alone:
    lists, and a large group of near copies is linked to its first text without forming pairs within the group.
 2. A fragment also knows which shingles no other text has. A text can only link if enough of its shingles are shared, so
    most texts leave here. The others get their shared shingles back with their frequency class.
-3. For the texts that remain, rarest shingles first, two linked texts must share one of the first `shared - needed + 1` ones.
-   Pairs that share one, and are not yet in one component, are compared exactly. Together with 1 this finds every component.
+3. Texts that remain and agree in a smallest shingle of either of two orders are likely near copies: within such a group one
+   walks from text to text along exactly compared links.
+4. For all texts that remain, rarest shingles first, two linked texts must share one of the first `shared - needed + 1` ones.
+   Pairs that share one, and are not yet in one component, are compared exactly. Together with 1 and 3 this finds every component.
 
 A shingle that many texts of one batch share is combined there: one text goes on in the name of all, so that a posting list
 holds at most `HOT` texts of each batch. Neither texts nor links nor components are ever collected.
@@ -30,14 +32,17 @@ from pyspark.sql import functions as F
 from gleaner.llm import words as W
 from gleaner.llm.graph import components
 from gleaner.llm.storage import shuffle_width, written
+from gleaner.llm.vectors import groups
 
 #: Shingles of this many texts or more form one frequency class; it is also the size from which a batch combines them.
 HOT = 64
 BATCH_BYTES = 8 << 20
+#: Texts of a group that are compared in one go.
+GROUP_ROWS = 2048
 LOW48 = np.uint64((1 << 48) - 1)
 
-# kind 0: shingles of a fragment; 1: shared shingles of texts; 2: partial overlap of u and v; 3: one row per text.
-ROWS = "kind byte, key int, u long, v long, nu int, nv int, n long, k0 long, k1 long, a binary, b binary, c binary, d binary"
+# kind 0: shingles of a fragment; 1: shared shingles of texts; 2: partial overlaps of pairs; 3: one row per text.
+ROWS = "kind byte, key int, u long, doc_id long, nu int, k0 long, k1 long, a binary, b binary, c binary, d binary"
 COLUMNS = [x.split()[0] for x in ROWS.split(", ")]
 TYPES = {"byte": pa.int8(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 SCHEMA = pa.schema([(x.split()[0], TYPES[x.split()[1]]) for x in ROWS.split(", ")])
@@ -51,6 +56,8 @@ def _table(height: int, **columns) -> pa.RecordBatch:
             arrays.append(pa.nulls(height, field.type))
         elif isinstance(value, (int, np.integer)):
             arrays.append(pa.array(np.full(height, value), field.type))
+        elif isinstance(value, pa.Array):
+            arrays.append(value.cast(field.type))
         elif isinstance(value, np.ndarray) and value.dtype == np.uint64:
             arrays.append(pa.array(value.view(np.int64), field.type))
         else:
@@ -91,16 +98,30 @@ def _shared_blocks(row: np.ndarray, hashes: np.ndarray, level: np.ndarray, width
     return _table(len(starts), kind=1, key=bucket[starts], a=a, b=b, c=c, d=d)
 
 
-def _stars(row: np.ndarray, sizes: np.ndarray, start_of: np.ndarray, per_mille: int) -> pa.RecordBatch:
-    """Partial overlaps of each posting list's first text with its others. Lists lie in a row; `start_of` is each entry's first."""
+def _stars(row: np.ndarray, sizes: np.ndarray, start_of: np.ndarray, per_mille: int, width: int) -> pa.RecordBatch:
+    """Partial overlaps of each posting list's first text with its others, one block per bucket of texts.
+
+    Lists lie in a row; `start_of` is where each entry's list begins. Pairs whose sizes are too different are left out.
+    """
     hub = row[start_of]
     hub_n, other_n = sizes[start_of], sizes
     fits = (hub != row) & (1000 * np.minimum(hub_n, other_n).astype(np.int64) >= per_mille * np.maximum(hub_n, other_n).astype(np.int64))
-    hub, other, hub_n, other_n = hub[fits], row[fits], hub_n[fits], other_n[fits]
-    order = np.lexsort((other, hub))
-    hub, other, hub_n, other_n = hub[order], other[order], hub_n[order], other_n[order]
-    starts, counts = _runs(hub, other)
-    return _table(len(starts), kind=2, key=_bucket(other[starts], 1 << 30), u=hub[starts], v=other[starts], nu=hub_n[starts], nv=other_n[starts], n=counts)
+    columns = _summed(hub[fits], row[fits], hub_n[fits], other_n[fits], np.ones(int(fits.sum()), np.int64))
+    bucket = _bucket(columns[1], width)
+    order = np.argsort(bucket, kind="stable")
+    columns, bucket = [c[order] for c in columns], bucket[order]
+    starts, lengths = _runs(bucket)
+    cut = lambda c, kind: [c[s: s + n].astype(kind).tobytes() for s, n in zip(starts, lengths)]
+    hub, other, hub_n, other_n, counts = columns
+    return _table(len(starts), kind=2, key=bucket[starts], a=cut(hub, np.int64), b=cut(other, np.int64), c=cut(hub_n.astype(np.int64) << 32 | other_n, np.int64), d=cut(counts, np.int64))
+
+
+def _summed(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """One row per pair, its counts added up."""
+    order = np.lexsort((v, u))
+    u, v, nu, nv, n = (x[order] for x in (u, v, nu, nv, n))
+    starts, _ = _runs(u, v)
+    return [u[starts], v[starts], nu[starts], nv[starts], np.add.reduceat(n, starts) if len(starts) else n]
 
 
 def shingle_rows(batches: Iterator[pa.RecordBatch], fragments: int, width: int, per_mille: int) -> Iterator[pa.RecordBatch]:
@@ -114,7 +135,7 @@ def shingle_rows(batches: Iterator[pa.RecordBatch], fragments: int, width: int,
         if len(hashes):
             k0[some] = np.add.reduceat(W.mix(hashes ^ W.PLACES[3]), cuts[some])
             k1[some] = np.add.reduceat(W.mix(hashes + W.PLACES[4]), cuts[some])
-        yield _table(len(row), kind=3, key=_bucket(row, fragments), u=row, nu=counts.astype(np.int32), k0=k0, k1=k1)
+        yield _table(len(row), kind=3, key=_bucket(row, fragments), u=row, doc_id=table["doc_id"].combine_chunks(), nu=counts.astype(np.int32), k0=k0, k1=k1)
         if not len(hashes):
             continue
         owner = np.repeat(row, counts)
@@ -130,7 +151,7 @@ def shingle_rows(batches: Iterator[pa.RecordBatch], fragments: int, width: int,
             in_hot = np.repeat(hot, lengths)
             at = order[in_hot]
             place = np.concatenate([[0], np.cumsum(lengths[hot])])[:-1]
-            yield _stars(owner[at], size[at], np.repeat(place, lengths[hot]), per_mille)
+            yield _stars(owner[at], size[at], np.repeat(place, lengths[hot]), per_mille, fragments)
             others = order[in_hot & (np.arange(len(order)) != first)]
             keep[others] = False
             weight[order[starts[hot]]] = HOT
@@ -182,13 +203,23 @@ def fragment_rows(batches: Iterator[pa.RecordBatch], fragments: int, per_mille:
         weight = np.add.reduceat(heavy[order], starts) + lengths
         at = order[np.repeat(lengths > 1, lengths)]
         inside = lengths[lengths > 1]
-        yield _stars(row[at], size[at], np.repeat(np.cumsum(inside) - inside, inside), per_mille)
+        yield _stars(row[at], size[at], np.repeat(np.cumsum(inside) - inside, inside), per_mille, fragments)
         at = order[np.repeat(weight > 1, lengths)]
         level = np.minimum(np.repeat(weight, lengths)[np.repeat(weight > 1, lengths)], HOT).astype(np.uint8)
         yield _shared_blocks(row[at], hashes[at], level, fragments)
 
 
-SURVIVOR = "row long, n int, rare array<long>, shared binary"
+def proven_links(batches: Iterator[pa.RecordBatch], per_mille: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose summed partial overlaps reach the threshold."""
+    found = [[np.frombuffer(x, np.int64) for x in row] for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in "abcd"))]
+    if found:
+        u, v, sizes, n = (np.concatenate(x) for x in zip(*found))
+        u, v, nu, nv, n = _summed(u, v, sizes >> 32, sizes & 0xFFFFFFFF, n)
+        good = 1000 * n >= per_mille * (nu + nv - n)
+        yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(v[good])], names=["u", "v"])
+
+
+SURVIVOR = "row long, n int, rare array<long>, shared binary, keys array<long>"
 
 
 def surviving_rows(batches: Iterator[pa.RecordBatch], per_mille: int) -> Iterator[pa.RecordBatch]:
@@ -220,17 +251,59 @@ def surviving_rows(batches: Iterator[pa.RecordBatch], per_mille: int) -> Iterato
     order = np.lexsort((hashes, level, own))
     own, hashes = own[order], hashes[order]
     starts, lengths = _runs(own)
+    if not len(starts):
+        return
+    keys = np.stack([np.minimum.reduceat(W.mix(hashes ^ W.PLACES[i]), starts).view(np.int64) for i in (2, 5)], axis=1)
     for i in range(0, len(starts), 1024):
         some = slice(i, i + 1024)
         who = own[starts[some]]
         first = [hashes[s: s + m - k + 1].view(np.int64) for s, m, k in zip(starts[some], lengths[some], needed[who])]
         every = [np.sort(hashes[s: s + m]).tobytes() for s, m in zip(starts[some], lengths[some])]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[who]), pa.array(n[who].astype(np.int32)), pa.array(first, pa.list_(pa.int64())), pa.array(every, pa.binary())],
-            names=["row", "n", "rare", "shared"],
+            [pa.array(ids[who]), pa.array(n[who].astype(np.int32)), pa.array(first, pa.list_(pa.int64())), pa.array(every, pa.binary()), pa.array(list(keys[some]), pa.list_(pa.int64()))],
+            names=["row", "n", "rare", "shared", "keys"],
         )
 
 
+def walked_links(frames: Iterator[pd.DataFrame], per_mille: int) -> Iterator[pd.DataFrame]:
+    """Components within groups of texts that are likely near copies, by walking along exactly compared links.
+
+    From a reached text one goes on to all texts not yet reached that link with it, so a text that was reached is not compared
+    with others that were.
+    """
+    for _, group in groups(frames, ["key", "block"]):
+        group = group.drop_duplicates("row")
+        if len(group) < 2:
+            continue
+        sets = [np.frombuffer(x, np.uint64) for x in group["shared"]]
+        rows, n = group["row"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
+        s = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), s)
+        open_ = np.ones(len(sets), bool)
+        u, v = [], []
+        for root in range(len(sets)):
+            if not open_[root]:
+                continue
+            reached, open_[root] = [root], False
+            while reached and open_.any():
+                at = reached.pop()
+                # no more can be common than either shares with anybody
+                able = open_ & ((1000 + per_mille) * np.minimum(s, s[at]) >= per_mille * (n + n[at]))
+                if not able.any():
+                    continue
+                use = able[owner]
+                some, whose = flat[use], owner[use]
+                place = np.minimum(np.searchsorted(sets[at], some), len(sets[at]) - 1)
+                both = np.bincount(whose[sets[at][place] == some], minlength=len(sets))
+                near = np.flatnonzero(able & (1000 * both >= per_mille * (n + n[at] - both)))
+                open_[near] = False
+                reached += near.tolist()
+                u += rows[near].tolist()
+                v += [rows[at]] * len(near)
+        if u:
+            yield pd.DataFrame({"u": u, "v": v})
+
+
 def overlaps(frames: Iterator[pd.DataFrame], per_mille: int) -> Iterator[pd.DataFrame]:
     """Pairs whose exact overlap reaches the threshold."""
     for f in frames:
@@ -247,14 +320,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, fr
     takes part; its component is the smallest non-null one of its group, or null if it has none. `docs` needs `doc_id` and
     `text`; its other columns are kept, unless they have the names of the two new ones, which replace them.
     """
-    texts, found = _groups(docs, similarity, width, fragments)
+    texts = written(_numbered(docs), "texts")
     kept = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
-    return texts.join(found, "__row").select(*kept, "n_shingles", "component_id")
+    found = _groups(texts, similarity, width, fragments).select("__row", "n_shingles", "component_id")
+    return texts.select("__row", *kept).join(found, "__row").select(*kept, "n_shingles", "component_id")
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, fragments: int | None = None) -> DataFrame:
     """`(doc_id, n_shingles, component_id)` per row of `docs`; see `near_duplicates`."""
-    return _groups(docs, similarity, width, fragments)[1].drop("__row")
+    return _groups(_numbered(docs), similarity, width, fragments).drop("__row")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, fragments: int | None = None) -> DataFrame:
@@ -263,43 +337,66 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, fragments
     The one with the smallest doc_id stays, of several rows with it the first. Rows without shingles all stay, and so do
     those with a null doc_id in a group without any other.
     """
-    texts, found = _groups(docs, similarity, width, fragments)
-    first = found.filter("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("__first"))
-    dropped = found.join(first, "component_id").filter("n_shingles > 0 and __row <> __first").select("__row")
+    texts = written(_numbered(docs), "texts")
+    found = written(_groups(texts, similarity, width, fragments), "groups")
+    usable = found.filter("n_shingles > 0 and component_id is not null")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    first = usable.groupBy("component_id").agg(F.min_by("__row", order).alias("__first"))
+    dropped = usable.join(first, "component_id").filter("__row <> __first").select("__row")
     return texts.join(dropped, "__row", "left_anti").select(*docs.columns)
 
 
-def _groups(docs: DataFrame, similarity: float, width: int, fragments: int | None) -> tuple[DataFrame, DataFrame]:
-    spark = docs.sparkSession
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__row", F.monotonically_increasing_id())
+
+
+def _groups(texts: DataFrame, similarity: float, width: int, fragments: int | None) -> DataFrame:
+    """`__row, doc_id, n_shingles, component_id` of `texts (__row, doc_id, text)`, which are read once."""
+    spark = texts.sparkSession
     fragments = fragments or shuffle_width(spark)
     per_mille = round(1000 * similarity)
-    texts = docs.withColumn("__row", F.monotonically_increasing_id())
-    source = texts.select(F.col("__row").alias("row"), "text")
+    source = texts.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     made = source.mapInArrow(lambda x: shingle_rows(x, fragments, width, per_mille), ROWS)
     # the fragment's number is its partition; other rows only pass
     parts = made.repartition(fragments, "key").mapInArrow(lambda x: fragment_rows(x, fragments, per_mille), ROWS)
     parts = written(parts, "fragments")
-    ids = parts.filter("kind = 3").select(F.col("u").alias("__row"), F.col("nu").alias("n"), "k0", "k1")
+    ids = parts.filter("kind = 3").select(F.col("u").alias("__row"), "doc_id", F.col("nu").alias("n"), "k0", "k1")
 
-    sums = parts.filter("kind = 2").groupBy("u", "v", "nu", "nv").agg(F.sum("n").alias("n"))
-    stars = sums.filter(1000 * F.col("n") >= per_mille * (F.col("nu") + F.col("nv") - F.col("n"))).select("u", "v")
+    # links that sums of partial overlaps prove, and equal sets
+    sums = parts.filter("kind = 2").select("key", "a", "b", "c", "d").repartition(fragments, "key")
+    stars = sums.select("a", "b", "c", "d").mapInArrow(lambda x: proven_links(x, per_mille), "u long, v long")
     first = ids.filter("n > 0").groupBy("k0", "k1", "n").agg(F.min("__row").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     copies = written(ids.join(first, ["k0", "k1", "n"]).select(F.col("__row").alias("u"), "v").filter("u <> v"), "copies")
-    near = written(components(stars.unionByName(copies)), "near")
 
+    # texts that can link at all, one of each equal set
     blocks = parts.filter("kind in (1, 3)").select(*COLUMNS)
     survivors = blocks.repartition(fragments, "key").mapInArrow(lambda x: surviving_rows(x, per_mille), SURVIVOR)
     survivors = written(survivors, "survivors")
-    one_each = survivors.select("row", "n", "rare").join(copies.select(F.col("u").alias("row")), "row", "left_anti")
-    placed = one_each.join(near.select(F.col("node").alias("row"), "component"), "row", "left")
-    rare = placed.select("row", "n", F.coalesce("component", "row").alias("component"), F.explode("rare").alias("shingle"))
+    one_each = survivors.join(copies.select(F.col("u").alias("row")), "row", "left_anti")
+
+    # links within groups of likely near copies; a large group is cut into blocks that share its first text
+    keyed = one_each.select("row", "n", "shared", F.explode("keys").alias("key"))
+    crowd = survivors.select("row", F.explode("keys").alias("key")).groupBy("key").agg(F.min("row").alias("first"), F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("blocks")).filter("blocks > 1")
+    # written, so that the planner knows its size and broadcasts it only if that is small
+    keyed = keyed.join(written(crowd, "crowded"), "key", "left")
+    own = F.coalesce(F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"), F.lit(0))
+    keyed = keyed.withColumn("block", F.explode(F.when(F.col("row") == F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+    keyed = keyed.select("key", "block", "row", "n", "shared").repartition(fragments, "key", "block").sortWithinPartitions("key", "block")
+    walked = keyed.mapInPandas(lambda x: walked_links(x, per_mille), "u long, v long")
+    near = written(components(stars.unionByName(copies).unionByName(walked)), "near")
+
+    # Pairs of different components that share one of their rarest shingles. What two texts have in common from there on is
+    # at most what either has left, so their first common shingle lies where both have enough left.
+    placed = one_each.select("row", "n", "rare", (F.octet_length("shared") / 8).cast("int").alias("s")).join(near.select(F.col("node").alias("row"), "component"), "row", "left")
+    rare = placed.select("row", "n", "s", F.coalesce("component", "row").alias("component"), F.posexplode("rare").alias("at", "shingle"))
+    rare = rare.select("row", "n", "component", "shingle", (F.col("s") - F.col("at")).alias("left"))
     mixed = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
     open_ = written(rare.join(mixed, "shingle"), "open")
-    other = open_.select("shingle", F.col("row").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-    pairs = open_.select("shingle", F.col("row").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu")).join(other, "shingle").filter(
+    mine, other = (open_.select("shingle", *[F.col(c).alias(n) for c, n in zip(("row", "n", "component", "left"), (x, f"n{x}", f"c{x}", f"l{x}"))]) for x in "uv")
+    pairs = mine.join(other, "shingle").filter(
         (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))
-        & (1000 * F.least("nu", "nv").cast("long") >= per_mille * F.greatest("nu", "nv"))
+        & ((1000 + per_mille) * F.least("lu", "lv").cast("long") >= per_mille * (F.col("nu").cast("long") + F.col("nv")))
     )
     pairs = written(pairs.select("u", "v", "nu", "nv").distinct(), "pairs")
     sets = survivors.select("row", "shared")
@@ -308,8 +405,7 @@ def _groups(docs: DataFrame, similarity: float, width: int, fragments: int | Non
 
     links = near.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late)
     placed = components(links).select(F.col("node").alias("__row"), "component")
-    numbers = texts.select("__row", "doc_id")
-    every = ids.select("__row", F.col("n").alias("n_shingles")).join(numbers, "__row").join(placed, "__row", "left")
+    every = ids.select("__row", "doc_id", F.col("n").cast("long").alias("n_shingles")).join(placed, "__row", "left")
     every = written(every.withColumn("component", F.coalesce("component", "__row")), "placed")
     named = every.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return texts, every.join(named, "component").select("__row", "doc_id", F.col("n_shingles").cast("long"), "component_id")
+    return every.join(named, "component").select("__row", "doc_id", "n_shingles", "component_id")
