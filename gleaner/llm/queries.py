@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import ngram_join, packing, sql, token_store, warc
+from gleaner.llm import ball_search, language_id, mixing, multi_index, ngram_join, packing, pii, quality, sql, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names, bundles = language_id.prototypes(docs.filter(~language_id.held_out("doc_id", 3, 1)))
+    return language_id.predict(docs, names, bundles).select("doc_id", language_id.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), spaces="dropped", end_id=2, window=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
@@ -32,11 +38,35 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), similarity=0.93)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats, model = quality.fit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~language_id.held_out("doc_id", 5, 0))
+    return quality.scored(stats, model, threshold=0.3).select("doc_id", language_id.held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op8_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"), similarity=0.8, width=5)
 
 
-QUERIES = [op2_packing, op3_token_store, op4_warc, op9_ngram_jaccard_join]
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0)
+
+
+QUERIES = [
+    op1_language_id, op2_packing, op3_token_store, op4_warc, op5_pii, op6_multi_index, op7_quality, op8_ball_search,
+    op9_ngram_jaccard_join, op10_mixing,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

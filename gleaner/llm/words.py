@@ -57,6 +57,13 @@ def _hash_piece(data: np.ndarray, at_doc_start: np.ndarray) -> tuple[np.ndarray,
     return starts, mix(np.add.reduceat(values, starts))
 
 
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Where the words of one text begin."""
+    space = IS_SPACE[data]
+    before = np.append(True, space[:-1]) if len(space) else space
+    return np.flatnonzero(~space & before)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) and the number of words per text."""
     starts_at = np.zeros(len(data) + 1, dtype=bool)
