@@ -13,6 +13,10 @@ MEMO_WORDS = 1 << 20
 ENCODE_AT_ONCE = 4096
 
 
+#: White space other than the blank and the line break, and the separators that only some libraries take for white space.
+OTHER_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 class WordMemo:
     """Encodes texts as the tokenizer would, but each distinct word only once.
 
@@ -35,77 +39,65 @@ class WordMemo:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for i in range(0, len(texts), ENCODE_AT_ONCE) for e in self.tokenizer.encode_batch(texts[i: i + ENCODE_AT_ONCE], add_special_tokens=False)]
+        self.used = self.entries = 0
 
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), ENCODE_AT_ONCE):
-            some = words[i: i + ENCODE_AT_ONCE]
-            as_text = [w if w[0] == "\n" else " " + w for w in some] if self.leading else some
-            found = self._plain(as_text)
+    def _store(self, texts: list[str]) -> range:
+        """Encodes texts and keeps their ids; the numbers of their entries."""
+        first = self.entries
+        for i in range(0, len(texts), ENCODE_AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch(texts[i: i + ENCODE_AT_ONCE], add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            need, at = self.used + int(lengths.sum()), len(self.place)
+            need, entries = self.used + int(lengths.sum()), self.entries + len(found)
             while need > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while at + len(some) > len(self.starts):
+            while entries > len(self.starts):
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
                 self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.ids[self.used: need] = list(chain.from_iterable(found))
-            self.starts[at: at + len(some)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[at: at + len(some)] = lengths
-            self.place.update(zip(some, range(at, at + len(some))))
-            self.used = need
+            self.ids[self.used: need] = np.fromiter(chain.from_iterable(found), np.uint32, need - self.used)
+            self.starts[self.entries: entries] = self.used + np.cumsum(lengths) - lengths
+            self.lengths[self.entries: entries] = lengths
+            self.used, self.entries = need, entries
+        return range(first, self.entries)
+
+    def _learn(self, words: list[str]) -> None:
+        # a first word, marked by a blank behind it, has no space before it
+        as_text = [w[:-1] if w[-1] == " " else w if w[0] == "\n" else " " + w for w in words] if self.leading else words
+        self.place.update(zip(words, self._store(as_text)))
 
     def _words(self, text: str) -> list[str] | None:
-        """The words to look up; None if the text has to be encoded whole. With leading spaces, the first word is left out."""
-        words = text.split()
+        """The words to look up; None if the text has to be encoded whole."""
         if not self.leading:
-            return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else words
-        if words != text.replace("\n", " ").split(" "):
+            return None if any(c in text for c in OTHER_SPACES[4:8]) else text.split()
+        lines = text.replace("\n", " \n")
+        if not text or "  " in lines or "\n " in lines or lines[0] == " " or lines[-1] in " \n" or any(c in text for c in OTHER_SPACES):
             return None
-        return text.replace("\n", " \n").split(" ")[1:]
+        words = lines.split(" ")
+        words[0] += " "
+        return words
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and their number per text."""
-        if len(self.place) > MEMO_WORDS:
+        if self.entries > MEMO_WORDS:
             self._clear()
         words = [self._words(t) for t in texts]
-        # what is encoded without the memo: whole texts, and the first words that have no space before them
-        heads = [t if w is None else t[: _first_end(t)] if self.leading else "" for t, w in zip(texts, words)]
-        coded = iter(self._plain([h for h in heads if h]))
-        head_ids = [next(coded) if h else [] for h in heads]
-        flat = list(chain.from_iterable(w or () for w in words))
-        get = self.place.get
-        at = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            missing = [flat[i] for i in new.tolist()]
+        flat = list(chain.from_iterable(w if w is not None else ("",) for w in words))  # an empty word stands for a whole text
+        at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            missing = [w for w in map(flat.__getitem__, new) if w]
             self._learn(list(dict.fromkeys(missing)))
-            at[new] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(missing))
+            at[new] = [self.place.get(flat[i], -1) for i in new]
+        entries, used = self.entries, self.used
+        at[at < 0] = self._store([t for t, w in zip(texts, words) if w is None])
         lengths = self.lengths[at]
-        counts = np.fromiter((len(w or ()) for w in words), np.int64, len(words))
-        word_text = np.repeat(np.arange(len(texts)), counts)
-        head_n = np.fromiter(map(len, head_ids), np.int64, len(head_ids))
-        body_n = np.bincount(word_text, weights=lengths, minlength=len(texts)).astype(np.int64)
-        total = head_n + body_n
-        out = np.empty(int(total.sum()), np.uint32)
-        starts = np.cumsum(total) - total
-        # the words' ids follow the head of their text
-        before = np.cumsum(lengths) - lengths
-        shift = (starts + head_n) - (np.cumsum(body_n) - body_n)
-        target = np.repeat(before + shift[word_text] - before, lengths) + np.arange(int(lengths.sum()))
-        source = np.repeat(self.starts[at] - before, lengths) + np.arange(int(lengths.sum()))
-        out[target] = self.ids[source]
-        for s, ids in zip(starts[head_n > 0].tolist(), (x for x in head_ids if x)):
-            out[s: s + len(ids)] = ids
-        return out, total
-
-
-def _first_end(text: str) -> int:
-    ends = [i for i in (text.find(" "), text.find("\n")) if i >= 0]
-    return min(ends, default=len(text))
+        ends = np.cumsum(lengths)
+        source = np.repeat(self.starts[at] - (ends - lengths), lengths)
+        source += np.arange(len(source))
+        out = self.ids[source]
+        counts = np.fromiter((1 if w is None else len(w) for w in words), np.int64, len(words))
+        upto = np.append(0, ends)[np.append(0, np.cumsum(counts))]
+        self.entries, self.used = entries, used  # whole texts are not remembered
+        return out, np.diff(upto)
 
 
 @lru_cache(maxsize=2)
