@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 from itertools import chain, repeat
 
@@ -12,6 +13,16 @@ import numpy as np
 MEMO_WORDS = 1 << 20
 ENCODE_AT_ONCE = 4096
 
+#: A line break, Latin letters that have one lower-case form of one code point, marks; a blank marks a first word.
+PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*) ?")
+#: Byte-level vocabularies write each byte as a visible character: itself, or the next free one from 256 on.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in VISIBLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in VISIBLE)}
+
+
+def _as_bytes(text: str) -> str:
+    return text if text.isascii() else text.encode().decode("latin-1").translate(BYTES)
+
 
 #: White space other than the blank and the line break, and the separators that only some libraries take for white space.
 OTHER_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -31,6 +42,7 @@ class WordMemo:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.leading = {"leading": True, "dropped": False}[spaces]
         self._clear()
 
@@ -45,24 +57,46 @@ class WordMemo:
         """Encodes texts and keeps their ids; the numbers of their entries."""
         first = self.entries
         for i in range(0, len(texts), ENCODE_AT_ONCE):
-            found = [e.ids for e in self.tokenizer.encode_batch(texts[i: i + ENCODE_AT_ONCE], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            need, entries = self.used + int(lengths.sum()), self.entries + len(found)
-            while need > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while entries > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.ids[self.used: need] = np.fromiter(chain.from_iterable(found), np.uint32, need - self.used)
-            self.starts[self.entries: entries] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[self.entries: entries] = lengths
-            self.used, self.entries = need, entries
+            self._keep([e.ids for e in self.tokenizer.encode_batch(texts[i: i + ENCODE_AT_ONCE], add_special_tokens=False)])
         return range(first, self.entries)
 
+    def _keep(self, found: list[list[int]]) -> range:
+        first, lengths = self.entries, np.fromiter(map(len, found), np.int64, len(found))
+        need, entries = self.used + int(lengths.sum()), self.entries + len(found)
+        while need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while entries > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.ids[self.used: need] = np.fromiter(chain.from_iterable(found), np.uint32, need - self.used)
+        self.starts[first: entries] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first: entries] = lengths
+        self.used, self.entries = need, entries
+        return range(first, entries)
+
     def _learn(self, words: list[str]) -> None:
+        plain = list(map(self._plain, words))
+        simple = [(w, ids) for w, ids in zip(words, plain) if ids is not None]
+        self.place.update(zip((w for w, _ in simple), self._keep([ids for _, ids in simple])))
+        rest = [w for w, ids in zip(words, plain) if ids is None]
         # a first word, marked by a blank behind it, has no space before it
-        as_text = [w[:-1] if w[-1] == " " else w if w[0] == "\n" else " " + w for w in words] if self.leading else words
-        self.place.update(zip(words, self._store(as_text)))
+        as_text = [w[:-1] if w[-1] == " " else w if w[0] == "\n" else " " + w for w in rest] if self.leading else rest
+        self.place.update(zip(rest, self._store(as_text)))
+
+    def _plain(self, word: str) -> list[int] | None:
+        """The ids of a word of Latin letters, perhaps with marks behind it: its pieces need no normaliser or splitter."""
+        m = PLAIN.fullmatch(word)
+        if not m:
+            return None
+        line, letters, marks = m.groups()
+        if self.leading:
+            before = "" if word[-1] == " " else BYTES[10] if line else BYTES[32]
+            pieces = ([before] if line else []) + [("" if line else before) + _as_bytes(letters)]
+        else:
+            pieces = [_as_bytes(letters.lower())]
+        if marks:
+            pieces.append(marks)
+        return [t.id for p in pieces for t in self.model.tokenize(p)]
 
     def _words(self, text: str) -> list[str] | None:
         """The words to look up; None if the text has to be encoded whole."""
