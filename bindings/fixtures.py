@@ -115,16 +115,13 @@ select k + 1000000000 as seq, {body} from {source} where k % 10 = 0
 
 # ---------------------------------------------------------------- Spark side
 
-# Tables of long texts, whose rows are expensive to process.
-_HEAVY = {"documents"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; its time zone-less timestamps become instants under the UTC session zone."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in _HEAVY and len(df.inputFiles()) < spark.sparkContext.defaultParallelism:
-        # The small given table is one file with one row group, that is one task; many files stay as they are.
+    if name == "documents" and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        # The scan's own splits do not fill the cores: a table of less than a split per core, whose single row group is one
+        # task. A large table, in however few files, has more splits than cores and is read as it is.
         df = df.repartition(spark.sparkContext.defaultParallelism)
     return df.withColumns({c: df[c].cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 

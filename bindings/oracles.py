@@ -172,6 +172,12 @@ def rates_by(flags: list[str]) -> str:
         f"count(*) as {f}_review_count, {trues(f)} as {f}_true_count, {pct(trues(f), 'count(*)')} as {f}_percentage"
         for f in flags
     )
+def others(column, labels):
+    return f"count(*) filter (where {column} not in ({', '.join(q(x) for x in labels)})) as other"
+
+
+def others(column: str, labels: list[str]) -> str:
+    return f"count(*) filter (where {column} not in ({', '.join(q(x) for x in labels)})) as other"
 
 
 def bands_by(column: str, labels: list[str], prefix: bool = True) -> str:
@@ -475,7 +481,7 @@ def oracle_sql() -> dict[str, str]:
             for p, f in ((1, 0.01), (5, 0.05), (10, 0.10)))}
           from (select {c}::double as v, row_number() over (order by {c} desc) as place, count(*) over () as n from c where {c} is not null)"""
         for c in describe.CONCENTRATION_VARIABLES)
-    o["cross_tab"] = f"""{NUM} select coalesce(language, 'unknown') as language, {bands_by('num_reviews_band', K.REVIEWER_LABELS, False)} from c group by 1"""
+    o["cross_tab"] = f"""{NUM} select coalesce(language, 'unknown') as language, {bands_by('num_reviews_band', K.REVIEWER_LABELS, False)}, {others('num_reviews_band', K.REVIEWER_LABELS)} from c group by 1"""
     o["xtab_language"], o["xtab_playtime"] = xtab("language"), xtab("playtime_at_review_band")
     o["xtab_reviewer"], o["xtab_library"] = xtab("num_reviews_band"), xtab("num_games_owned_band")
     o["monthly_review_volume"] = f"{NUM} select {YM}, {POLARITY} from c group by {YM}"
@@ -483,7 +489,7 @@ def oracle_sql() -> dict[str, str]:
     # E. temporal tables
     o["numeric_by_period"] = f"{NUM} select {WEEK}, {stats_by(['playtime_forever', 'votes_up'])} from c where {WEEK} is not null group by {WEEK}"
     o["flag_rate_by_period"] = f"{NUM} select {WEEK}, {rates_by(['has_comments', 'is_free_copy'])} from c where {WEEK} is not null group by {WEEK}"
-    o["period_crosstab"] = f"{NUM} select coalesce(developer_responded_date_month, 'unknown') as developer_responded_date_month, {bands_by('playtime_at_review_band', K.PLAYTIME_LABELS, False)} from c group by 1"
+    o["period_crosstab"] = f"{NUM} select coalesce(developer_responded_date_month, 'unknown') as developer_responded_date_month, {bands_by('playtime_at_review_band', K.PLAYTIME_LABELS, False)}, {others('playtime_at_review_band', K.PLAYTIME_LABELS)} from c group by 1"
     lo, hi = ts("min(timestamp_created)"), ts("max(timestamp_created)")
     o["temporal_coverage"] = f"{NUM}, a as (select app_id, strftime({lo}, '%Y-%m-%d %H:%M:%S') as lo, strftime({hi}, '%Y-%m-%d %H:%M:%S') as hi, (max(timestamp_created) - min(timestamp_created)) // 86400 + 1 as d, count(distinct {MONTH}) as m from c group by app_id) " + metric_rows(
         "a", {"first_review_datetime_utc": "lo", "last_review_datetime_utc": "hi", "days_covered": "d", "months_covered": "m"}, "app_id,")
@@ -568,7 +574,7 @@ def oracle_sql() -> dict[str, str]:
     selected = f"{TXT}, t0 as {tokens(L.STOPS)}, t as (select * from t0 where language in (select language from t0 group by language having count(*) >= 130 or {pct('count(*)', '(select count(*) from t0)')} >= 20))"
     o["per_language_top_terms"] = ranked_by_language(selected, 50)
     o["per_language_distinctive"] = distinctive(selected, "positive", "negative", 50, "language")
-    o["slugify"] = f"with {R_TXT} select recommendationid, coalesce(nullif(trim(regexp_replace(lower({strip('substr(review, 1, length(language) * 3)')}), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') as slug from r_txt"
+    o["slugify"] = f"with {R_TXT} select recommendationid, coalesce(nullif(trim(regexp_replace(lower({strip('review')}), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') as slug from r_txt"
 
     # G. emotions
     E = enriched_emotions()
@@ -645,8 +651,11 @@ def oracle_sql() -> dict[str, str]:
     raw_ids = f"(select {ids} as id from r_raw where {ids} <> '')"
     total, unique = f"(select count(*) from {raw_ids})", f"(select count(distinct id) from {raw_ids})"
     required = ["recommendationid", "review", "language", "voted_up"]
-    o["dq_required_columns"] = checks("", "raw_required_columns", "error", "true", "Required columns present", "''", {"required_columns": "'\"" + ", ".join(required) + "\"'", "missing_columns": "'\"\"'"}) \
-        + " union all " + checks("", "orders_required_columns", "error", "false", "Required columns present", "'Missing required columns: review'", {"required_columns": "'\"" + ", ".join(required) + "\"'", "missing_columns": "'\"review\"'"})
+    def required_check(base: str, table: str, check_id: str, missing: str) -> str:
+        filled = " || ', ' || ".join(f"(select count({c}) from {table})" for c in required if c != missing)
+        return checks(base, check_id, "error", "false" if missing else "true", "Required columns present", f"'Missing required columns: {missing}'", {
+            "required_columns": "'\"" + ", ".join(required) + "\"'", "missing_columns": f"'\"{missing}\"'", "filled_rows": f"'\"' || {filled} || '\"'"})
+    o["dq_required_columns"] = f"select * from ({required_check(RAW, 'r_raw', 'raw_required_columns', '')}) union all select * from ({required_check(f'with {R_NUM}', 'r_num', 'orders_required_columns', 'review')})"
     o["dq_non_empty"] = checks(f"with {R_NUM}", "reviews_non_empty", "error", "((select count(*) from r_num) > 0)", "Table contains rows", "'Table is empty'", {"row_count": "(select count(*) from r_num)"})
     dup = "((select count(*) from r_raw) - (select count(distinct coalesce(recommendationid, '')) from r_raw))"
     o["dq_unique_id"] = checks(RAW, "recommendationid_uniqueness", "warning", f"({dup} = 0)", "No duplicated ids", f"'Found duplicated ids: ' || {dup}", {"duplicated_count": dup})
@@ -662,6 +671,11 @@ def oracle_sql() -> dict[str, str]:
     pn = f"(select {trues('is_positive')} + {trues('is_negative')} from c)"
     o["dq_polarity_total"] = checks(NUM, "polarity_total_consistency", "warning", f"((select count(*) from c) = {pn})", "Polarity totals are consistent", "'Polarity totals are inconsistent'",
                                     {"total_reviews": "(select count(*) from c)", "positive_reviews": f"(select {trues('is_positive')} from c)", "negative_reviews": f"(select {trues('is_negative')} from c)"})
+    o["dq_unique_id_by_product"] = f"{RAW}, d as (select app_id, count(*) - count(distinct coalesce(recommendationid, '')) as n from r_raw group by 1) select app_id, " + checks(
+        "", "recommendationid_uniqueness", "warning", "(n = 0)", "No duplicated ids", "'Found duplicated ids: ' || n", {"duplicated_count": "n"}).strip().removeprefix("select ") + " from d"
+    o["dq_polarity_total_by_product"] = f"{NUM}, p as (select app_id, count(*) as t, {trues('is_positive')} as a, {trues('is_negative')} as b from c group by 1) select app_id, " + checks(
+        "", "polarity_total_consistency", "warning", "(t = a + b)", "Polarity totals are consistent", "'Polarity totals are inconsistent'",
+        {"total_reviews": "t", "positive_reviews": "a", "negative_reviews": "b"}).strip().removeprefix("select ") + " from p"
     o["dq_segments"] = checks("", "emotion_by_polarity_expected_segments", "warning", "true", "Expected segments present", "''", {"missing_segments": "'\"\"'"})
     parts = [o[n] for n in ("dq_required_columns", "dq_non_empty", "dq_unique_id", "dq_cross_chunk", "dq_polarity_total")]
     allc = " union all ".join(f"select passed, severity from ({p})" for p in parts)
@@ -672,6 +686,8 @@ def oracle_sql() -> dict[str, str]:
     # L. streams: the batch result over the given events
     o["stream_dedup"] = "select event_id, user_id, event_type, value from events"
     o["stream_resume"] = "select event_id, user_id, event_type, value from events"
+    o["stream_progress"] = """with f as (select event_id // ((select max(event_id) from events) // 4 + 1) as batch_id from events)
+      select batch_id, count(*) as rows_in, count(*) as rows_kept, sum(count(*)) over (order by batch_id)::bigint as rows_kept_cumulative from f group by 1"""
     counts = "count(*) as review_count, count(*) filter (where event_type = 'purchase') as positive_reviews, count(*) filter (where event_type = 'error') as negative_reviews"
     def stream(key: str) -> str:
         return f"select *, {pct('positive_reviews', 'review_count')} as positive_percentage, {pct('negative_reviews', 'review_count')} as negative_percentage from (select {key}, {counts} from events group by all)"

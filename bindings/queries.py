@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +24,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder next to the checkpoints, which all executors reach."""
-    base = checkpoint_folder(spark)
-    if base.startswith("file:"):
-        base = base.removeprefix("file://").removeprefix("file:")
-    if "://" in base:
-        import uuid
-        return f"{base}/run-{uuid.uuid4()}"
-    return tempfile.mkdtemp(prefix="run-", dir=base)
+    """The full address of a new folder next to the checkpoints, which all executors reach."""
+    checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
 
 
 def over(source: Callable, f: Callable[[DataFrame], DataFrame]) -> Query:
@@ -184,9 +179,8 @@ def as_text(df: DataFrame, *more: str) -> DataFrame:
 
 
 def slugs(df: DataFrame) -> DataFrame:
-    """Slugs of the opening words of each text."""
-    opening = F.substring(F.col("review"), F.lit(1), F.length("language") * 3)
-    return df.select("recommendationid", X.slug(opening).alias("slug"))
+    """Slugs of whole texts."""
+    return df.select("recommendationid", X.slug(F.col("review")).alias("slug"))
 
 
 def bigram_counts(df: DataFrame) -> DataFrame:
@@ -320,6 +314,12 @@ DQ: dict[str, Query] = {
 }
 
 
+DQ_BY_PRODUCT: dict[str, Query] = {
+    "dq_unique_id_by_product": raw(lambda df: quality.unique_ids(df, keys=["app_id"])),
+    "dq_polarity_total_by_product": num(lambda df: quality.polarity_total(describe.polarity_summary(df, ["app_id"]), ["app_id"])),
+}
+
+
 def dq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.check_summary(quality.all_checks(*[q(spark, sf_dir) for q in DQ.values()]))
 
@@ -339,6 +339,16 @@ def _landed(spark: SparkSession, sf_dir: str, files: int = 4) -> tuple[str, Data
     return folder, events
 
 
+def _landed_in_turn(spark: SparkSession, sf_dir: str, files: int = 4) -> tuple[str, DataFrame]:
+    """The events as files cut at fixed ids, which arrive one after the other."""
+    folder, events = _folder(spark), _events(spark, sf_dir)
+    size = events.agg(F.max("event_id")).first()[0] // files + 1
+    for i in range(files):
+        part = events.filter((F.col("event_id") >= i * size) & (F.col("event_id") < (i + 1) * size))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return folder, events
+
+
 KEPT = ["event_id", "user_id", "event_type", "value"]
 
 
@@ -362,18 +372,18 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, events = _landed(spark, sf_dir)
+    folder, events = _landed_in_turn(spark, sf_dir)
     source = streams.read_files(spark, f"{folder}/in", events.schema, 1)
-    query = streams.run_to_files(streams.dedup(source, ["event_id"]), f"{folder}/out", f"{folder}/state")
-    return streams.progress(query)
+    with streams.Batches(spark) as batches:
+        streams.run_to_files(streams.dedup(source, ["event_id"]), f"{folder}/out", f"{folder}/state")
+    return streams.progress(batches)
 
 
-def stream_table(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
+def stream_table(f: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder, events = _landed(spark, sf_dir)
         source = streams.read_files(spark, f"{folder}/in", events.schema, 1)
-        # Complete results of counts per day, week or month: bounded by the calendar.
-        return streams.run_to_table(f(source), f"{name}_{folder[-6:].replace('-', '_')}", f"{folder}/state")
+        return streams.run_to_table(f(source), f"{folder}/out", f"{folder}/state")
     return run
 
 
@@ -510,6 +520,7 @@ def queries() -> dict[str, Query]:
     n["cloud_summary"] = txt(cloud_summary)
 
     n.update(DQ)
+    n.update(DQ_BY_PRODUCT)
     n["dq_combined_vs_chunks"] = raw(dq_combined)
     n["dq_index_total"] = dq_index_total
     n["dq_final_total"] = dq_final_total
@@ -519,7 +530,7 @@ def queries() -> dict[str, Query]:
     n["stream_dedup"] = stream_dedup
     n["stream_resume"] = stream_resume
     n["stream_progress"] = stream_progress
-    n["stream_daily_volume"] = stream_table("daily", lambda e: streams.daily_volume(e, "ts"))
-    n["stream_weekly_volume"] = stream_table("weekly", lambda e: streams.weekly_volume(e, "ts"))
-    n["stream_monthly_polarity"] = stream_table("monthly", lambda e: streams.monthly_polarity(e, "ts", "event_type"))
+    n["stream_daily_volume"] = stream_table(lambda e: streams.daily_volume(e, "ts"))
+    n["stream_weekly_volume"] = stream_table(lambda e: streams.weekly_volume(e, "ts"))
+    n["stream_monthly_polarity"] = stream_table(lambda e: streams.monthly_polarity(e, "ts", "event_type"))
     return n

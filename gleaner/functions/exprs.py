@@ -35,8 +35,9 @@ def ratio(a: Column, b: Column, places: int = 4) -> Column:
 def lenient_long(c: Column) -> Column:
     """Whole number or null: "12", " 12 " and "12.0" pass, "x" and "12.5" become null."""
     text = F.btrim(c.cast("string"), F.lit(K.WHITESPACE))
-    number = text.try_cast("double")
-    whole = F.when((number == F.floor(number)) & (F.abs(number) < 9.0e15), number).try_cast("bigint")
+    # the decimal has all digits of large numbers, the double sees fractions of any length
+    number, exact = text.try_cast("double"), text.try_cast("decimal(38,10)")
+    whole = F.when((number == F.floor(number)) & (exact == F.floor(exact)), exact).try_cast("bigint")
     return F.coalesce(text.try_cast("bigint"), whole)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-# A lookup up to this many rows may travel with the plan; a larger one is joined by the planner's own choice.
+#: The most rows of a lexicon or dictionary that travels with the plan. Loaders and operators refuse a larger one, whatever
+#: the size of the reviews; each takes the limit as a parameter.
 SMALL_ROWS = 50_000
 
 
@@ -13,8 +14,3 @@ def rows_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> list[Row] | None:
     """The rows when there are at most `limit` of them, else None. Never fetches more than `limit + 1` rows."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
-
-
-def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """With the broadcast hint when the row count was checked to be small, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -140,10 +140,12 @@ def cross_tab(
 ) -> DataFrame:
     """One count column per value, nulls under `unknown`, and each cell's percentage of the grand total.
 
-    The values are passed in, so no extra job looks for them.
+    The values are passed in, so no extra job looks for them; any others count under `other`, which booleans do not need.
     """
     names = {_label(v): F.count_if(X.quoted(column) == F.lit(v)) for v in values}
     names["unknown"] = F.count_if(X.quoted(column).isNull())
+    if not {False, True} <= {v for v in values if isinstance(v, bool)}:
+        names["other"] = F.count_if(~X.quoted(column).isin(*values))
     flat = df.groupBy(*keys, X.or_unknown(F.col(row).cast("string")).alias(row)).agg(
         *[c.alias(n) for n, c in names.items()]
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import constants as K
 from gleaner.functions import exprs as X
-from gleaner.functions.lookups import SMALL_ROWS, broadcast_if_small, rows_if_small
+from gleaner.functions.lookups import SMALL_ROWS, rows_if_small
 from gleaner.functions.stopwords import STOPWORDS
 from gleaner.operators import categories as C
 from gleaner.operators.text import text_subset
@@ -25,21 +25,19 @@ def emotion_subset(
     return text_subset(df, min_length, STOPWORDS["english"] if remove_stopwords else None, target, token_count=TOKENS)
 
 
-def enrich_with_emotions(
-    text: DataFrame, lexicon: DataFrame, ids: Sequence[str] = ("recommendationid",), small: int = SMALL_ROWS
-) -> DataFrame:
+def enrich_with_emotions(text: DataFrame, lexicon: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Matched tokens, and hits and hits per 100 tokens for each emotion.
 
-    A lexicon of checked size becomes a constant lookup table inside a projection: no join, no shuffle, and rows need no
-    id. A larger one is joined to the exploded tokens, and the counts per review come back by `ids`, which must then be
-    unique.
+    The lexicon becomes a constant lookup table inside a projection: no join, no shuffle, and rows need no id. It may have up
+    to `limit` words; a larger one is refused.
     """
     lexicon = lexicon.filter(F.col("emotion").isin(K.EMOTIONS))
     bit = F.element_at(F.create_map(*[F.lit(x) for i, e in enumerate(K.EMOTIONS) for x in (e, 1 << i)]), F.col("emotion"))
     words = lexicon.groupBy("word").agg(F.bit_or(bit).alias("bits"))
-    rows = rows_if_small(words.select("word", "bits", _slot(F.col("word")).alias("slot")), small)
-    counted = _count_in_place(text, rows) if rows is not None else _count_by_join(text, words, ids)
-    return counted.withColumns({f"{e}_per_100_tokens": C.rate(e, TOKENS) for e in K.EMOTIONS})
+    rows = rows_if_small(words.select("word", "bits", _slot(F.col("word")).alias("slot")), limit)
+    if rows is None:
+        raise ValueError(f"The lexicon has more than {limit} words")
+    return _count_in_place(text, rows).withColumns({f"{e}_per_100_tokens": C.rate(e, TOKENS) for e in K.EMOTIONS})
 
 
 _SLOTS = 4096
@@ -69,15 +67,6 @@ def _count_in_place(text: DataFrame, rows: Sequence) -> DataFrame:
     }).drop("__bits")
 
 
-def _count_by_join(text: DataFrame, words: DataFrame, ids: Sequence[str]) -> DataFrame:
-    tokens = text.select(*ids, F.explode("tokens").alias("word"))
-    counts = tokens.join(words, "word").groupBy(*ids).agg(
-        F.count(F.lit(1)).alias(MATCHES), *[F.count_if(_has(e)(F.col("bits"))).alias(f"{e}_count") for e in K.EMOTIONS]
-    )
-    out = X.join_on(text, counts, ids)
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in (MATCHES, *[f"{e}_count" for e in K.EMOTIONS])})
-
-
 def emotion_overview(
     cleaned: DataFrame, enriched: DataFrame, target: str = "english", keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -113,7 +102,7 @@ def emotion_top_terms(text: DataFrame, lexicon: DataFrame, n: int = 100, keys: S
     counts = text.select(*keys, F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(
         F.count(F.lit(1)).alias("frequency")
     )
-    hits = counts.join(broadcast_if_small(lexicon), "token")
+    hits = counts.join(lexicon, "token")
     group = [*keys, "emotion"]
     totals = hits.groupBy(*group).agg(F.sum("frequency").alias("__total"))
     top = X.top_ranked(hits, group, n, F.desc("frequency"), F.asc("token"))

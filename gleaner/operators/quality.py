@@ -13,29 +13,35 @@ from gleaner.functions import exprs as X
 
 
 def _check(
-    one: DataFrame, check_id: str, severity: str, passed: Column, good: str, bad: Column | str, *details: str
+    one: DataFrame, check_id: str, severity: str, passed: Column, good: str, bad: Column | str, *details: str,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """A one-row aggregate as a check."""
+    """An aggregate of one row, or one row per product, as a check."""
     bad = F.lit(bad) if isinstance(bad, str) else bad
     return one.select(
-        F.lit(check_id).alias("check_id"), passed.alias("passed"), F.lit(severity).alias("severity"),
+        *keys, F.lit(check_id).alias("check_id"), passed.alias("passed"), F.lit(severity).alias("severity"),
         F.when(passed, F.lit(good)).otherwise(bad).alias("message"),
         F.to_json(F.struct(*details)).alias("details"),
     )
 
 
-def required_columns(df: DataFrame, columns: Sequence[str], check_id: str, severity: str = "error") -> DataFrame:
+def required_columns(
+    df: DataFrame, columns: Sequence[str], check_id: str, severity: str = "error", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Whether all columns are there; the details have the filled rows of those that are."""
     missing = [c for c in columns if c not in df.columns]
-    one = df.sparkSession.range(1).select(
-        F.lit(", ".join(columns)).alias("required_columns"), F.lit(", ".join(missing)).alias("missing_columns")
+    filled = F.array(*[F.count(X.quoted(c)).cast("string") for c in columns if c not in missing])
+    one = df.groupBy(*keys).agg(F.array_join(filled, ", ").alias("filled_rows")).withColumns(
+        {"required_columns": F.lit(", ".join(columns)), "missing_columns": F.lit(", ".join(missing))}
     )
     return _check(one, check_id, severity, F.lit(not missing), "Required columns present",
-                  "Missing required columns: " + ", ".join(missing), "required_columns", "missing_columns")
+                  "Missing required columns: " + ", ".join(missing), "required_columns", "missing_columns", "filled_rows", keys=keys)
 
 
-def non_empty(df: DataFrame, check_id: str, severity: str = "error") -> DataFrame:
-    one = df.groupBy().agg(F.count(F.lit(1)).alias("row_count"))
-    return _check(one, check_id, severity, F.col("row_count") > 0, "Table contains rows", "Table is empty", "row_count")
+def non_empty(df: DataFrame, check_id: str, severity: str = "error", keys: Sequence[str] = ()) -> DataFrame:
+    """Whether there are rows. With keys, for each product that has any."""
+    one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
+    return _check(one, check_id, severity, F.col("row_count") > 0, "Table contains rows", "Table is empty", "row_count", keys=keys)
 
 
 def _usable(ids: DataFrame, column: str) -> DataFrame:
@@ -52,14 +58,14 @@ def _sizes(df: DataFrame, column: str, rows: str, distinct: str) -> DataFrame:
 
 def unique_ids(
     df: DataFrame, column: str = "recommendationid", check_id: str = "recommendationid_uniqueness",
-    severity: str = "warning",
+    severity: str = "warning", keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows beyond the first of their id; a missing id counts as one id."""
-    per_id = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    one = per_id.groupBy().agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicated_count"))
+    """Rows beyond the first of their id, within each product; a missing id counts as one id."""
+    per_id = df.groupBy(*keys, F.coalesce(F.col(column).cast("string"), F.lit("")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    one = per_id.groupBy(*keys).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicated_count"))
     dup = F.col("duplicated_count")
     return _check(one, check_id, severity, dup == 0, "No duplicated ids",
-                  F.concat(F.lit("Found duplicated ids: "), dup.cast("string")), "duplicated_count")
+                  F.concat(F.lit("Found duplicated ids: "), dup.cast("string")), "duplicated_count", keys=keys)
 
 
 def unique_across_chunks(chunks: DataFrame, column: str = "recommendationid") -> DataFrame:
@@ -106,36 +112,38 @@ def final_total_matches_chunks(summary: DataFrame, chunks: DataFrame, column: st
                                     reported, "expected_total_reviews", "chunk_unique_ids", "difference"))
 
 
-def polarity_total(summary: DataFrame) -> DataFrame:
-    """total = positive + negative in the long polarity summary."""
+def polarity_total(summary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """total = positive + negative in the long polarity summary, for each product."""
     names = ["total_reviews", "positive_reviews", "negative_reviews"]
-    one = summary.groupBy().agg(
+    one = summary.groupBy(*keys).agg(
         *[F.max(F.when(F.col("metric") == n, F.col("value").try_cast("bigint"))).alias(n) for n in names]
     ).filter(F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull() & F.col(names[2]).isNotNull())
     passed = F.col("total_reviews") == F.col("positive_reviews") + F.col("negative_reviews")
     return _check(one, "polarity_total_consistency", "warning", passed, "Polarity totals are consistent",
-                  "Polarity totals are inconsistent", *names)
+                  "Polarity totals are inconsistent", *names, keys=keys)
 
 
-def expected_segments(table: DataFrame, check_id: str, expected: Sequence[str] = tuple(K.SEGMENTS)) -> DataFrame:
-    """Segments that a by-polarity table lacks."""
-    wanted = table.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in expected])).alias("segment"))
-    missing = wanted.join(table.select("segment").distinct(), "segment", "left_anti")
-    one = missing.groupBy().agg(F.array_join(F.array_sort(F.collect_set("segment")), ", ").alias("missing_segments"))
+def expected_segments(
+    table: DataFrame, check_id: str, expected: Sequence[str] = tuple(K.SEGMENTS), keys: Sequence[str] = ()
+) -> DataFrame:
+    """Segments that a by-polarity table lacks, for each product in it."""
+    wanted = F.array(*[F.lit(s) for s in expected])
+    missing = F.array_sort(F.array_except(wanted, F.collect_set("segment")))
+    one = table.groupBy(*keys).agg(F.array_join(missing, ", ").alias("missing_segments"))
     names = F.col("missing_segments")
     return _check(one, check_id, "warning", names == "", "Expected segments present",
-                  F.concat(F.lit("Missing segments: "), names), "missing_segments")
+                  F.concat(F.lit("Missing segments: "), names), "missing_segments", keys=keys)
 
 
 def all_checks(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
-def check_summary(checks: DataFrame) -> DataFrame:
-    """Totals by outcome; the status is failed only when an error-level check failed."""
+def check_summary(checks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Totals by outcome, for each product; the status is failed only when an error-level check failed."""
     failed = ~F.col("passed")
     errors = F.count_if(failed & (F.col("severity") == "error"))
-    return checks.groupBy().agg(
+    return checks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("check_count_total"),
         F.count_if("passed").alias("check_count_passed"),
         F.count_if(failed).alias("check_count_failed"),

@@ -52,9 +52,9 @@ def flag_rate_by_period(df: DataFrame, period: str, flags: Sequence[str], keys:
 def period_crosstab(
     df: DataFrame, period: str, column: str, labels: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Counts per period and label; null periods and null labels count as `unknown`."""
+    """Counts per period and label; null periods and null labels count as `unknown`, labels not named as `other`."""
     cells = {label: F.count_if(F.col(column) == label) for label in labels}
-    cells["unknown"] = F.count_if(F.col(column).isNull())
+    cells |= {"unknown": F.count_if(F.col(column).isNull()), "other": F.count_if(~F.col(column).isin(*labels))}
     return df.groupBy(*keys, X.or_unknown(F.col(period)).alias(period)).agg(*[c.alias(n) for n, c in cells.items()])
 
 

@@ -143,7 +143,7 @@ def word_cloud_tables(df: DataFrame, keys: Sequence[str] = (), s: Settings = Set
     }
 
 
-def checks_of(cleaned: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+def checks_of(cleaned: DataFrame, tables: Mapping[str, DataFrame], keys: Sequence[str] = ()) -> DataFrame:
     """The structural and consistency checks of a finished report."""
     required = {
         "polarity_summary": ["metric", "value"],
@@ -156,17 +156,17 @@ def checks_of(cleaned: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
         "theme_by_polarity": ["segment", "review_count", "total_tokens", "theme_match_count_total"],
     }
     checks = [
-        quality.required_columns(cleaned, ["recommendationid", "review", "language", "voted_up"], "cleaned_required_columns"),
-        quality.non_empty(cleaned, "cleaned_non_empty"),
-        quality.unique_ids(cleaned, check_id="cleaned_recommendationid_uniqueness"),
+        quality.required_columns(cleaned, ["recommendationid", "review", "language", "voted_up"], "cleaned_required_columns", keys=keys),
+        quality.non_empty(cleaned, "cleaned_non_empty", keys=keys),
+        quality.unique_ids(cleaned, check_id="cleaned_recommendationid_uniqueness", keys=keys),
     ]
-    checks += [quality.required_columns(tables[t], c, f"{t}_required_columns") for t, c in required.items() if t in tables]
+    checks += [quality.required_columns(tables[t], c, f"{t}_required_columns", keys=keys) for t, c in required.items() if t in tables]
     if "polarity_summary" in tables:
-        checks.append(quality.polarity_total(tables["polarity_summary"]))
+        checks.append(quality.polarity_total(tables["polarity_summary"], keys))
     if "monthly_polarity_trends" in tables:
-        checks.append(quality.non_empty(tables["monthly_polarity_trends"], "monthly_polarity_trends_non_empty", "warning"))
+        checks.append(quality.non_empty(tables["monthly_polarity_trends"], "monthly_polarity_trends_non_empty", "warning", keys))
     checks += [
-        quality.expected_segments(tables[t], f"{t}_expected_segments")
+        quality.expected_segments(tables[t], f"{t}_expected_segments", keys=keys)
         for t in ("emotion_by_polarity", "theme_by_polarity") if t in tables
     ]
     return quality.all_checks(*checks)
@@ -210,6 +210,6 @@ def write_report(
     if not keys:
         figures = charts.figure_tables(written)
         write_tables({**figures, "figure_index": charts.figure_index(figures)}, f"{folder}/figures")
-    checks = checks_of(df, written)
-    write_tables({"checks": checks, "check_summary": quality.check_summary(checks)}, f"{folder}/checks")
+    checks = checks_of(df, written, keys)
+    write_tables({"checks": checks, "check_summary": quality.check_summary(checks, keys)}, f"{folder}/checks")
     return checks

@@ -13,6 +13,9 @@ from gleaner.operators.prepare import keep_first
 from gleaner.sources import schema as S
 
 
+#: Chunks whose totals are added up together.
+CHUNKS_PER_RUN = 4096
+
 # ---------------------------------------------------------------- pages
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -85,11 +88,17 @@ def chunk_index(chunks: DataFrame, slug: str = "") -> DataFrame:
     """Records and cumulative records per chunk, with the chunk's file names."""
     counts = chunks.groupBy("chunk_number").agg(F.count(F.lit(1)).alias("record_count"))
     stem = F.format_string(f"{slug}_reviews_part_%04d" if slug else "reviews_part_%04d", F.col("chunk_number"))
-    # Window over one row per chunk.
-    total = F.sum("record_count").over(Window.orderBy("chunk_number").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select(
+    # Totals in two steps: within runs of chunks, and over the runs, of which there are a few thousand times fewer.
+    runs = counts.withColumn("__run", F.floor(F.col("chunk_number") / CHUNKS_PER_RUN))
+    before = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.groupBy("__run").agg(F.sum("record_count").alias("__n")).select(
+        "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
+    )
+    inside = Window.partitionBy("__run").orderBy("chunk_number").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("record_count").over(inside)
+    return runs.withColumn("__total", total).join(starts, "__run").select(
         "chunk_number", F.concat(stem, F.lit(".json")).alias("json_file"), F.concat(stem, F.lit(".csv")).alias("csv_file"),
-        "record_count", total.alias("cumulative_records"),
+        "record_count", (F.col("__total") + F.col("__start")).alias("cumulative_records"),
     )
 
 

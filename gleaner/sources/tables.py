@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import constants as K
 from gleaner.functions import exprs as X
-from gleaner.functions.lookups import rows_if_small
+from gleaner.functions.lookups import SMALL_ROWS, rows_if_small
 from gleaner.sources import schema as S
 
 
@@ -99,12 +99,12 @@ def parse_themes(df: DataFrame, column: str = "value") -> DataFrame:
     return kept.withColumn("is_phrase", F.contains("term", F.lit(" ")))
 
 
-def read_themes(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The theme dictionary of a JSON file. Themes become column names, so they must be known to the driver."""
+def read_themes(spark: SparkSession, path: str, limit: int = SMALL_ROWS) -> dict[str, list[str]]:
+    """The theme dictionary of a JSON file, of up to `limit` terms. Themes become column names, so they must be known to the driver."""
     terms = parse_themes(spark.read.text(path, wholetext=True))
-    rows = rows_if_small(terms)
+    rows = rows_if_small(terms, limit)
     if not rows:
-        raise ValueError(f"No themes, or too many terms for a dictionary, in {path}")
+        raise ValueError(f"No themes in {path}" if rows is not None else f"More than {limit} terms in {path}")
     out: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.theme, r.term)):
         out.setdefault(row.theme, []).append(row.term)

@@ -1,13 +1,16 @@
 """Incremental ingest and running volumes as Structured Streaming jobs.
 
-Every function takes and returns a streaming DataFrame; the same expressions as in the batch tables are used.
+Every function takes and returns a streaming DataFrame; the same expressions as in the batch tables are used. State lives in
+RocksDB, on disk, so that the ids a dedup remembers need not fit into memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import threading
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from gleaner.functions import exprs as X
@@ -23,25 +26,37 @@ def read_files(spark: SparkSession, path: str, schema: StructType, files_per_tri
     return reader.parquet(path)
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _run(writer, spark: SparkSession, checkpoint: str, path: str | None = None) -> StreamingQuery:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(*([path] if path else []))
+    query.awaitTermination()
+    return query
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process everything that has arrived, append it to Parquet files, stop. A later call with the same checkpoint goes
     on where this one ended: files already read are not read again and ids already seen are still known."""
-    query = (
-        stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start(path)
-    )
-    query.awaitTermination()
-    return query
+    return _run(stream.writeStream.format("parquet"), stream.sparkSession, checkpoint, path)
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Process everything that has arrived and return the complete result, for aggregates bounded by the calendar."""
-    query = (
-        stream.writeStream.format("memory").queryName(name).outputMode("complete")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process everything that has arrived and return the complete result, from storage.
+
+    Each batch writes the complete result to a folder of its own and then notes its number; the last one noted counts. A
+    batch that is repeated after a failure writes its folder anew.
+    """
+    spark = stream.sparkSession
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result/{number}")
+        batch.sparkSession.range(number, number + 1).write.mode("overwrite").parquet(f"{path}/last")
+
+    _run(stream.writeStream.outputMode("complete").foreachBatch(store), spark, checkpoint)
+    last = spark.read.schema("id long").parquet(f"{path}/last").first().id
+    return spark.read.schema(stream.schema).parquet(f"{path}/result/{last}")
 
 
 # ---------------------------------------------------------------- operators
@@ -53,15 +68,41 @@ def dedup(stream: DataFrame, ids: list[str], event_time: str | None = None, hori
     return stream.dropDuplicates(ids)
 
 
-def progress(query: StreamingQuery) -> DataFrame:
-    """Per batch: rows read, rows kept by the dedup, cumulative rows kept. One row per batch that read something."""
-    batches = [
-        (int(p["batchId"]), int(p["numInputRows"]), int(p["stateOperators"][0]["numRowsUpdated"]))
-        for p in query.recentProgress if p["numInputRows"] > 0
-    ]
-    spark = SparkSession.active()
-    rows = spark.createDataFrame(batches, "batch_id bigint, rows_in bigint, rows_kept bigint")
-    return rows.withColumn("rows_kept_cumulative", F.sum("rows_kept").over(X.ordered_within((), F.col("batch_id")).rowsBetween(-(2**31), 0)))
+class Batches(StreamingQueryListener):
+    """Rows read and kept per batch of all queries while it listens: one short row per batch, however many there are."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rows, self.ended = spark, [], threading.Event()
+
+    def __enter__(self) -> Batches:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.ended.wait(60)  # events arrive a little later than the query ends
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        kept = [s.numRowsUpdated for s in p.stateOperators if s.operatorName.startswith("dedupe")]
+        if p.numInputRows > 0:
+            self.rows.append((int(p.batchId), int(p.numInputRows), int(kept[0] if kept else p.numInputRows)))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+
+def progress(batches: Batches) -> DataFrame:
+    """Per batch: rows read, rows kept by the dedup (all rows without one), cumulative rows kept."""
+    rows = batches.spark.createDataFrame(batches.rows, "batch_id bigint, rows_in bigint, rows_kept bigint")
+    upto = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("rows_kept_cumulative", F.sum("rows_kept").over(upto))
 
 
 def _counts(positive: str, negative: str) -> list:

@@ -29,7 +29,9 @@ def test_booleans(spark, text, want):
     assert one(spark, text, "string", X.normal_boolean) is want
 
 
-@pytest.mark.parametrize("text,want", [("12", 12), (" 12 ", 12), ("12.0", 12), ("-3", -3), ("12.5", None), ("x", None), (None, None)])
+@pytest.mark.parametrize("text,want", [("12", 12), (" 12 ", 12), ("12.0", 12), ("-3", -3), ("12.5", None), ("x", None), (None, None),
+    ("9.0e15", 9 * 10**15), ("1e16", 10**16), ("12345678901234567.0", 12345678901234567), ("12345678901234567.5", None),
+    ("12345678901234567", 12345678901234567), ("1e400", None), ("NaN", None), ("0.00000000001", None)])
 def test_numbers(spark, text, want):
     assert one(spark, text, "string", X.lenient_long) == want
 

@@ -13,6 +13,7 @@ from gleaner.operators.prepare import keep_first
 from gleaner.plans import report
 from gleaner.sources import landing, tables
 from gleaner.sources.tables import Settings
+from gleaner.streaming import reviews as streams
 
 
 @pytest.fixture(scope="module")
@@ -92,12 +93,16 @@ def test_running_total_ends_at_the_total(num):
     assert daily.agg(F.max("cumulative_reviews")).first()[0] == num.count()
 
 
-def test_lexicon_in_place_equals_lexicon_by_join(spark, txt):
-    subset = emotions.emotion_subset(txt)
-    lexicon = Q.lexicon(spark)
-    small = emotions.enrich_with_emotions(subset, lexicon)
-    large = emotions.enrich_with_emotions(subset, lexicon, small=3)
-    assert rows(small.select("recommendationid", *Q.EMOTION_COLUMNS)) == rows(large.select("recommendationid", *Q.EMOTION_COLUMNS))
+def test_lexicon_in_place_equals_a_join(spark, txt):
+    """The lookup inside the row against the tokens joined with the lexicon; ids are unique in this table."""
+    subset, lexicon = emotions.emotion_subset(txt), Q.lexicon(spark)
+    got = emotions.enrich_with_emotions(subset, lexicon).select("recommendationid", emotions.MATCHES, "joy_count", "negative_count")
+    hits = subset.select("recommendationid", F.posexplode("tokens").alias("at", "word")).join(lexicon, "word")
+    want = subset.select("recommendationid").join(hits, "recommendationid", "left").groupBy("recommendationid").agg(
+        F.count_distinct("at").alias(emotions.MATCHES), F.count_if(F.col("emotion") == "joy").alias("joy_count"),
+        F.count_if(F.col("emotion") == "negative").alias("negative_count"),
+    )
+    assert rows(got) == rows(want)
 
 
 def test_themes(spark):
@@ -175,3 +180,51 @@ def test_whole_report(spark, sf_dir, tmp_path):
     assert failed == {"polarity_total_consistency"}  # reviews without polarity
     index = spark.read.option("header", True).csv(str(tmp_path / "report/figures/figure_index"))
     assert index.count() == len(charts.FIGURES) == 18
+
+
+# ---------------------------------------------------------------- completeness
+
+def test_values_outside_the_list_count_as_other(spark):
+    table = spark.createDataFrame([("a", "x"), ("a", "z"), ("b", None), ("b", "z"), (None, "y")], "row string, label string")
+    got = {r.row: (r.x, r.y, r.unknown, r.other) for r in describe.cross_tab(table, "row", "label", ["x", "y"]).collect()}
+    assert got == {"a": (1, 0, 0, 1), "b": (0, 0, 1, 1), "unknown": (0, 1, 0, 0)}
+    got = {r.row: (r.x, r.unknown, r.other) for r in temporal.period_crosstab(table, "row", "label", ["x"]).collect()}
+    assert got == {"a": (1, 0, 1), "b": (0, 1, 1), "unknown": (0, 0, 1)}
+
+
+def test_repeated_ids_keep_their_own_emotions_and_a_large_lexicon_is_refused(spark):
+    words = spark.createDataFrame([("joyful", "joy"), ("sad", "sadness")], "word string, emotion string")
+    rows = spark.createDataFrame([("1", ["joyful"], 1), ("1", ["sad", "sad"], 2)], f"recommendationid string, tokens array<string>, {emotions.TOKENS} bigint")
+    got = emotions.enrich_with_emotions(rows, words).select("joy_count", "sadness_count").collect()
+    assert sorted(map(tuple, got)) == [(0, 2), (1, 0)]
+    with pytest.raises(ValueError, match="more than 1 words"):
+        emotions.enrich_with_emotions(rows, words, limit=1)
+
+
+def test_checks_look_at_each_product_alone(spark):
+    rows = [("a", "total_reviews", "3"), ("a", "positive_reviews", "2"), ("a", "negative_reviews", "1"), ("b", "total_reviews", "3"), ("b", "positive_reviews", "0"), ("b", "negative_reviews", "3")]
+    summary = spark.createDataFrame(rows, "app string, metric string, value string")
+    assert [r.passed for r in quality.polarity_total(summary, ["app"]).collect()] == [True, True]
+    ids = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2")], "app string, recommendationid string")
+    assert [r.passed for r in quality.unique_ids(ids, keys=["app"]).collect()] == [True, True]
+    segments = spark.createDataFrame([("a", "overall"), ("a", "positive"), ("a", "negative"), ("b", "overall")], "app string, segment string")
+    assert {r.app: r.passed for r in quality.expected_segments(segments, "s", keys=["app"]).collect()} == {"a": True, "b": False}
+
+
+def test_progress_of_more_than_a_hundred_batches(spark, tmp_path):
+    table = spark.range(0, 105, 1, 105)
+    table.write.parquet(str(tmp_path / "in"))
+    with streams.Batches(spark) as batches:
+        streams.run_to_files(streams.read_files(spark, str(tmp_path / "in"), table.schema, 1), str(tmp_path / "out"), str(tmp_path / "state"))
+    rows = streams.progress(batches).collect()
+    assert len(rows) == 105 and rows[-1].rows_kept_cumulative == 105
+
+
+def test_dedup_forgets_ids_beyond_the_horizon(spark, tmp_path):
+    for day in ("2024-01-01", "2024-01-02", "2024-03-01"):
+        rows = spark.createDataFrame([(1, day)], "id long, day string").selectExpr("id", "cast(day as timestamp) as ts")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = streams.read_files(spark, str(tmp_path / "in"), rows.schema, 1)
+        streams.run_to_files(streams.dedup(source, ["id"], "ts", "7 days"), str(tmp_path / "out"), str(tmp_path / "state"))
+    kept = spark.read.parquet(str(tmp_path / "out")).selectExpr("cast(ts as date) as d").collect()
+    assert sorted(str(r.d) for r in kept) == ["2024-01-01", "2024-03-01"]
