@@ -639,6 +639,10 @@ def oracle_sql() -> dict[str, str]:
         f"select {q(f.figure_id)} as figure_id, {q(f.family)} as family, {q(f.title)} as title, {q(f.chart_type)} as chart_type, {q(f.source_table)} as source_table, "
         f"(select count(*) from ({o[s]})) as row_count, {w}::bigint as column_count, {q(f.notes)} as notes" for f, s, w in zip(charts.FIGURES, shapes, widths))
 
+    o["fig_polarity_by_product"] = f"{NUM}, p as (select app_id, {trues('is_positive')} as positive, {trues('is_negative')} as negative from c group by 1) select app_id, polarity, review_count from p unpivot (review_count for polarity in (positive, negative))"
+    o["fig_language_top10_by_product"] = f"""{NUM}, l as (select app_id, coalesce(language, 'unknown') as language, count(*) as review_count from c group by 1, 2)
+      select app_id, language, review_count from (select *, row_number() over (partition by app_id order by review_count desc, language) as r from l) where r <= 10"""
+
     # J. word-frequency tables
     def cloud(n, label, low, top):
         return f"{CLOUD_T}, g as (select term, count(*) as frequency from ({grams(n)}) group by term having count(*) >= {low}) select row_number() over (order by frequency desc, term) as rank, term as {label}, frequency from g order by rank limit {top}"

@@ -278,6 +278,12 @@ def figure(figure_id: str) -> Query:
     return lambda spark, sf_dir: spec.transform(REPORT[spec.source_table](spark, sf_dir))
 
 
+FIGURES_BY_PRODUCT: dict[str, Query] = {
+    "fig_polarity_by_product": num(lambda df: charts.polarity_distribution(describe.polarity_summary(df, ["app_id"]), ["app_id"])),
+    "fig_language_top10_by_product": num(lambda df: charts.language_top10(describe.language_distribution(df, ["app_id"]), ["app_id"])),
+}
+
+
 def figure_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.figure_index(charts.figure_tables({name: q(spark, sf_dir) for name, q in REPORT.items()}))
 
@@ -513,6 +519,7 @@ def queries() -> dict[str, Query]:
     for name, figure_id in FIGURE_QUERIES.items():
         n[name] = figure(figure_id)
     n["figure_index"] = figure_index
+    n.update(FIGURES_BY_PRODUCT)
 
     n["cloud_unigrams"] = cloud(1, "unigram", 200)
     n["cloud_bigrams"] = cloud(2, "bigram", 150)

@@ -1,6 +1,7 @@
 """Chart-ready reshapes of the finished tables, and the index of figures.
 
-All inputs are finished report tables, whose size is bounded by the calendar, the languages or a top-n.
+All inputs are finished report tables, whose size is bounded by the calendar, the languages or a top-n. With `keys`, the tables
+hold several products, and each chart is made for every product.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import constants as K
@@ -18,60 +19,69 @@ from gleaner.functions import exprs as X
 MONTH = "review_created_date_month"
 
 
-def polarity_distribution(summary: DataFrame) -> DataFrame:
+def polarity_distribution(summary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Positive and negative counts out of the long polarity summary."""
     kept = summary.filter(F.col("metric").isin("positive_reviews", "negative_reviews"))
     return kept.select(
-        F.regexp_replace("metric", "_reviews$", "").alias("polarity"),
+        *keys, F.regexp_replace("metric", "_reviews$", "").alias("polarity"),
         F.col("value").try_cast("bigint").alias("review_count"),
     )
 
 
-def language_top10(distribution: DataFrame) -> DataFrame:
-    return distribution.select("language", "review_count").orderBy(F.desc("review_count"), "language").limit(10)
+def language_top10(distribution: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    table = distribution.select(*keys, "language", "review_count")
+    return _first(table, keys, 10, F.desc("review_count"), F.asc("language"))
 
 
-def polarity_by_band(cross_tab: DataFrame) -> DataFrame:
+def _first(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataFrame:
+    return X.top_ranked(df, keys, n, *order).drop("rank") if keys else df.orderBy(*order).limit(n)
+
+
+def polarity_by_band(cross_tab: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return cross_tab.select(
-        "playtime_at_review_band", F.col("False").alias("negative_reviews"), F.col("True").alias("positive_reviews")
+        *keys, "playtime_at_review_band", F.col("False").alias("negative_reviews"), F.col("True").alias("positive_reviews")
     )
 
 
-def columns(*names: str) -> Callable[[DataFrame], DataFrame]:
+def columns(*names: str) -> Callable[..., DataFrame]:
     """The named columns, as far as the table has them."""
-    return lambda df: df.select(*[X.quoted(c) for c in names if c in df.columns])
+    return lambda df, keys=(): df.select(*keys, *[X.quoted(c) for c in names if c in df.columns])
 
 
-def language_trends_top5(trends: DataFrame) -> DataFrame:
+def language_trends_top5(trends: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Months by the five languages with most reviews, one column per language.
 
-    The five names come from the finished table; they are the result's columns and have to be known before the plan.
+    The five names come from the finished table; they are the result's columns and have to be known before the plan. With
+    keys, each product has five languages of its own, so there is one row per month and language instead.
     """
-    totals = trends.groupBy("language").agg(F.sum("review_count").alias("n"))
+    totals = trends.groupBy(*keys, "language").agg(F.sum("review_count").alias("n"))
+    if keys:
+        five = X.top_ranked(totals, keys, 5, F.desc("n"), F.asc("language")).select(*keys, "language")
+        return X.join_on(trends.filter(F.col(MONTH).isNotNull()), five, [*keys, "language"], "inner").select(*keys, MONTH, "language", "review_count")
     names = [r.language for r in totals.orderBy(F.desc("n"), "language").limit(5).collect()]
     kept = trends.filter(F.col("language").isin(names) & F.col(MONTH).isNotNull())
     cells = [F.coalesce(F.sum(F.when(F.col("language") == n, F.col("review_count"))), F.lit(0)).alias(n) for n in sorted(names)]
     return kept.groupBy(MONTH).agg(*cells)
 
 
-def first_terms(value: str, n: int = 20) -> Callable[[DataFrame], DataFrame]:
+def first_terms(value: str, n: int = 20) -> Callable[..., DataFrame]:
     """The first `n` terms of a ranked table; ties are decided as in the table itself."""
-    def transform(df: DataFrame) -> DataFrame:
+    def transform(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         if "rank" in df.columns:
-            return df.filter(F.col("rank") <= n).select("token", value)
+            return df.filter(F.col("rank") <= n).select(*keys, "token", value)
         a = next(c for c in df.columns if c.endswith("_frequency"))
-        return df.orderBy(F.desc(value), F.desc(a), "token").limit(n).select("token", value)
+        return _first(df, keys, n, F.desc(value), F.desc(a), F.asc("token")).select(*keys, "token", value)
     return transform
 
 
-def by_polarity(suffix: str, name: str, categories: Sequence[str] | None = None) -> Callable[[DataFrame], DataFrame]:
+def by_polarity(suffix: str, name: str, categories: Sequence[str] | None = None) -> Callable[..., DataFrame]:
     """Segment rows with one column per category, turned into category rows with one column per segment."""
-    def transform(df: DataFrame) -> DataFrame:
+    def transform(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         found = categories or sorted(c.removesuffix(suffix) for c in df.columns if c.endswith(suffix))
         long = df.filter(F.col("segment").isin("positive", "negative")).select(
-            "segment", *[X.quoted(f"{c}{suffix}").cast("double").alias(c) for c in found]
-        ).unpivot("segment", list(found), name, "share")
-        return long.groupBy(name).agg(
+            *keys, "segment", *[X.quoted(f"{c}{suffix}").cast("double").alias(c) for c in found]
+        ).unpivot([*keys, "segment"], list(found), name, "share")
+        return long.groupBy(*keys, name).agg(
             *[F.max(F.when(F.col("segment") == s, F.col("share"))).alias(s) for s in ("positive", "negative")]
         )
     return transform
@@ -86,7 +96,7 @@ class Figure:
     title: str
     chart_type: str
     source_table: str
-    transform: Callable[[DataFrame], DataFrame]
+    transform: Callable[..., DataFrame]
     notes: str
 
 
@@ -139,20 +149,24 @@ FIGURES = [
 ]
 
 
-def figure_tables(tables: Mapping[str, DataFrame], figures: Sequence[Figure] = FIGURES) -> dict[str, DataFrame]:
+def figure_tables(
+    tables: Mapping[str, DataFrame], figures: Sequence[Figure] = FIGURES, keys: Sequence[str] = ()
+) -> dict[str, DataFrame]:
     """The chart data of every figure whose source table is there."""
-    return {f.figure_id: f.transform(tables[f.source_table]) for f in figures if f.source_table in tables}
+    return {f.figure_id: f.transform(tables[f.source_table], keys) for f in figures if f.source_table in tables}
 
 
-def figure_index(charts: Mapping[str, DataFrame], figures: Sequence[Figure] = FIGURES) -> DataFrame:
-    """One row per figure with the size of its chart data."""
+def figure_index(
+    charts: Mapping[str, DataFrame], figures: Sequence[Figure] = FIGURES, keys: Sequence[str] = ()
+) -> DataFrame:
+    """One row per figure, and product that it has data for, with the size of its chart data."""
     rows = []
     for f in figures:
         if f.figure_id in charts:
             data = charts[f.figure_id]
-            rows.append(data.groupBy().agg(F.count(F.lit(1)).alias("row_count")).select(
-                F.lit(f.figure_id).alias("figure_id"), F.lit(f.family).alias("family"), F.lit(f.title).alias("title"),
+            rows.append(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).select(
+                *keys, F.lit(f.figure_id).alias("figure_id"), F.lit(f.family).alias("family"), F.lit(f.title).alias("title"),
                 F.lit(f.chart_type).alias("chart_type"), F.lit(f.source_table).alias("source_table"), "row_count",
-                F.lit(len(data.columns)).cast("bigint").alias("column_count"), F.lit(f.notes).alias("notes"),
+                F.lit(len(data.columns) - len(keys)).cast("bigint").alias("column_count"), F.lit(f.notes).alias("notes"),
             ))
     return reduce(DataFrame.unionByName, rows)

@@ -207,9 +207,8 @@ def write_report(
         if family != "text_metrics_by_language":
             written.update(stored)
     corpus.unpersist()
-    if not keys:
-        figures = charts.figure_tables(written)
-        write_tables({**figures, "figure_index": charts.figure_index(figures)}, f"{folder}/figures")
+    figures = charts.figure_tables(written, keys=keys)
+    write_tables({**figures, "figure_index": charts.figure_index(figures, keys=keys)}, f"{folder}/figures")
     checks = checks_of(df, written, keys)
     write_tables({"checks": checks, "check_summary": quality.check_summary(checks, keys)}, f"{folder}/checks")
     return checks

@@ -38,6 +38,11 @@ KEYED = {
     "daily": temporal.daily_volume,
     "responses": temporal.response_timeline,
     "peaks": temporal.peak_activity,
+    "figure 1": lambda df, keys=(): charts.polarity_distribution(describe.polarity_summary(df, keys), keys),
+    "figure 2": lambda df, keys=(): charts.language_top10(describe.language_distribution(df, keys), keys),
+    "figure 3": lambda df, keys=(): charts.polarity_by_band(describe.polarity_by(df, "playtime_at_review_band", keys), keys),
+    "polarity check": lambda df, keys=(): quality.polarity_total(describe.polarity_summary(df, keys), keys),
+    "id check": lambda df, keys=(): quality.unique_ids(df, keys=keys),
 }
 
 
