@@ -33,4 +33,18 @@ select d.page_id, d.payload_bytes::bigint as payload_bytes,
 from d join g using (s)
 """
 
-ORACLES = {"op4_warc": WARC, "op9_ngram_jaccard_join": JACCARD_JOIN}
+TOP_INNER_PRODUCTS = """
+with n as (select max(len(embedding)) as dim from embeddings),
+v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as w from embeddings, n
+  where vec_id is not null and len(embedding) = dim and len(list_filter(embedding, lambda x: isfinite(x))) = dim
+), p as (
+  select q.vec_id as query_id, v.vec_id, list_dot_product(q.w, v.w)::bigint as score
+  from v q join v on q.vec_id % 50 = 0 and v.vec_id <> q.vec_id
+)
+select query_id, rank::int as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p
+) where rank <= 5
+"""
+
+ORACLES = {"op8_ball_search": TOP_INNER_PRODUCTS, "op4_warc": WARC, "op9_ngram_jaccard_join": JACCARD_JOIN}
