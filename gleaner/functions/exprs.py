@@ -52,14 +52,17 @@ def unify_newlines(c: Column) -> Column:
     return F.regexp_replace(c, r"\r\n?", "\n")
 
 
+def _unless(text: Column, blanks: Sequence[str]) -> Column:
+    """Null for the given spellings. The value is stated once, so it is computed once."""
+    return reduce(lambda value, blank: F.nullif(value, F.lit(blank)), blanks, text)
+
+
 def normal_string(c: Column) -> Column:
-    text = strip(unify_newlines(c.cast("string")))
-    return F.when(~text.isin(K.BLANK_STRINGS), text)
+    return _unless(strip(unify_newlines(c.cast("string"))), K.BLANK_STRINGS)
 
 
 def normal_language(c: Column) -> Column:
-    text = F.lower(strip(c.cast("string")))
-    return F.when(~text.isin(K.BLANK_LANGUAGES), text)
+    return _unless(F.lower(strip(c.cast("string"))), K.BLANK_LANGUAGES)
 
 
 def normal_boolean(c: Column) -> Column:

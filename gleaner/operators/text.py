@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import constants as K
 from gleaner.functions import exprs as X
+from gleaner.functions.durable import durable
 from gleaner.functions import tokens as TK
 from gleaner.functions.stopwords import STOPWORDS, WORD_CLOUD_STOPWORDS
 from gleaner.operators import profile as P
@@ -100,10 +101,12 @@ _LENGTHS = {
 
 
 def _sizes(text: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Reviews, tokens, polarity and lengths per group, all from one profile and so from one pass over the texts."""
+    """Reviews, tokens, polarity and lengths per group, all from one pass over the texts: it writes a few numbers per row to
+    the checkpoint folder, and the profile reads those."""
     flags = {f"__{c}": F.col(c).cast("int") for c in ("is_positive", "is_negative") if c in text.columns}
     columns = ["token_count", "review_length_words", "review_length_chars", *flags]
-    stats = P.numeric_profile(text.withColumns(flags) if flags else text, group, columns, [0.5])
+    sizes = text.withColumns(flags) if flags else text
+    stats = P.numeric_profile(durable(sizes.select(*group, *columns)), group, columns, [0.5])
 
     def of(variable: str, stat: str) -> Column:
         return F.max(F.when(F.col("variable") == variable, F.col(stat)))
