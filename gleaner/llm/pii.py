@@ -115,7 +115,7 @@ def votes(text: str, kind: str, start: int, end: int, base: bool, failed: bool)
         listed = 1 if digits[0] in "45" or digits[:2] in ("34", "37", "65") or digits[:4] == "6011" or "2221" <= digits[:4] <= "2720" else -1
     elif kind == "phone":
         national = digits[-10:] if len(digits) >= 10 else digits
-        listed = 1 if span[0] == "+" else (1 if national[0] in "23456789" and national[3:4] in tuple("23456789") else -1)
+        listed = 1 if span[0] in "+(" or (national[0] in "23456789" and national[3:4] in tuple("23456789")) else 0
     else:
         listed = -1 if span.startswith(("0.", "127.", "255.")) else 0
     near = [w.lower() for w in WORD.findall(text[max(0, start - NEAR): start])][-4:]
