@@ -416,6 +416,7 @@ def oracle_sql() -> dict[str, str]:
     o["chunk_index"] = f"""with {R_NUM}, n as (select chunk_number, count(*) as record_count from ({chunked}) group by 1)
       select chunk_number, format('orders_reviews_part_{{:04d}}.json', chunk_number) as json_file, format('orders_reviews_part_{{:04d}}.csv', chunk_number) as csv_file,
       record_count, sum(record_count) over (order by chunk_number)::bigint as cumulative_records from n"""
+    o["chunk_files"] = f"with {R_NUM} select ((row_number() over (order by cast(recommendationid as bigint)) - 1) // 1000 + 1) as chunk_number, recommendationid, steamid, cast(playtime_forever as varchar) as playtime_forever from r_num"
     o["incremental_anti_join"] = f"with {R_NUM} select recommendationid, steamid, timestamp_created from r_num where voted_up is null"
     o["ingest_summary"] = f"""with {R_TXT} select count(distinct cast(recommendationid as bigint) // 100) as pages_downloaded, max(cast(recommendationid as bigint)) + 1 as expected_total_reviews,
       count(distinct recommendationid) as final_total_unique_reviews, count(*) as records_received, cast(ceil(count(distinct recommendationid) / 1000.0) as bigint) as chunks_exported,
@@ -440,6 +441,10 @@ def oracle_sql() -> dict[str, str]:
     o["unix_to_ts"] = f"{NUM} select recommendationid, " + ", ".join(f"strftime({ts(c)}, '%Y-%m-%d %H:%M:%S') as {n}_datetime_utc" for c, n in _TIMES.items()) + " from c"
     o["dedup_keep_first"] = f"{RAW} select seq, recommendationid from {FIRST_RAW}"
     prepared = f"with {R_RAW}, n as ({normalised(FIRST_RAW)}), c as ({derived('n')})"
+    o["prepare_product"] = f"{prepared} select recommendationid, 440::bigint as app_id, 'a_game' as game_slug, 'A Game' as game_title from c"
+    o["lost_values"] = RAW + " " + " union all ".join(
+        f"select {q(c)} as column, count(*) filter (where {norm_string(c)} is not null) as filled, count(*) filter (where {norm_string(c)} is not null and {cast(c)} is null) as lost from r_raw"
+        for cs, cast in ((S.LONG_COLUMNS, norm_number), (S.BOOLEAN_COLUMNS, norm_bool)) for c in cs).replace(" as column,", ' as "column",')
     o["prepare_reviews"] = f"{prepared} select seq, {', '.join(PREPARED_COLUMNS)} from c"
 
     # C. derived columns

@@ -102,6 +102,16 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.normalise(tables.read_raw_csv(spark, path)).select(*kept)
 
 
+def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks written to folders of their own and read back in the order of their numbers."""
+    folder = _folder(spark)
+    df = prepare.ensure_columns(B.order_reviews(spark, sf_dir)).withColumn("seq", F.col("recommendationid").cast("bigint"))
+    made = landing.with_chunks(df.select(*S.RAW_COLUMNS, "seq"), 1000).withColumn("name", F.format_string("reviews_part_%04d", "chunk_number"))
+    tables.write_csv(made.drop("seq", "chunk_number"), f"{folder}/chunks", ["name"])
+    read = landing.read_chunks(spark, f"{folder}/chunks")
+    return landing.combine_chunks(read, ["chunk_number"]).select("chunk_number", "recommendationid", "steamid", "playtime_forever")
+
+
 def json_records(df: DataFrame) -> DataFrame:
     return tables.json_records(
         df.select("recommendationid", "language", "voted_up", "votes_up", "days_to_developer_response")
@@ -138,6 +148,11 @@ def prepared(df: DataFrame) -> DataFrame:
     return cleaned.drop(*[ts for ts, _ in prepare.TIMES.values()])
 
 
+def of_product(df: DataFrame) -> DataFrame:
+    """The preparation of one product's reviews, which get its columns."""
+    return prepare.prepare_reviews(df.drop("app_id"), (440, "a_game", "A Game")).select("recommendationid", "app_id", "game_slug", "game_title")
+
+
 def pick(*columns: str) -> Callable[[DataFrame], DataFrame]:
     return lambda df: df.select("recommendationid", *columns)
 
@@ -403,6 +418,7 @@ def queries() -> dict[str, Query]:
     n["ingest_dedup"] = raw(lambda df: landing.ingest_dedup(df, ["seq"]).select("seq", "recommendationid"))
     n["combine_chunks"] = raw(lambda df: landing.combine_chunks(df, ["seq"]).select("seq", "recommendationid"))
     n["combine_counts"] = raw(landing.combine_counts)
+    n["chunk_files"] = chunk_files
     n["chunk_index"] = over(chunks, lambda c: landing.chunk_index(c, "orders"))
     n["incremental_anti_join"] = incremental
     n["ingest_summary"] = ingest_summary
@@ -422,6 +438,8 @@ def queries() -> dict[str, Query]:
     n["unix_to_ts"] = num(unix_to_ts)
     n["dedup_keep_first"] = raw(lambda df: prepare.keep_first(df, ["recommendationid"], ["seq"]).select("seq", "recommendationid"))
     n["prepare_reviews"] = raw(prepared)
+    n["prepare_product"] = raw(of_product)
+    n["lost_values"] = raw(prepare.lost_values)
 
     n["datetime_columns"] = num(pick(*DATE_COLUMNS))
     n["text_lengths"] = txt(pick(*describe.TEXT_VARIABLES))

@@ -43,6 +43,17 @@ def normalise_booleans(df: DataFrame, columns: Sequence[str] = S.BOOLEAN_COLUMNS
     })
 
 
+def lost_values(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """`(column, filled, lost)`: values of numeric and boolean columns, and how many of them the casts turn into nulls."""
+    casts = {c: X.lenient_long(F.col(c)) for c in S.LONG_COLUMNS} | {c: X.normal_boolean(F.col(c)) for c in S.BOOLEAN_COLUMNS}
+    filled = {c: X.normal_string(F.col(c)).isNotNull() for c in casts}
+    one = df.groupBy(*keys).agg(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.count_if(filled[c]).alias("filled"), F.count_if(filled[c] & cast.isNull()).alias("lost"))
+        for c, cast in casts.items()
+    ]).alias("rows"))
+    return one.select(*keys, F.inline("rows"))
+
+
 def normalise_language(df: DataFrame) -> DataFrame:
     return df.withColumn("language", X.normal_language(F.col("language")))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from gleaner.functions import exprs as X
+from gleaner.functions.durable import durable
 from gleaner.functions.stopwords import STOPWORDS
 from gleaner.operators import charts, describe, emotions, prepare, quality, temporal, text, themes
 from gleaner.sources import tables as io
@@ -59,9 +61,8 @@ def temporal_tables(df: DataFrame, keys: Sequence[str] = ()) -> Tables:
 
 
 def _shared_text_tables(corpus: DataFrame, keys: Sequence[str], s: Settings, scope: str) -> Tables:
-    """The tables that the whole corpus and each language have in common; term counts are computed once and kept."""
-    words = text.term_counts(corpus, 1, keys).persist(StorageLevel.MEMORY_AND_DISK)
-    pairs = text.term_counts(corpus, 2, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    """The tables that the whole corpus and each language have in common; term counts are computed once and stored."""
+    words, pairs = durable(text.term_counts(corpus, 1, keys)), durable(text.term_counts(corpus, 2, keys))
     out = {
         "text_corpus_overview": text.text_corpus_overview(
             corpus, keys, s.min_reviews_per_language, s.min_share_per_language, scope
@@ -80,11 +81,11 @@ def _shared_text_tables(corpus: DataFrame, keys: Sequence[str], s: Settings, sco
 
 
 def corpus_of(df: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The tokenised texts, kept because every lexical table reads them."""
+    """The tokenised texts, stored because every lexical table reads them."""
     made = text.text_subset(prepare.add_bands(df), s.min_token_length, STOPWORDS if s.remove_stopwords else None)
     wanted = ["app_id", "game_slug", "game_title", "language", "is_positive", "is_negative", "playtime_at_review_band",
               "review_length_words", "review_length_chars", "tokens", "token_count"]
-    return made.select(*[c for c in wanted if c in made.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    return durable(made.select(*[c for c in wanted if c in made.columns]))
 
 
 def text_tables(corpus: DataFrame, keys: Sequence[str] = (), s: Settings = Settings()) -> Tables:
@@ -107,7 +108,7 @@ def language_tables(corpus: DataFrame, keys: Sequence[str] = (), s: Settings = S
 def emotion_tables(df: DataFrame, lexicon: DataFrame, keys: Sequence[str] = (), s: Settings = Settings()) -> Tables:
     df = prepare.add_bands(df)
     subset = emotions.emotion_subset(df, s.target_language, s.min_token_length, s.remove_stopwords)
-    enriched = emotions.enrich_with_emotions(subset, lexicon, [*keys, "recommendationid"])
+    enriched = emotions.enrich_with_emotions(subset, lexicon)
     return {
         "emotion_enriched_reviews": enriched,
         "emotion_corpus_overview": emotions.emotion_overview(df, enriched, s.target_language, keys),
@@ -182,6 +183,13 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, as_csv: bool = Tr
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def write_by_language(tables: Mapping[str, DataFrame], folder: str) -> None:
+    """Each table with a folder per language, named by the language's slug."""
+    for name, df in tables.items():
+        named = df.withColumn("language_slug", X.slug(F.col("language")))
+        named.write.mode("overwrite").partitionBy("language_slug").parquet(f"{folder}/{name}")
+
+
 def write_report(
     df: DataFrame, folder: str, lexicon: DataFrame | None = None, dictionary: themes.Themes | None = None,
     keys: Sequence[str] = (), s: Settings = Settings(),
@@ -202,11 +210,11 @@ def write_report(
         families["theme_metrics"] = theme_tables(df, dictionary, keys, s)
     written: Tables = {}
     for family, tables in families.items():
+        if family == "text_metrics_by_language":
+            write_by_language(tables, f"{folder}/{family}")
+            continue
         write_tables(tables, f"{folder}/{family}", as_csv=False)
-        stored = {name: df.sparkSession.read.parquet(f"{folder}/{family}/{name}") for name in tables}
-        if family != "text_metrics_by_language":
-            written.update(stored)
-    corpus.unpersist()
+        written.update({name: df.sparkSession.read.parquet(f"{folder}/{family}/{name}") for name in tables})
     figures = charts.figure_tables(written, keys=keys)
     write_tables({**figures, "figure_index": charts.figure_index(figures, keys=keys)}, f"{folder}/figures")
     checks = checks_of(df, written, keys)

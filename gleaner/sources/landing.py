@@ -103,9 +103,9 @@ def chunk_index(chunks: DataFrame, slug: str = "") -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """All chunk files of a folder, as text, with the chunk number taken from the file name."""
+    """All chunk files of a folder, as text, with the chunk number taken from the name of the file or of its folder."""
     raw = spark.read.schema(S.raw_schema(as_text=True)).options(header=True, multiLine=True, escape='"').csv(path)
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"_part_(\d+)", 1).try_cast("bigint")
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"_part_(\d+)", 1).try_cast("bigint")
     return raw.withColumn("chunk_number", number)
 
 

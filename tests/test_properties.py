@@ -226,10 +226,10 @@ def test_progress_of_more_than_a_hundred_batches(spark, tmp_path):
 
 
 def test_dedup_forgets_ids_beyond_the_horizon(spark, tmp_path):
-    for day in ("2024-01-01", "2024-01-02", "2024-03-01"):
-        rows = spark.createDataFrame([(1, day)], "id long, day string").selectExpr("id", "cast(day as timestamp) as ts")
+    for number, day in ((1, "2024-01-01"), (1, "2024-01-02"), (2, "2024-02-01"), (1, "2024-03-01")):
+        rows = spark.createDataFrame([(number, day)], "id long, day string").selectExpr("id", "cast(day as timestamp) as ts")
         rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         source = streams.read_files(spark, str(tmp_path / "in"), rows.schema, 1)
         streams.run_to_files(streams.dedup(source, ["id"], "ts", "7 days"), str(tmp_path / "out"), str(tmp_path / "state"))
     kept = spark.read.parquet(str(tmp_path / "out")).selectExpr("cast(ts as date) as d").collect()
-    assert sorted(str(r.d) for r in kept) == ["2024-01-01", "2024-03-01"]
+    assert sorted(str(r.d) for r in kept) == ["2024-01-01", "2024-02-01", "2024-03-01"]
