@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import exprs as X
 from gleaner.operators import profile as P
 
+# The variables of each summary, in report order.
 PROFILE_VARIABLES = ["num_games_owned", "num_reviews"]
 PLAYTIME_VARIABLES = [
     "playtime_forever", "playtime_last_two_weeks", "playtime_at_review", "deck_playtime_at_review",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The landed columns by type.
 STRING_COLUMNS = [
     "recommendationid", "steamid", "language", "review", "weighted_vote_score", "developer_response",
 ]
@@ -25,7 +26,7 @@ RAW_COLUMNS = [
     "timestamp_dev_responded", "primarily_steam_deck",
 ]
 
-# Fields of a landed review that sit in its nested author.
+# Fields of a landed review that sit in its nested author.
 AUTHOR_COLUMNS = [
     "steamid", "num_games_owned", "num_reviews", "playtime_forever", "playtime_last_two_weeks",
     "playtime_at_review", "deck_playtime_at_review", "last_played",
