@@ -64,8 +64,8 @@ def fit(sample: np.ndarray, rows: int, similarity: float, recall: float, seed: i
     limit = min(len(grid.first) * len(grid.second), FRONT * FRONT)
     target = grid.nearest_cells(other, 1)
     met = np.concatenate([grid.nearest_cells(some[i: i + 128], limit) == target[i: i + 128] for i in range(0, len(some), 128)])
-    grid.visits = int(np.searchsorted(met.any(axis=0) if len(met) == 0 else np.cumsum(met.mean(axis=0)), recall) + 1)
-    grid.visits = min(grid.visits, limit)
+    reached = np.cumsum(met.mean(axis=0))  # of the neighbours, by the number of cells visited
+    grid.visits = min(int(np.searchsorted(reached, recall)) + 1, limit)
     return grid
 
 
