@@ -29,7 +29,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block at most; sources of fewer than 512 blocks get shorter ones, so that part of a round can meet their target.
 BLOCK, LEAST_BLOCKS = 256, 512
 SHARD_SLOTS = 4096
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 # ---------------------------------------------------------------- targets

@@ -20,7 +20,7 @@ from gleaner.llm import words as W
 from gleaner.llm.storage import written
 from gleaner.llm.tokens import memo, with_end
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Rows of partition totals (two numbers each) up to which they are broadcast; beyond it they are joined by shuffle.
 BROADCAST_PARTS = 500_000
 PIECE = "struct(w as sequence_id, greatest(first, w * {n}) - first as start, greatest(first, w * {n}) - w * {n} as offset, least(first + doc_tokens, (w + 1) * {n}) - greatest(first, w * {n}) as length)"

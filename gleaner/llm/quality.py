@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import words as W
 from gleaner.llm.storage import written
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Classes of bytes that statistics count; the last number is for bytes beyond ASCII.
 CLASSES = {
     "lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t\r\x0b\x0c",

@@ -32,7 +32,7 @@ from gleaner.llm.storage import new_folder, shuffle_width
 from gleaner.llm.tokens import memo, with_end
 
 MAGIC, LEVELS, ROOM = 0x314B4F5453, 32, 2
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 READ_BYTES = 8 << 20
 MANIFEST = "shard string, low long, high long, empty_ids long, rows long, tokens long, width int"
 

@@ -10,7 +10,7 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Words that a worker remembers at most; beyond it the memo starts anew. It does not change results.
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 400_000
 ENCODE_AT_ONCE = 4096
 
 #: A line break, Latin letters that have one lower-case form of one code point, marks; a blank marks a first word.
