@@ -7,12 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Which rows hold a vector of `dim` finite numbers without nulls, and these rows as float64."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    good = np.fromiter((v is not None and len(v) == dim for v in (x.as_py() if x.is_valid else None for x in column)), bool, len(column)) if column.null_count or len(column) * dim != len(column.flatten()) or column.flatten().null_count else np.ones(len(column), bool)
+    if not dim:
+        return np.zeros(len(column), bool), np.zeros((0, 1))
+    good = np.array(pc.equal(pc.list_value_length(column), dim).fill_null(False))
     rows = column.filter(pa.array(good))
     flat = rows.flatten()
     if flat.null_count:
