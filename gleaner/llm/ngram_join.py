@@ -343,7 +343,8 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, fragments
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
     first = usable.groupBy("component_id").agg(F.min_by("__row", order).alias("__first"))
     dropped = usable.join(first, "component_id").filter("__row <> __first").select("__row")
-    return texts.join(dropped, "__row", "left_anti").select(*docs.columns)
+    # what goes grows with the corpus, so this is a shuffle join at every size
+    return texts.join(dropped.hint("merge"), "__row", "left_anti").select(*docs.columns)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Words that a worker remembers at most; beyond it the memo starts anew. It does not change results.
+#: Words that a worker remembers; beyond it, those that came only once are forgotten. It does not change results.
 MEMO_WORDS = 400_000
 ENCODE_AT_ONCE = 4096
 
@@ -51,8 +51,20 @@ class WordMemo:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
+        self.hits = np.zeros(1 << 16, np.int64)
         self.used = self.entries = 0
 
+    def _shrink(self) -> None:
+        """Keeps the words that came more than once, at most half of the memo, the most frequent ones."""
+        hits, words = self.hits[: self.entries], list(self.place)
+        kept = np.flatnonzero(hits > 1)
+        if len(kept) > MEMO_WORDS // 2:
+            kept = np.sort(kept[np.argsort(-hits[kept], kind="stable")[: MEMO_WORDS // 2]])
+        found = [self.ids[s: s + n].tolist() for s, n in zip(self.starts[kept].tolist(), self.lengths[kept].tolist())]
+        kept_words = [words[i] for i in kept.tolist()]
+        self._clear()
+        self.place.update(zip(kept_words, self._keep(found)))
+
     def _store(self, texts: list[str]) -> range:
         """Encodes texts and keeps their ids; the numbers of their entries."""
         first = self.entries
@@ -68,6 +80,7 @@ class WordMemo:
         while entries > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         self.ids[self.used: need] = np.fromiter(chain.from_iterable(found), np.uint32, need - self.used)
         self.starts[first: entries] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first: entries] = lengths
@@ -112,7 +125,7 @@ class WordMemo:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and their number per text."""
         if self.entries > MEMO_WORDS:
-            self._clear()
+            self._shrink()
         words = [self._words(t) for t in texts]
         flat = list(chain.from_iterable(w if w is not None else ("",) for w in words))  # an empty word stands for a whole text
         at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
@@ -122,6 +135,7 @@ class WordMemo:
             self._learn(list(dict.fromkeys(missing)))
             at[new] = [self.place.get(flat[i], -1) for i in new]
         entries, used = self.entries, self.used
+        self.hits[:entries] += np.bincount(at[at >= 0], minlength=entries)
         at[at < 0] = self._store([t for t, w in zip(texts, words) if w is None])
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
