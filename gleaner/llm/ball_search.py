@@ -5,6 +5,8 @@ vector fills several). Of each shard a centre and a radius are known, so `query
 inner product in it. A query first searches the shard with the largest bound. The k-th score that it finds there goes with it
 to all other shards whose bound reaches it, and in each of them to the nodes of the shard's ball tree, largest bound first,
 until no node can hold a better vector. Bounds have a margin for rounding; scores are whole numbers, computed exactly.
+
+A shard holds vectors of one length. Each length has centres of its own, and queries reach the shards of their own length only.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.storage import shuffle_width, written
-from gleaner.llm.vectors import groups, kmeans, matrix, nearest
+from gleaner.llm.vectors import by_length, groups, kmeans, length_counts, matrices, nearest, samples, unpack
 
 #: Rows of the sample that the centres are fitted on, and the most centres.
 SAMPLE_ROWS, MOST_CENTRES = 20_000, 2_048
@@ -27,26 +29,20 @@ SHARD_ROWS, LEAF_ROWS, QUERY_BLOCK = 8_192, 256, 1_024
 MARGIN = 1e-6
 
 
-def whole_vectors(table: DataFrame, scale: int) -> tuple[DataFrame, int]:
-    """`(vec_id, vector binary)`: `floor(scale * x)` of usable vectors as 64-bit numbers, and the dimension.
+def whole_vectors(table: DataFrame, scale: int) -> DataFrame:
+    """`(vec_id, vector binary)`: `floor(scale * x)` of usable vectors as 64-bit numbers, whatever their lengths.
 
-    Left out are null ids, null vectors, vectors that hold null or non-finite components, and those shorter than the longest.
+    Left out are null ids, null vectors, vectors without components, and those that hold null or non-finite components.
     """
-    dim = table.agg(F.max(F.size("embedding"))).first()[0] or 0
-    dim = max(dim, 0)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, values = matrix(batch.column("embedding"), dim)
-            whole = np.floor(scale * values).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").filter(pa.array(good)), pa.array([v.tobytes() for v in whole], pa.binary())], names=["vec_id", "vector"])
+            for rows, values in matrices(batch.column("embedding")):
+                whole = np.floor(scale * values).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows)), pa.array([v.tobytes() for v in whole], pa.binary())], names=["vec_id", "vector"])
 
     usable = table.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    return (usable if dim else usable.limit(0)).mapInArrow(convert, "vec_id long, vector binary"), dim
-
-
-def unpack(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.int64).reshape(-1, dim)
+    return usable.mapInArrow(convert, "vec_id long, vector binary")
 
 
 class BallTree:
@@ -109,7 +105,7 @@ class BallTree:
 RESULT = "query_id long, q long, vec_id long, score long"
 
 
-def _search(pairs: DataFrame, members: DataFrame, dim: int, k: int) -> DataFrame:
+def _search(pairs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """`pairs (q, query_id, vector, shard, floor)` against `members (shard, vec_id, vector)`; queries come in blocks."""
     blocks = pairs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
     asked = pairs.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int"))
@@ -122,9 +118,9 @@ def _search(pairs: DataFrame, members: DataFrame, dim: int, k: int) -> DataFrame
             here, ask = group[group["side"] == 0], group[group["side"] == 1]
             if not len(here) or not len(ask):
                 continue
-            tree = BallTree(unpack(here["vector"], dim), here["id"].to_numpy(np.int64))
+            tree = BallTree(unpack(here["vector"]), here["id"].to_numpy(np.int64))
             own, number = ask["id"].to_numpy(np.int64), ask["q"].to_numpy(np.int64)
-            rows = list(tree.search(unpack(ask["vector"], dim), own, k, ask["floor"].to_numpy(np.int64)))
+            rows = list(tree.search(unpack(ask["vector"]), own, k, ask["floor"].to_numpy(np.int64)))
             if rows:
                 sizes = [len(s) for _, s, _ in rows]
                 at = np.repeat([i for i, _, _ in rows], sizes)
@@ -140,7 +136,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def top_k(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
-    """`(query_id, rank, vec_id, score)`: the `k` largest inner products of each query with all other rows.
+    """`(query_id, rank, vec_id, score)`: the `k` largest inner products of each query with all other rows of its length.
 
     `table` has `vec_id` and `embedding`; other columns are ignored. Queries are the rows whose vec_id is divisible by `every`.
     Vectors are made whole by `floor(scale * x)`; see `whole_vectors` for those that take no part. Equal scores go to the
@@ -148,68 +144,73 @@ def top_k(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> Da
     a repeated candidate is listed as often. With fewer than `k` candidates there are fewer ranks; an empty table gives none.
     """
     spark = table.sparkSession
-    vectors, dim = whole_vectors(table, scale)
-    vectors = written(vectors, "vectors")
-    n = vectors.count()
+    vectors = written(whole_vectors(table, scale), "vectors")
+    counts = length_counts(vectors)
+    n = sum(counts.values())
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # centres: a bounded sample, chosen by a hash of the id
-    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-    sample = vectors.filter(place < int((1 << 30) * min(1.0, SAMPLE_ROWS / n))).limit(2 * SAMPLE_ROWS).select("vector").collect()
-    points = unpack([r.vector for r in sample], dim) if sample else np.zeros((1, dim))
-    centres = kmeans(points, int(np.clip(n // SHARD_ROWS, 1, MOST_CENTRES)))
+    # centres of each length: a bounded sample, chosen by a hash of the id; numbered through all lengths
+    drawn = samples(vectors, counts, F.col("vec_id"), SAMPLE_ROWS)
+    each = max(SHARD_ROWS, n // MOST_CENTRES)
+    centres = {d: kmeans(drawn[d], int(np.clip(counts[d] // each, 1, MOST_CENTRES))) for d in sorted(counts)}
+    start = dict(zip(centres, np.cumsum([0, *map(len, centres.values())]).tolist()))
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                yield f.assign(centre=nearest(unpack(f["vector"], dim).astype(np.float64), centres).astype(np.int32))
+            for dim, own in by_length(f):
+                yield own.assign(centre=nearest(unpack(own["vector"]).astype(np.float64), centres[dim]).astype(np.int32) + start[dim])
 
     near = vectors.mapInPandas(assign, "vec_id long, vector binary, centre int")
     near = written(near.withColumn("q", F.monotonically_increasing_id()), "near")
-    # large centres are split; together there are at most 2 * MOST_CENTRES shards, so what is known of them stays bounded
+    # large centres are split; together there are at most 2 * MOST_CENTRES shards and one per length, so what is known of them stays bounded
     limit = max(SHARD_ROWS, -(-n // MOST_CENTRES))
     parts = near.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("parts"))
-    members = near.join(F.broadcast(parts), "centre").withColumn("shard", (F.col("centre") * 65536 + F.pmod(F.xxhash64("q"), F.col("parts"))).cast("int"))
+    members = near.join(F.broadcast(parts), "centre").withColumn("shard", F.col("centre").cast("long") * 65536 + F.pmod(F.xxhash64("q"), F.col("parts")))
     members = written(members.select("shard", "q", "vec_id", "vector"), "members")
 
     def spans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for shard, own in f.groupby("shard"):
-                points = unpack(own["vector"], dim).astype(np.float64)
-                yield pd.DataFrame({"shard": [shard], "radius": [float(np.sqrt(((points - centres[shard >> 16]) ** 2).sum(axis=1).max()))]})
+                points = unpack(own["vector"]).astype(np.float64)
+                dim = points.shape[1]
+                hub = centres[dim][(shard >> 16) - start[dim]]
+                yield pd.DataFrame({"shard": [shard], "dim": [dim], "radius": [float(np.sqrt(((points - hub) ** 2).sum(axis=1).max()))]})
 
-    known = members.select("shard", "vector").mapInPandas(spans, "shard int, radius double").groupBy("shard").agg(F.max("radius").alias("radius")).collect()
-    shards = np.array([r.shard for r in known], np.int32)
-    hubs, radii = centres[shards >> 16], np.array([r.radius for r in known])
+    known = members.select("shard", "vector").mapInPandas(spans, "shard long, dim int, radius double").groupBy("shard", "dim").agg(F.max("radius").alias("radius")).toPandas()
+    shards = {d: own["shard"].to_numpy(np.int64) for d, own in known.groupby("dim")}
+    hubs = {d: centres[d][(shards[d] >> 16) - start[d]] for d in shards}
+    radii = {d: own["radius"].to_numpy(np.float64) for d, own in known.groupby("dim")}
 
     def bounded(queries: np.ndarray) -> np.ndarray:
-        b = queries @ hubs.T + np.sqrt((queries**2).sum(axis=1))[:, None] * radii
+        dim = queries.shape[1]
+        b = queries @ hubs[dim].T + np.sqrt((queries**2).sum(axis=1))[:, None] * radii[dim]
         return b + MARGIN * (1 + np.abs(b))
 
     lowest = -(1 << 62)
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                at = bounded(unpack(f["vector"], dim).astype(np.float64)).argmax(axis=1)
-                yield f.assign(shard=shards[at], floor=lowest)
+            for dim, own in by_length(f):
+                at = bounded(unpack(own["vector"]).astype(np.float64)).argmax(axis=1)
+                yield own.assign(shard=shards[dim][at], floor=lowest)
 
     def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for i in range(0, len(f), 256):
-                some = f.iloc[i: i + 256]
-                reach = bounded(unpack(some["vector"], dim).astype(np.float64)) >= some["floor"].to_numpy(np.float64)[:, None]
-                reach &= shards[None, :] != some["shard"].to_numpy()[:, None]
-                row, col = np.nonzero(reach)
-                yield some.iloc[row].assign(shard=shards[col])
-
-    ask = "q long, query_id long, vector binary, shard int, floor long"
+            for dim, own in by_length(f):
+                for i in range(0, len(own), 256):
+                    some = own.iloc[i: i + 256]
+                    reach = bounded(unpack(some["vector"]).astype(np.float64)) >= some["floor"].to_numpy(np.float64)[:, None]
+                    reach &= shards[dim][None, :] != some["shard"].to_numpy()[:, None]
+                    row, col = np.nonzero(reach)
+                    yield some.iloc[row].assign(shard=shards[dim][col])
+
+    ask = "q long, query_id long, vector binary, shard long, floor long"
     queries = members.filter(F.col("vec_id") % every == 0).select("q", F.col("vec_id").alias("query_id"), "vector")
     home = written(queries.mapInPandas(first, ask), "home")
     held = members.select("shard", "vec_id", "vector")
-    early = written(_best(_search(home, held, dim, k), k), "early")
+    early = written(_best(_search(home, held, k), k), "early")
     floors = early.filter(F.col("rank") == k).select("q", F.col("score").alias("kth"))
     rest = home.join(floors, "q", "left").select("q", "query_id", "vector", "shard", F.coalesce("kth", "floor").alias("floor")).mapInPandas(others, ask)
-    late = _search(written(rest, "rest"), held, dim, k)
+    late = _search(written(rest, "rest"), held, k)
     both = early.select("query_id", "q", "vec_id", "score").unionByName(late)
     return _best(both, k).select("query_id", "rank", "vec_id", "score")

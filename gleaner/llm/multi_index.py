@@ -4,7 +4,8 @@ Unit vectors are cut into two halves, each with a codebook of its own, fitted on
 grid of cells, and every vector lies in one of them. A vector looks for its neighbours in the cells nearest to it, in the order
 of the sum of both halves' distances (multi-sequence traversal). How many cells it visits is found on the sample: so many that
 neighbours exactly at the threshold, drawn in random directions, would be met with the target recall; copies and closer
-neighbours are met sooner. Every vector is indexed, and every pair that meets in a cell is compared in double precision.
+neighbours are met sooner. Every vector is indexed, and every pair that meets in a cell is compared in double precision. Each
+length of vectors has codebooks and cells of its own.
 
 Equal vectors of one label are one vector with a weight. What remains of a crowded cell is searched in square blocks: a
 task gets two bounded sets of vectors, counts links per vector, and joins linked vectors to the smallest one of the block
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.graph import components
 from gleaner.llm.storage import shuffle_width, written
-from gleaner.llm.vectors import distances, groups, kmeans, matrix
+from gleaner.llm.vectors import by_length, distances, groups, kmeans, length_counts, matrices, samples, unpack
 
 SAMPLE_ROWS, RECALL_ROWS, MOST_CODES = 20_000, 2_000, 512
 #: Vectors per cell that the number of codes aims at; vectors of either side of a block; cells visited at most per half code.
@@ -69,13 +70,13 @@ def fit(sample: np.ndarray, rows: int, similarity: float, recall: float, seed: i
     return grid
 
 
-def block_links(a: pd.DataFrame, b: pd.DataFrame, dim: int, similarity: float) -> tuple[pd.DataFrame, pd.DataFrame]:
+def block_links(a: pd.DataFrame, b: pd.DataFrame, similarity: float) -> tuple[pd.DataFrame, pd.DataFrame]:
     """Of the visitors `a` and the members `b` of one block: links per vector, and each linked vector's smallest one.
 
     A pair can meet in both vectors' cells, each visiting the other's. It counts for the visitor where it visits; the member's
     side is counted here as well if the member does not visit the visitor's cell.
     """
-    x, y = (np.frombuffer(b"".join(f["vector"]), np.float64).reshape(-1, dim) for f in (a, b))
+    x, y = (unpack(f["vector"], np.float64) for f in (a, b))
     ra, rb = a["row"].to_numpy(np.int64), b["row"].to_numpy(np.int64)
     linked = (x @ y.T >= similarity) & (ra[:, None] != rb[None, :])
     i, j = np.nonzero(linked)
@@ -107,47 +108,43 @@ def block_links(a: pd.DataFrame, b: pd.DataFrame, dim: int, similarity: float) -
 def near_duplicates(table: DataFrame, similarity: float = 0.93, recall: float = 0.99) -> DataFrame:
     """`(vec_id, n_links, component_id, kept)` for every row of `table` (`vec_id`, `embedding`, `label`; others are ignored).
 
-    Two vectors link when their labels are equal and not null and their cosine is at least `similarity`. Null vectors, zero
-    vectors, vectors with null or non-finite components or of another length than the longest, and rows without label link
-    with nothing. `n_links` counts the other rows linked directly, equal vectors included; `component_id` is the smallest
+    Two vectors link when their lengths are equal, their labels are equal and not null, and their cosine is at least
+    `similarity`. Null vectors, zero vectors, vectors with null or non-finite components, and rows without label link with
+    nothing. `n_links` counts the other rows linked directly, equal vectors included; `component_id` is the smallest
     vec_id reachable by links; `kept` tells whether it is the row's own (null ids: not kept). Repeated rows are rows of their own.
     """
     spark = table.sparkSession
-    dim = max(table.agg(F.max(F.size("embedding"))).first()[0] or 0, 0)
     rows = table.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, values = matrix(batch.column("embedding"), dim)
-            length = np.linalg.norm(values / np.maximum(np.abs(values).max(axis=1, keepdims=True), 1e-300), axis=1, keepdims=True) * np.abs(values).max(axis=1, keepdims=True)
-            use = length[:, 0] > 0
-            good[np.flatnonzero(good)[~use]] = False
-            vectors = [None] * len(good)
-            for i, v in zip(np.flatnonzero(good).tolist(), values[use] / length[use]):
-                vectors[i] = v.tobytes()
+            vectors = [None] * batch.num_rows
+            for at, values in matrices(batch.column("embedding")):
+                largest = np.abs(values).max(axis=1, keepdims=True)
+                length = np.linalg.norm(values / np.maximum(largest, 1e-300), axis=1, keepdims=True) * largest
+                use = length[:, 0] > 0
+                for i, v in zip(at[use].tolist(), values[use] / length[use]):
+                    vectors[i] = v.tobytes()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "label")), pa.array(vectors, pa.binary())], names=["row", "vec_id", "label", "vector"])
 
     kind = table.schema["label"].dataType.simpleString()
-    plain = rows if dim else rows.withColumn("embedding", F.lit(None).cast("array<double>"))
-    every = written(plain.mapInArrow(units, f"row long, vec_id long, label {kind}, vector binary"), "units")
+    every = written(rows.mapInArrow(units, f"row long, vec_id long, label {kind}, vector binary"), "units")
     usable = every.filter("label is not null and vector is not null")
     distinct = usable.groupBy("label", "vector").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("weight"))
     distinct = written(distinct, "distinct")
-    n = distinct.count()
-    if n:
-        place = F.pmod(F.xxhash64("row"), F.lit(1 << 30))
-        sample = distinct.filter(place < int((1 << 30) * min(1.0, SAMPLE_ROWS / n))).limit(2 * SAMPLE_ROWS).select("vector").collect()
-        points = np.frombuffer(b"".join(r.vector for r in sample), np.float64).reshape(-1, dim) if sample else np.zeros((1, dim))
-        grid = fit(points, n, similarity, recall)
-    else:
-        grid = Grid(np.zeros((1, 1)), np.zeros((1, 1)))
+    counts = length_counts(distinct)
+    drawn = samples(distinct, counts, F.col("row"), SAMPLE_ROWS, np.float64) if counts else {}
+    grids = {dim: fit(drawn[dim], n, similarity, recall) for dim, n in counts.items()}
 
     def place_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for i in range(0, len(f), 512):
-                part = f.iloc[i: i + 512]
-                cells = grid.nearest_cells(np.frombuffer(b"".join(part["vector"]), np.float64).reshape(-1, dim), grid.visits)
-                yield part.assign(home=cells[:, 0], cells=list(cells))
+            for dim, own in by_length(f):
+                grid = grids[dim]
+                for i in range(0, len(own), 512):
+                    part = own.iloc[i: i + 512]
+                    # the cells of a length are numbered behind those of the shorter ones
+                    cells = dim * MOST_CODES**2 + grid.nearest_cells(unpack(part["vector"], np.float64), grid.visits)
+                    yield part.assign(home=cells[:, 0], cells=list(cells))
 
     placed = distinct.mapInPandas(place_cells, f"label {kind}, vector binary, row long, weight long, home long, cells array<long>")
     placed = written(placed, "cells")
@@ -163,7 +160,7 @@ def near_duplicates(table: DataFrame, similarity: float = 0.93, recall: float =
         for _, group in groups(frames, ["label", "cell", "i", "j"]):
             a, b = group[group["side"] == 0], group[group["side"] == 1]
             if len(a) and len(b):
-                yield from (f for f in block_links(a, b, dim, similarity) if len(f))
+                yield from (f for f in block_links(a, b, similarity) if len(f))
 
     both = asked.select(*columns).unionByName(held.select(*columns)).repartition(shuffle_width(spark), "label", "cell", "i", "j")
     found = written(both.sortWithinPartitions("label", "cell", "i", "j").mapInPandas(compare, "u long, v long, n long"), "links")

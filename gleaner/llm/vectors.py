@@ -8,6 +8,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Bytes of a component in packed vectors.
+COMPONENT = 8
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,6 +34,51 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np
     return good, values[finite]
 
 
+def matrices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors in the column: the row numbers of its usable vectors (see `matrix`), and these as float64."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.array(pc.list_value_length(column).fill_null(0))
+    order = np.argsort(lengths, kind="stable")
+    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
+    for rows in np.split(order, cuts):
+        if len(rows) and lengths[rows[0]]:
+            good, values = matrix(column.take(pa.array(rows)), int(lengths[rows[0]]))
+            if len(values):
+                yield rows[good], values
+
+
+def unpack(column, kind: type = np.int64) -> np.ndarray:
+    """Packed vectors of one length, at least one, as a matrix."""
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
+def by_length(frame: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The rows of each length of the column `vector` of packed vectors."""
+    yield from frame.groupby(frame["vector"].map(len) // COMPONENT, sort=False)
+
+
+def length_counts(vectors: DataFrame) -> dict[int, int]:
+    """How many packed vectors there are of each length; the lengths of a table are taken to be at most some thousands."""
+    counts = vectors.groupBy((F.length("vector") / COMPONENT).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    return {r.dim: r.n for r in counts.collect()}
+
+
+def samples(vectors: DataFrame, counts: dict[int, int], key: Column, rows: int, kind: type = np.int64) -> dict[int, np.ndarray]:
+    """A sample of about `rows` packed vectors by a hash of `key`, by length.
+
+    Each length gets its share, and at least an equal part of `rows`, so that rare lengths have a sample, too. Where a length
+    has none all the same, its sample is one vector of zeros.
+    """
+    total = sum(counts.values())
+    rate = {d: min(1.0, max(rows / total, rows / (len(counts) * n))) for d, n in counts.items()}
+    rates = vectors.sparkSession.createDataFrame([(d, int((1 << 30) * r)) for d, r in rate.items()], "dim int, below long")
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    known = vectors.select("vector", place.alias("place"), (F.length("vector") / COMPONENT).cast("int").alias("dim"))
+    some = known.join(F.broadcast(rates), "dim").filter("place < below").limit(rows * (2 if len(counts) == 1 else 4)).select("vector").collect()
+    out: dict[int, np.ndarray] = {d: np.zeros((1, d)) for d in counts}
+    return out | {d: unpack(f["vector"], kind) for d, f in by_length(pd.DataFrame({"vector": [r.vector for r in some]}))}
+
+
 def kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
     """At most `k` centres of a sample that fits into memory."""
     rng = np.random.default_rng(seed)

@@ -75,6 +75,32 @@ def test_top_k_is_exact(vectors, shard_rows, monkeypatch):
     assert got == want
 
 
+def test_every_length_is_searched_on_its_own(spark, vectors):
+    """Longer rows, useful or not, take nothing from the shorter ones; each vector meets all vectors of its length."""
+    rng = np.random.default_rng(6)
+    longer = [[float(np.float32(x)) for x in rng.standard_normal(24)] for _ in range(40)]
+    rows = [(1000 + i, longer[i % 30], i % 30 % 2, 0.5) for i in range(40)]
+    rows += [(1050, [float("nan")] * 128, 0, 0.5), (1100, [None] * 200, 0, 0.5), (None, [1.0] * 300, 0, 0.5), (1150, [1.0] * 250, None, 0.5), (1200, [], 0, 0.5), (1250, [2.0], 1, 0.5), (1251, [0.5], 1, 0.5)]
+    mixed = vectors.union(spark.createDataFrame(rows, SCHEMA))
+    good = [(r.vec_id, np.floor(256 * np.array(r.embedding, np.float64)).astype(np.int64)) for r in mixed.collect() if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding)]
+    want = Counter()
+    for q, v in good:
+        if q % 50 == 0:
+            best = sorted((-int(v @ w), i) for i, w in good if i != q and len(w) == len(v))[:5]
+            want.update((q, rank, i, -s) for rank, (s, i) in enumerate(best, 1))
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in ball_search.top_k(mixed, every=50).collect())
+    assert got == want and {q for q, *_ in want} > {0, 50, 1000, 1250}
+
+    columns = ["vec_id", "n_links", "component_id", "kept"]
+    alone = multi_index.near_duplicates(vectors).select(*columns).collect()
+    linked = multi_index.near_duplicates(mixed).select(*columns).collect()
+    old = sum(r.n_links for r in alone)
+    of = lambda found, least, most: [r for r in found if r.vec_id is not None and least <= r.vec_id < most]
+    assert old > 1000 and sum(r.n_links for r in of(linked, 0, 1000)) >= 0.98 * sum(r.n_links for r in of(alone, 0, 1000))
+    assert {(r.vec_id, r.n_links, r.component_id) for r in of(linked, 1000, 1040)} == {(1000 + i, int(i < 10 or i >= 30), 1000 + i % 30) for i in range(40)}
+    assert {r.vec_id: (r.n_links, r.component_id) for r in of(linked, 1050, 1252)} == {i: (0, i) for i in (1050, 1100, 1150, 1200)} | {1250: (1, 1250), 1251: (1, 1250)}
+
+
 def test_fewer_candidates_than_k(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 1, 0.0), (3, [0.5, 0.5], 1, 0.0), (2, [0.5, 0.9], 1, 0.0)], SCHEMA)
     assert [tuple(r) for r in ball_search.top_k(few).orderBy("rank").collect()] == [(0, 1, 2, 32768), (0, 2, 3, 32768)]
