@@ -1,13 +1,13 @@
 """Mixing sources to target weights, block by block.
 
-The words of each source, document after document, are packed into blocks of fixed length. The mix is a row of output shards;
+The words of each source, document after document, are packed into blocks of one length for all sources. The mix is a row of output shards;
 each shard draws how many of its slots every source gets (a multinomial with the targets as weights). A source's slots are
 numbered through all shards, and slot number k takes the block that a pseudorandom permutation of the source's block numbers
 has at place k; after a whole round another permutation follows. So every block of a source comes equally often, but for one,
 and slots find their blocks by a join on (source, block number). Draws and permutations depend on the seed and on numbers
 only, so reruns agree.
 
-A source takes exactly the blocks that come nearest to its target: whole rounds, then part of one. What the shards have drawn
+A source takes whole rounds, then part of one, whose last block is cut off where the source's target is met. What the shards have drawn
 too much is left empty, and what they have drawn too little fills further slots behind the last shard.
 """
 
@@ -26,8 +26,10 @@ from gleaner.llm import words as W
 from gleaner.llm.storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of a block at most; sources of fewer than 512 blocks get shorter ones, so that part of a round can meet their target.
-BLOCK, LEAST_BLOCKS = 256, 512
+#: Words of a block; only the last one of a source is shorter.
+BLOCK = 256
+#: In place of its number, what names the block that is cut off to meet a target.
+CUT_OFF = -1
 SHARD_SLOTS = 4096
 BATCH_BYTES = 2 << 20
 
@@ -57,9 +59,11 @@ class Plan:
     names: list[str | None]
     sizes: np.ndarray
     targets: np.ndarray
-    block: np.ndarray
     blocks: np.ndarray
     slots: np.ndarray
+    last: np.ndarray
+    """The block of the last slot, of which only `words` words are taken; -1 where no block is cut off."""
+    words: np.ndarray
     seed: int
 
 
@@ -67,18 +71,38 @@ def plan(totals: Sequence[tuple[str | None, int]], weights: Sequence[float] = (1
     totals = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
     sizes = np.array([n for _, n in totals], np.int64)
     aims = np.array(targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], most))
-    block = np.clip(sizes // LEAST_BLOCKS, 1, BLOCK)
-    blocks = -(-sizes // block)
+    blocks = -(-sizes // BLOCK)
     rounds = np.minimum(aims // np.maximum(sizes, 1), most).astype(np.int64)
-    rest = np.clip(np.round((aims - rounds * sizes) / block).astype(np.int64), 0, blocks)
-    rest = np.where(rounds >= most, 0, rest)
-    return Plan([n for n, _ in totals], sizes, aims, block, blocks, rounds * blocks + rest, seed)
+    rest = np.where(rounds >= most, 0, np.clip(np.round(aims - rounds * sizes).astype(np.int64), 0, sizes))
+    # of the last round, as many blocks as hold the rest; the short block may be among them
+    short = blocks * BLOCK - sizes
+    number = np.arange(len(sizes))
+    place = np.zeros(len(sizes), np.int64)
+    some = np.flatnonzero(blocks > 0)
+    keys = _key(number, rounds, seed)
+    place[some] = permuted(blocks[some] - 1, blocks[some], keys[some], back=True)
+    held = lambda n: n * BLOCK - np.where(place < n, short, 0)
+    part = -(-rest // BLOCK)
+    part += held(part) < rest
+    words = rest - held(part - 1)
+    cut = (part > 0) & (words < held(part) - held(part - 1))
+    last = np.full(len(sizes), -1, np.int64)
+    last[cut] = permuted(part[cut] - 1, blocks[cut], keys[cut])
+    return Plan([n for n, _ in totals], sizes, aims, blocks, rounds * blocks + part, last, np.where(cut, words, 0), seed)
 
 
 # ---------------------------------------------------------------- permutations
 
-def permuted(place: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The number at `place` of the pseudorandom permutation of 0..size-1 that `key` names: a Feistel network, walked until it falls inside."""
+def _key(s: np.ndarray, turn: np.ndarray, seed: int) -> np.ndarray:
+    """Names the permutation of a source's round."""
+    return W.mix(np.full(len(s), seed, np.uint64) + (s.astype(np.uint64) << np.uint64(32))) + turn.astype(np.uint64)
+
+
+def permuted(place: np.ndarray, size: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """The number at `place` of the pseudorandom permutation of 0..size-1 that `key` names: a Feistel network, walked until it falls inside.
+
+    `back` walks the other way and gives the place of a number.
+    """
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
     out, open_ = place.astype(np.uint64), np.ones(len(place), bool)
@@ -86,8 +110,11 @@ def permuted(place: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     while open_.any():
         h, m, k = half[open_], mask[open_], key[open_]
         left, right = out[open_] >> h, out[open_] & m
-        for turn in range(4):
-            left, right = right, left ^ (W.mix(right + W.mix(k + np.uint64(turn))) & m)
+        for turn in reversed(range(4)) if back else range(4):
+            if back:
+                left, right = right ^ (W.mix(left + W.mix(k + np.uint64(turn))) & m), left
+            else:
+                left, right = right, left ^ (W.mix(right + W.mix(k + np.uint64(turn))) & m)
         out[open_] = (left << h) | right
         open_[open_] = out[open_] >= size[open_].astype(np.uint64)
     return out.astype(np.int64)
@@ -119,7 +146,7 @@ def _placed(rows: DataFrame, p: Plan) -> DataFrame:
 
 
 def slots(spark, p: Plan) -> DataFrame:
-    """`(shard long, slot long, s int, block long)`: the block of every slot that is filled."""
+    """`(shard long, slot long, s int, block long)`: the block of every slot that is filled, `CUT_OFF` for the one that is cut off."""
     total = int(p.slots.sum())
     shards = -(-total // SHARD_SLOTS)
     chance = p.slots / max(1, total)
@@ -145,8 +172,9 @@ def slots(spark, p: Plan) -> DataFrame:
                 for at in range(first, min(first + n, int(p.slots[s])), 1 << 16):
                     k = np.arange(at, min(at + (1 << 16), first + n, int(p.slots[s])))
                     turn, size = k // p.blocks[s], np.full(len(k), p.blocks[s])
-                    key = W.mix(np.full(len(k), p.seed, np.uint64) + (np.uint64(s) << np.uint64(32))) + turn.astype(np.uint64)
-                    yield pd.DataFrame({"shard": shard, "slot": k, "s": np.int32(s), "block": permuted(k % p.blocks[s], size, key)})
+                    block = permuted(k % p.blocks[s], size, _key(np.full(len(k), s), turn, p.seed))
+                    block[(k == p.slots[s] - 1) & (p.last[s] >= 0)] = CUT_OFF
+                    yield pd.DataFrame({"shard": shard, "slot": k, "s": np.int32(s), "block": block})
 
     return runs.mapInPandas(fill, "shard long, slot long, s int, block long")
 
@@ -160,16 +188,20 @@ def taken(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3
     """What the mix takes of each row of `docs` (`doc_id`, `text`, `source`; others are ignored): `doc_id, size, source_size, target, taken`.
 
     Null and empty texts have size 0 and are not taken. A null source is a source of its own, the last one. Repeated rows and
-    null ids are documents of their own; an empty table gives no rows. No document is taken more than `most` times.
+    null ids are documents of their own; an empty table gives no rows. No document is taken more than `most` times. What is
+    taken of a source is its target, rounded to a whole word.
     """
     spark = docs.sparkSession
     rows = written(sized(docs.select("doc_id", "text", "source")).select("doc_id", "source", "__row", "__size"), "sized")
     p = plan(_totals(rows), weights, most, seed)
     placed = written(_placed(rows, p), "placed")
-    length = spark.createDataFrame([(i, int(b)) for i, b in enumerate(p.block)], "s int, length long")
-    cut = placed.filter("__size > 0").join(length, "s").withColumn("block", F.explode(F.expr("sequence(before div length, (before + __size - 1) div length)")))
-    begin, end = F.greatest("before", F.col("block") * F.col("length")), F.least(F.col("before") + F.col("__size"), (F.col("block") + 1) * F.col("length"))
-    pieces = cut.select("s", "block", "__row", (end - begin).alias("words"))
+    cut = placed.filter("__size > 0").withColumn("block", F.explode(F.expr(f"sequence(before div {BLOCK}, (before + __size - 1) div {BLOCK})")))
+    begin, end = F.greatest("before", F.col("block") * BLOCK), F.least(F.col("before") + F.col("__size"), (F.col("block") + 1) * BLOCK)
+    pieces = cut.select("s", "block", "__row", begin.alias("begin"), end.alias("end"))
+    # what lies before the cut is a block of its own
+    last = spark.createDataFrame([(i, int(b), int(b * BLOCK + n)) for i, (b, n) in enumerate(zip(p.last, p.words)) if b >= 0], "s int, block long, stop long")
+    part = pieces.join(last, ["s", "block"]).withColumn("end", F.least("end", "stop")).withColumn("block", F.lit(CUT_OFF).cast("long")).filter("begin < end").drop("stop")
+    pieces = pieces.unionByName(part).select("s", "block", "__row", (F.col("end") - F.col("begin")).alias("words"))
     found = pieces.join(slots(spark, p).select("s", "block"), ["s", "block"]).groupBy("__row").agg(F.sum("words").alias("taken"))
     about = spark.createDataFrame([(i, int(n), float(t)) for i, (n, t) in enumerate(zip(p.sizes, p.targets))], "s int, source_size long, target double")
     every = placed.join(about, "s").join(found, "__row", "left").join(rows.select("__row", "doc_id"), "__row")
@@ -180,7 +212,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0
     """The mix itself: the columns of `docs`, one row for each piece of a document that a block in a slot holds, with its text.
 
     `text` is the piece, from its first word to the next piece's (white space included); `n_chars`, where there is such a
-    column, becomes its length. Pieces of one document in one block stay together; texts without words are not in the mix.
+    column, becomes its length. A piece is a document's share of one block, so pieces end only where blocks of `BLOCK` words
+    do, or where the last block of a source is cut off; neighbouring pieces are not joined. Texts without words are not in the mix.
     """
     spark = docs.sparkSession
     rows = written(sized(docs), "sized")
@@ -196,14 +229,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0
                 for j, (text, s, before) in enumerate(zip(part["text"].to_pylist(), part["__s"].to_pylist(), part["__before"].to_pylist())):
                     data, _ = W.utf8(pa.array([text]))
                     starts = W.word_starts(data)
-                    b = int(p.block[s])
-                    numbers = np.arange(before // b, (before + len(starts) - 1) // b + 1)
-                    ends = starts[np.maximum(numbers[1:] * b - before, 0)].tolist()
+                    numbers = np.arange(before // BLOCK, (before + len(starts) - 1) // BLOCK + 1)
+                    ends = starts[np.maximum(numbers[1:] * BLOCK - before, 0)].tolist()
                     raw = data.tobytes()
                     for number, x, y in zip(numbers.tolist(), [0, *ends], [*ends, len(raw)]):
                         at.append(j)
                         blocks.append(number)
                         texts.append(raw[x:y].decode())
+                        stop = number * BLOCK + int(p.words[s]) - before  # the document's words before the cut
+                        if number == p.last[s] and stop > 0:
+                            at.append(j)
+                            blocks.append(CUT_OFF)
+                            texts.append(raw[x: min(y, int(starts[stop])) if stop < len(starts) else y].decode())
                 out = part.take(pa.array(at, pa.int64())).set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
                 out = out.append_column("__block", pa.array(blocks, pa.int64()))
                 yield from out.select([*names, "__s", "__block"]).combine_chunks().to_batches()

@@ -315,6 +315,38 @@ def test_mixed_pieces_are_what_is_taken(docs, nothing):
     assert mixing.mix(nothing.withColumn("n_chars", nothing.n)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 17, 1000])
+def test_permutations_can_be_walked_back(size):
+    there = mixing.permuted(np.arange(size), np.full(size, size), np.full(size, 9))
+    assert mixing.permuted(there, np.full(size, size), np.full(size, 9), back=True).tolist() == list(range(size))
+
+
+def test_small_sources_keep_their_running_text(spark):
+    """Sources of every size are cut at the same 256 words, and what is taken of each is its target."""
+    rows = []
+    for source, n_docs, words in (("a", 30, 10_000), ("b", 7, 700), ("c", 3, 300), ("d", 1, 100), ("e", 1, 1)):
+        rows += [(len(rows) + i, " ".join(f"{source}{i}w{k}" for k in range(words)), source) for i in range(n_docs)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    took = mixing.taken(table).toPandas()
+    per = took.groupby("source_size").agg({"target": "first", "taken": "sum"})
+    assert (abs(per["taken"] - per["target"]) <= 0.5).all() and len(per) == 5
+    before, first = {}, {}
+    for i, text, source in rows:
+        first[i] = before.get(source, 0)
+        before[source] = first[i] + len(text.split())
+    words, cut = Counter(), Counter()
+    for r in mixing.mix(table).collect():
+        piece, whole = r.text.split(), rows[r.doc_id][1].split()
+        at = whole.index(piece[0])
+        assert whole[at: at + len(piece)] == piece
+        words[r.doc_id] += len(piece)
+        begin, end = first[r.doc_id] + at, first[r.doc_id] + at + len(piece)
+        assert at == 0 or begin % 256 == 0
+        cut[r.source] += end % 256 > 0 and at + len(piece) < len(whole)
+    assert all(n <= 1 for n in cut.values())
+    assert {d: n for d, n in zip(took["doc_id"], took["taken"]) if n} == dict(words)
+
+
 # ---------------------------------------------------------------- helpers
 
 def test_batches_by_bytes_lose_nothing(docs):
