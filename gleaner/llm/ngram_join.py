@@ -328,21 +328,21 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, fr
 
 def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, fragments: int | None = None) -> DataFrame:
     """`(doc_id, n_shingles, component_id)` per row of `docs`; see `near_duplicates`."""
-    return _groups(_numbered(docs), similarity, width, fragments).drop("__row")
+    return _groups(_numbered(docs), similarity, width, fragments).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, fragments: int | None = None) -> DataFrame:
     """The rows of `docs` that stay when of each group of near duplicates one does.
 
-    The one with the smallest doc_id stays, of several rows with it the first. Rows without shingles all stay, and so do
-    those with a null doc_id in a group without any other.
+    The one with the smallest doc_id stays, of several rows with it the first, and the first row where all have a null doc_id.
+    Rows without shingles all stay.
     """
     texts = written(_numbered(docs), "texts")
     found = written(_groups(texts, similarity, width, fragments), "groups")
-    usable = found.filter("n_shingles > 0 and component_id is not null")
+    usable = found.filter("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    first = usable.groupBy("component_id").agg(F.min_by("__row", order).alias("__first"))
-    dropped = usable.join(first, "component_id").filter("__row <> __first").select("__row")
+    first = usable.groupBy("component").agg(F.min_by("__row", order).alias("__first"))
+    dropped = usable.join(first, "component").filter("__row <> __first").select("__row")
     # what goes grows with the corpus, so this is a shuffle join at every size
     return texts.join(dropped.hint("merge"), "__row", "left_anti").select(*docs.columns)
 
@@ -352,7 +352,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _groups(texts: DataFrame, similarity: float, width: int, fragments: int | None) -> DataFrame:
-    """`__row, doc_id, n_shingles, component_id` of `texts (__row, doc_id, text)`, which are read once."""
+    """`__row, doc_id, n_shingles, component_id, component` of `texts (__row, doc_id, text)`, which are read once.
+
+    `component` is the smallest `__row` of the group, so groups differ in it also where ids are null or repeated.
+    """
     spark = texts.sparkSession
     fragments = fragments or shuffle_width(spark)
     per_mille = round(1000 * similarity)
@@ -409,4 +412,4 @@ def _groups(texts: DataFrame, similarity: float, width: int, fragments: int | No
     every = ids.select("__row", "doc_id", F.col("n").cast("long").alias("n_shingles")).join(placed, "__row", "left")
     every = written(every.withColumn("component", F.coalesce("component", "__row")), "placed")
     named = every.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return every.join(named, "component").select("__row", "doc_id", "n_shingles", "component_id")
+    return every.join(named, "component").select("__row", "doc_id", "n_shingles", "component_id", "component")

@@ -138,6 +138,17 @@ def test_join_keeps_columns_and_one_of_each_group(docs):
     assert Counter(ids) == Counter([1, 4, 5, 6, 7, 9, None, None, 10, 11, 12])
 
 
+def test_one_of_each_group_stays_whatever_its_ids(spark):
+    """Groups without any id are reduced to one, and groups that share their smallest id are two."""
+    words = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, words), (None, words), (None, words + " more"), (None, "alone here"), (None, ""), (None, ""), (3, other), (3, other), (3, "another text of the same id")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = Counter((r.doc_id, r.text) for r in kept if r.text != words + " more" and r.text != words)
+    assert texts == Counter([(None, "alone here"), (None, ""), (None, ""), (3, other), (3, "another text of the same id")])
+    assert len(kept) == 6
+
+
 def test_join_of_nothing(nothing):
     assert ngram_join.classes(nothing).count() == 0
     assert ngram_join.keep_one(nothing).count() == 0
