@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import ball_search, language_id, mixing, multi_index, ngram_join, packing, pii, quality, sql, token_store, warc
+from gleaner.llm import alignment, ball_search, language_id, mixing, multi_index, ngram_join, packing, pii, quality, sql, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3.0)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the groups' text of a corpus is several times the corpus, so it is digested where it is made
+    found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = [
     op1_language_id, op2_packing, op3_token_store, op4_warc, op5_pii, op6_multi_index, op7_quality, op8_ball_search,
-    op9_ngram_jaccard_join, op10_mixing,
+    op9_ngram_jaccard_join, op10_mixing, op11_alignment,
 ]
 
 
