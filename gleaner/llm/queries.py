@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import alignment, ball_search, language_id, mixing, multi_index, ngram_join, packing, pii, quality, sql, token_store, warc
+from gleaner.llm import alignment, ball_search, hard_negatives, language_id, mixing, multi_index, ngram_join, packing, pii, quality, sql, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +69,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, every=100, positives=5, negatives=10, share=(30, 90, 100), scale=256)
+
+
 QUERIES = [
     op1_language_id, op2_packing, op3_token_store, op4_warc, op5_pii, op6_multi_index, op7_quality, op8_ball_search,
-    op9_ngram_jaccard_join, op10_mixing, op11_alignment,
+    op9_ngram_jaccard_join, op10_mixing, op11_alignment, op12_hard_negatives,
 ]
 
 

@@ -47,4 +47,23 @@ select query_id, rank::int as rank, vec_id, score from (
 ) where rank <= 5
 """
 
-ORACLES = {"op8_ball_search": TOP_INNER_PRODUCTS, "op4_warc": WARC, "op9_ngram_jaccard_join": JACCARD_JOIN}
+HARD_NEGATIVES = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as w
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+), s as (
+  select a.vec_id as anchor_id, v.vec_id, v.label = a.label as same, list_dot_product(a.w, v.w)::bigint as score
+  from v a join v on a.vec_id % 100 = 0 and v.vec_id <> a.vec_id and len(v.w) = len(a.w)
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, vec_id) as place from s where same
+), n as (
+  select p.anchor_id, p.positive_id, s.vec_id as negative_id, p.positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 100 * s.score between 30 * p.positive_score and 90 * p.positive_score
+  where p.place <= 5
+)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+ORACLES = {"op12_hard_negatives": HARD_NEGATIVES, "op8_ball_search": TOP_INNER_PRODUCTS, "op4_warc": WARC, "op9_ngram_jaccard_join": JACCARD_JOIN}
