@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import alignment, ball_search, hard_negatives, language_id, mixing, multi_index, ngram_join, packing, pii, quality, sql, token_store, warc
+from gleaner.llm import alignment, ball_search, fingerprints, hard_negatives, language_id, mixing, multi_index, ngram_join, packing, pii, quality, sql, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,9 +74,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, every=100, positives=5, negatives=10, share=(30, 90, 100), scale=256)
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"), idf=(1.0, 10.0))
+
+
 QUERIES = [
     op1_language_id, op2_packing, op3_token_store, op4_warc, op5_pii, op6_multi_index, op7_quality, op8_ball_search,
     op9_ngram_jaccard_join, op10_mixing, op11_alignment, op12_hard_negatives,
+    op13_fingerprints,
 ]
 
 
