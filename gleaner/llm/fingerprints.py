@@ -1,8 +1,8 @@
 """I-Match fingerprints: hashes of a text's terms of middling document frequency, once per randomised subset of the lexicon.
 
 The lexicon holds the terms whose inverse document frequency lies within a band. Pseudorandom subsets of it are chosen by
-hashes of the terms: the first is the whole lexicon, the others keep a half, a quarter, and so on down to 1/128 of it, so that
-texts of any length have subsets of which they hold a few terms. A text's distinct terms of a subset, sorted, are hashed to one
+hashes of the terms: the first is the whole lexicon, the others keep a half, a quarter, and so on down to 1/128 of it (nine of
+each), so that texts of any length have subsets of which they hold a few terms. A text's distinct terms of a subset, sorted, are hashed to one
 number; the numbers of all subsets are its fingerprint. Two texts are as alike as the share of their numbers that agree.
 
 A term of the lexicon occurs in at least one of 2**`idf[1]` texts, so there are at most 2**`idf[1]` times as many terms as a text
@@ -11,15 +11,14 @@ has on average, however many texts there are. All of it is native expressions: n
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.storage import written
 
-#: Subsets of the lexicon, in lanes of equal numbers; lane i keeps 2**-(i + 1) of the terms.
-SUBSETS, LANES = 64, 7
+#: Subsets of the lexicon: all of it, and chains in which every subset is a random half of the one before.
+CHAINS, DEPTH = 9, 7
+SUBSETS = 1 + CHAINS * DEPTH
 #: Terms of the lexicon up to which it is broadcast; beyond it, it is joined by shuffle.
 BROADCAST_TERMS = 500_000
 BETWEEN_TERMS = r"[^\p{L}\p{N}]+"
@@ -33,35 +32,46 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), BETWEEN_TERMS))
 
 
-def subset_bits(term: Column) -> Column:
-    """A number whose bit j says whether subset j has the term; subset 0 has all."""
-    width = -(-SUBSETS // LANES)
-    lanes, chosen = [], F.lit(-1).cast("long")
-    for lane in range(LANES):
-        chosen = chosen.bitwiseAND(F.xxhash64(term, F.lit(lane)))  # each hash halves what is chosen
-        mask = sum(1 << j for j in range(lane * width, min(SUBSETS, (lane + 1) * width)))
-        lanes.append(chosen.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
-    return reduce(lambda a, b: a.bitwiseOR(b), lanes).bitwiseOR(F.lit(1).cast("long"))
+def in_half(term: Column, chain: int, depth: int) -> Column:
+    """Whether a hash of a term belongs to the half that a chain goes on with: a bit of its own for every chain and depth."""
+    return term.bitwiseAND(F.lit(1 << (chain * DEPTH + depth)).cast("long")) != 0
 
 
 def lexicon(docs: DataFrame, idf: tuple[float, float]) -> DataFrame:
-    """`(t, bits)`: hashes and subsets of the terms whose inverse document frequency, in bits, lies within `idf`."""
+    """`(t)`: hashes of the terms whose inverse document frequency, in bits, lies within `idf`."""
     n = docs.count()
     each = docs.select(F.explode(terms(F.col("text"))).alias("term")).filter("term <> ''").select(F.xxhash64("term").alias("t"))
     counts = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     least, most = n / 2.0 ** idf[1], n / 2.0 ** idf[0]
-    return counts.filter(F.col("df").between(least, most)).select("t", subset_bits(F.col("t")).alias("bits"))
+    return counts.filter(F.col("df").between(least, most)).select("t")
 
 
 # ---------------------------------------------------------------- fingerprints
 
-def numbers(found: Column) -> Column:
-    """For sorted `array<struct<t, bits>>`, one number per subset: 0 where it has none of the terms, else 1 to 65535."""
-    def one(j: int) -> Column:
-        some = F.filter(found, lambda x: F.getbit(x["bits"], F.lit(j)) == 1)
-        return F.when(F.size(some) > 0, (F.pmod(F.xxhash64(some, F.lit(j)), F.lit(65535)) + 1).cast("int")).otherwise(F.lit(0))
+def _number(some: Column, subset: int) -> Column:
+    """0 for no terms, else 1 to 65535."""
+    return F.when(F.size(some) > 0, (F.pmod(F.xxhash64(some, F.lit(subset)), F.lit(65535)) + 1).cast("int")).otherwise(F.lit(0))
+
+
+def _half(some: str, chain: int, depth: int) -> Column:
+    return F.filter(some, lambda x: in_half(x, chain, depth))
 
-    return F.array(*[one(j) for j in range(SUBSETS)])
+
+def with_numbers(df: DataFrame, found: dict[str, str]) -> DataFrame:
+    """Adds one array of `SUBSETS` numbers (the value in `found`) for each column of sorted hashes of terms (the key).
+
+    A chain's next subset is taken from the one before, step by step, so the work per chain is twice the terms, not `DEPTH` times.
+    """
+    kept = list(df.columns)
+    parts = {c: [F.array(_number(F.col(c), 0))] for c in found}
+    names = {(c, chain): f"__{c}_{chain}" for c in found for chain in range(CHAINS)}
+    df = df.withColumns({names[c, chain]: F.col(c) for c, chain in names})
+    for depth in range(DEPTH):
+        df = df.withColumns({name: _half(name, chain, depth) for (_, chain), name in names.items()})
+        df = df.withColumns({f"__{c}_at{depth}": F.array(*[_number(F.col(names[c, k]), 1 + depth * CHAINS + k) for k in range(CHAINS)]) for c in found})
+        for c in found:
+            parts[c].append(F.col(f"__{c}_at{depth}"))
+    return df.select(*kept, *[F.concat(*parts[c]).alias(name) for c, name in found.items()])
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -130,16 +140,17 @@ def fingerprinted(rows: DataFrame, words: DataFrame, small: bool) -> DataFrame:
     carried = [F.when(F.col("s.side") < 0, F.col(c)).alias(c) for c in about]
     each = sided.select(*KEY, *carried, F.col("s.side").alias("side"), F.explode("s.terms").alias("term")).filter("side < 0 or term <> ''")
     each = each.withColumn("t", F.when(F.col("side") >= 0, F.xxhash64("term"))).drop("term")
-    joined = each.join(F.broadcast(words) if small else words, "t", "left").filter("side < 0 or bits is not null")
-    pair = F.struct("t", "bits")
+    words = words.withColumn("listed", F.lit(True))
+    joined = each.join(F.broadcast(words) if small else words, "t", "left").filter("side < 0 or listed")
     found = joined.groupBy(*KEY).agg(
         *[F.first(c, ignorenulls=True).alias(c) for c in about],
-        *[F.array_sort(F.collect_list(F.when(F.col("side") == i, pair))).alias(f"found{i}") for i in (0, 1)],
+        *[F.array_sort(F.collect_list(F.when(F.col("side") == i, F.col("t")))).alias(f"found{i}") for i in (0, 1)],
     )
-    for i, name, empty in ((0, "fingerprint", F.col("n_chars") == 0), (1, "edited_fingerprint", F.col("edited_sha256") == F.sha2(F.lit(""), 256))):
+    for i, empty in ((0, F.col("n_chars") == 0), (1, F.col("edited_sha256") == F.sha2(F.lit(""), 256))):
         # a text without any term of the lexicon is told by its own hash, an empty one by nothing
-        alone = F.when(empty, F.filter(F.col(f"found{i}"), lambda x: F.lit(False))).otherwise(F.array(F.struct(F.col(f"t{i}").alias("t"), subset_bits(F.col(f"t{i}")).alias("bits"))))
-        found = found.withColumn(f"found{i}", F.when(F.size(f"found{i}") > 0, F.col(f"found{i}")).otherwise(alone)).withColumn(name, numbers(F.col(f"found{i}")))
+        alone = F.when(empty, F.array().cast("array<long>")).otherwise(F.array(f"t{i}"))
+        found = found.withColumn(f"found{i}", F.when(F.size(f"found{i}") > 0, F.col(f"found{i}")).otherwise(alone))
+    found = with_numbers(found, {"found0": "fingerprint", "found1": "edited_fingerprint"})
     return found.select(*KEY, "doc_id", "copies", "n_chars", "next", "edited_sha256", "fingerprint", "edited_fingerprint")
 
 

@@ -21,28 +21,29 @@ def string_hash(t):
     return signed(xxhash.xxh64(t.encode(), seed=42).intdigest())
 
 
+def member(t, j):
+    depth, chain = divmod(j - 1, P.CHAINS)
+    return j == 0 or all(t >> (chain * P.DEPTH + d) & 1 for d in range(depth + 1))
+
+
 def split_terms(text):
     return {w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
 
 
 @pytest.fixture(scope="module")
 def subsets(spark):
-    """Terms' hashes to their subsets, and sorted hashes to a subset's number, by Spark's own hash function."""
-
-    def bits(ts):
-        table = spark.createDataFrame([(t,) for t in ts], "t long")
-        return {r.t: r.b & ((1 << 64) - 1) for r in table.select("t", P.subset_bits(F.col("t")).alias("b")).collect()}
+    """Sorted hashes to a subset's number, by Spark's own hash function."""
 
     def hashes(lists):
-        table = spark.createDataFrame([(i, j, x) for (i, j), x in lists.items()], "i int, j int, x array<struct<t long, bits long>>")
+        table = spark.createDataFrame([(i, j, x) for (i, j), x in lists.items()], "i int, j int, x array<long>")
         return {(r.i, r.j): r.n for r in table.select("i", "j", (F.pmod(F.xxhash64("x", "j"), F.lit(65535)) + 1).alias("n")).collect()}
 
-    return bits, hashes
+    return hashes
 
 
 def expected(rows, subsets, low=1.0, high=10.0):
     """Rows as (id, text), each pair once, in the operator's order."""
-    bits, hashes = subsets
+    hashes = subsets
     df = Counter(t for _, text in rows for t in split_terms(text))
     words = {t for t, n in df.items() if len(rows) / 2**high <= n <= len(rows) / 2**low}
     edits = []
@@ -51,11 +52,10 @@ def expected(rows, subsets, low=1.0, high=10.0):
         edits.append(text[: len(text) - k] + rows[(i + 1) % len(rows)][1][:k])
     texts = [t for _, t in rows] + edits
     found = [sorted(string_hash(t) for t in split_terms(x) & words) or ([string_hash(x)] if x else []) for x in texts]
-    known = bits({t for f in found for t in f})
     lists = {}
     for i, f in enumerate(found):
         for j in range(P.SUBSETS):
-            own = [(t, signed(known[t])) for t in f if known[t] >> j & 1]
+            own = [t for t in f if member(t, j)]
             if own:
                 lists[i, j] = own
     numbers = hashes(lists)
@@ -119,5 +119,6 @@ def test_the_band(spark):
     table = spark.createDataFrame([(i, f"all {'half ' if i % 2 else ''}{'rare' if i == 3 else ''}") for i in range(64)], "doc_id long, text string")
     words = lambda *idf: {r.t for r in P.lexicon(P.keyed(table), idf).collect()}
     assert words(0, 10) == {string_hash(w) for w in ("all", "half", "rare")} and words(1, 5) == {string_hash("half")}
-    shares = [sum(b >> j & 1 for b in (r.b for r in spark.range(4000).select(P.subset_bits(F.xxhash64("id")).alias("b")).collect())) / 4000 for j in (0, 5, 25, 60)]
-    assert shares[0] == 1 and abs(shares[1] - 0.5) < 0.05 and abs(shares[2] - 1 / 8) < 0.03 and abs(shares[3] - 1 / 128) < 0.01
+    for chain, depth in ((0, 0), (4, 3), (8, 6)):
+        share = spark.range(4000).select(F.avg(P.in_half(F.xxhash64("id"), chain, depth).cast("int"))).first()[0]
+        assert abs(share - 0.5) < 0.05
