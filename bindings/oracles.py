@@ -703,4 +703,11 @@ def oracle_sql() -> dict[str, str]:
     o["stream_daily_volume"] = stream("strftime(ts, '%Y-%m-%d') as day")
     o["stream_weekly_volume"] = stream(f"{week('ts')} as week")
     o["stream_monthly_polarity"] = stream("strftime(ts, '%Y-%m') as month, event_type")
+    o["stream_late_days"] = o["stream_daily_volume"]
+    o["stream_lost_state"] = o["stream_resume"]
+    o["stream_progress_log"] = """with f as (select event_id // ((select max(event_id) from events) // 4 + 1) as batch_id, count(*) as n from events group by 1),
+      r as (select 0 as run, batch_id, n as rows_in, n as rows_kept from f where batch_id < 2 union all
+            select 1, batch_id, n, case when batch_id < 2 then 0 else n end from f)
+      select run, batch_id, rows_in, rows_kept, sum(rows_kept) over (order by run, batch_id)::bigint as rows_kept_cumulative from r"""
+    o["incremental_bucketed"] = o["incremental_anti_join"]
     return o

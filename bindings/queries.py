@@ -16,8 +16,9 @@ from gleaner.functions import tokens as TK
 from gleaner.functions.durable import checkpoint_folder
 from gleaner.functions.stopwords import STOPWORDS
 from gleaner.operators import charts, describe, emotions, prepare, quality, temporal, text, themes
-from gleaner.sources import landing, tables
+from gleaner.sources import id_store, landing, tables
 from gleaner.sources import schema as S
+from gleaner.streaming import ingest
 from gleaner.streaming import reviews as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +91,14 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("recommendationid", "steamid", "timestamp_created")
 
 
+def incremental_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later part against ids stored in a bucketed table."""
+    df = landing.usable_ids(B.order_reviews(spark, sf_dir))
+    store = id_store.open_ids(spark, _folder(spark))
+    store.add(df.filter(F.col("voted_up").isNotNull()))
+    return store.unseen(df).select("recommendationid", "steamid", "timestamp_created")
+
+
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = landing.parse_pages(pages(spark, sf_dir))
     return landing.ingest_summary(parsed, landing.flatten_pages(parsed), 1000)
@@ -363,11 +372,15 @@ def _landed(spark: SparkSession, sf_dir: str, files: int = 4) -> tuple[str, Data
 def _landed_in_turn(spark: SparkSession, sf_dir: str, files: int = 4) -> tuple[str, DataFrame]:
     """The events as files cut at fixed ids, which arrive one after the other."""
     folder, events = _folder(spark), _events(spark, sf_dir)
-    size = events.agg(F.max("event_id")).first()[0] // files + 1
-    for i in range(files):
+    _arrive_in_turn(events, folder, 4, range(files))
+    return folder, events
+
+
+def _arrive_in_turn(events: DataFrame, folder: str, parts: int, which: range) -> None:
+    size = events.agg(F.max("event_id")).first()[0] // parts + 1
+    for i in which:
         part = events.filter((F.col("event_id") >= i * size) & (F.col("event_id") < (i + 1) * size))
         part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return folder, events
 
 
 KEPT = ["event_id", "user_id", "event_type", "value"]
@@ -400,14 +413,45 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.progress(batches)
 
 
-def stream_table(f: Callable[[DataFrame], DataFrame]) -> Query:
+def stream_lost_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs without a common checkpoint; the second reads everything again and the repeats as well."""
+    folder, events = _landed(spark, sf_dir)
+    for state in ("first", "second"):
+        source = streams.read_files(spark, f"{folder}/in", events.schema)
+        kept = ingest.ingest(source, id_store.open_ids(spark, f"{folder}/ids", {"event_id": "bigint"}), f"{folder}/out", f"{folder}/{state}")
+        events.write.mode("append").parquet(f"{folder}/in")
+    return kept.select(*KEPT)
+
+
+def stream_progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the files, then all of them with a fresh checkpoint: the log goes on, and what is stored is not kept again."""
+    folder, events = _landed_in_turn(spark, sf_dir, 2)
+    for state, files in (("first", 0), ("second", 2)):
+        if files:
+            _arrive_in_turn(events, folder, 4, range(2, 4))
+        source = streams.read_files(spark, f"{folder}/in", events.schema, 1)
+        ingest.ingest(source, id_store.open_ids(spark, f"{folder}/ids", {"event_id": "bigint"}), f"{folder}/out", f"{folder}/{state}")
+    return ingest.progress(spark, f"{folder}/out").drop("finished_at")
+
+
+def stream_table(keys: list[str], f: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder, events = _landed(spark, sf_dir)
         source = streams.read_files(spark, f"{folder}/in", events.schema, 1)
-        return streams.run_to_table(f(source), f"{folder}/out", f"{folder}/state")
+        return ingest.run_to_changes(f(source), keys, f"{folder}/out", f"{folder}/state")
     return run
 
 
+def stream_late_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that come in two runs: the second brings every third event, for days that the first has counted already."""
+    folder, events = _folder(spark), _events(spark, sf_dir)
+    for late in (F.col("event_id") % 3 != 0, F.col("event_id") % 3 == 0):
+        events.filter(late).write.mode("append").parquet(f"{folder}/in")
+        source = streams.read_files(spark, f"{folder}/in", events.schema)
+        days = ingest.run_to_changes(streams.daily_volume(source, "ts"), ["day"], f"{folder}/out", f"{folder}/state", fold_every=1)
+    return days
+
+
 # ---------------------------------------------------------------- registry
 
 def queries() -> dict[str, Query]:
@@ -555,7 +599,11 @@ def queries() -> dict[str, Query]:
     n["stream_dedup"] = stream_dedup
     n["stream_resume"] = stream_resume
     n["stream_progress"] = stream_progress
-    n["stream_daily_volume"] = stream_table(lambda e: streams.daily_volume(e, "ts"))
-    n["stream_weekly_volume"] = stream_table(lambda e: streams.weekly_volume(e, "ts"))
-    n["stream_monthly_polarity"] = stream_table(lambda e: streams.monthly_polarity(e, "ts", "event_type"))
+    n["stream_daily_volume"] = stream_table(["day"], lambda e: streams.daily_volume(e, "ts"))
+    n["stream_weekly_volume"] = stream_table(["week"], lambda e: streams.weekly_volume(e, "ts"))
+    n["stream_monthly_polarity"] = stream_table(["month", "event_type"], lambda e: streams.monthly_polarity(e, "ts", "event_type"))
+    n["stream_late_days"] = stream_late_days
+    n["stream_lost_state"] = stream_lost_state
+    n["stream_progress_log"] = stream_progress_log
+    n["incremental_bucketed"] = incremental_bucketed
     return n

@@ -7,6 +7,7 @@ RocksDB, on disk, so that the ids a dedup remembers need not fit into memory.
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,21 +43,10 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return _run(stream.writeStream.format("parquet"), stream.sparkSession, checkpoint, path)
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Process everything that has arrived and return the complete result, from storage.
-
-    Each batch writes the complete result to a folder of its own and then notes its number; the last one noted counts. A
-    batch that is repeated after a failure writes its folder anew.
-    """
-    spark = stream.sparkSession
-
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/result/{number}")
-        batch.sparkSession.range(number, number + 1).write.mode("overwrite").parquet(f"{path}/last")
-
-    _run(stream.writeStream.outputMode("complete").foreachBatch(store), spark, checkpoint)
-    last = spark.read.schema("id long").parquet(f"{path}/last").first().id
-    return spark.read.schema(stream.schema).parquet(f"{path}/result/{last}")
+def run_batches(stream: DataFrame, mode: str, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Process everything that has arrived, batch by batch, with `work(batch, number)`; a batch that failed comes again with
+    the same number."""
+    return _run(stream.writeStream.outputMode(mode).foreachBatch(work), stream.sparkSession, checkpoint)
 
 
 # ---------------------------------------------------------------- operators
