@@ -266,10 +266,13 @@ def enriched_emotions() -> str:
     return f"{EMO_T}, e as (select *, {rates} from (select *, {matched} as emotion_token_count, {hits} from t))"
 
 
-def hits_in_theme(theme: str, every: bool = True) -> str:
+def hits_in_theme(theme: str, every: bool = True, whole_tokens: bool = False) -> str:
     parts = []
     for term in L.THEMES[theme]:
-        if " " in term:
+        if " " in term and whole_tokens:
+            sought = f" {term.replace(' ', '  ')} "
+            n = f"((length(spaced) - length(replace(spaced, {q(sought)}, ''))) // {len(sought)})"
+        elif " " in term:
             n = f"((length(joined) - length(replace(joined, {q(term)}, ''))) // {len(term)})"
         else:
             n = f"len(list_filter(tokens, lambda t: t = {q(term)}))"
@@ -584,7 +587,7 @@ def oracle_sql() -> dict[str, str]:
     # G. emotions
     E = enriched_emotions()
     o["emotion_subset"] = f"{EMO_T} select recommendationid, token_count as token_count_for_emotion_analysis from t"
-    o["emotion_enrich"] = f"{E} select recommendationid, {EMO}, {', '.join(f'{e}_count, {e}_per_100_tokens' for e in K.EMOTIONS)} from e"
+    o["emotion_enrich"] = o["emotion_enrich_by_join"] = f"{E} select recommendationid, {EMO}, {', '.join(f'{e}_count, {e}_per_100_tokens' for e in K.EMOTIONS)} from e"
     o["emotion_overview"] = overview(E, K.EMOTIONS, EMO, "emotion", "total_emotion_token_matches")
     o["emotion_distribution"] = distribution(E, K.EMOTIONS, "emotion")
     o["emotion_by_polarity"] = by_segment(E, K.EMOTIONS, EMO)
@@ -599,6 +602,8 @@ def oracle_sql() -> dict[str, str]:
     o["theme_subset"] = f"{THEME_T} select recommendationid, token_count as token_count_for_theme_analysis from t"
     single = ", ".join(f"{hits_in_theme(t, False)} as {t}_count" for t in L.THEMES)
     o["theme_match"] = f"{THEME_T} select recommendationid, {single} from (select *, array_to_string(tokens, ' ') as joined from t)"
+    whole = ", ".join(f"{hits_in_theme(t, whole_tokens=True)} as {t}_count" for t in L.THEMES)
+    o["theme_phrases_of_tokens"] = f"{THEME_T} select recommendationid, {whole} from (select *, ' ' || array_to_string(tokens, '  ') || ' ' as spaced from t)"
     o["theme_enrich"] = f"{T} select recommendationid, {THE}, themes_present_count, {', '.join(f'{t}_count, {t}_present, {t}_matched_terms, {t}_per_100_tokens' for t in THEMES)} from e"
     o["theme_overview"] = overview(T, THEMES, THE, "theme", "total_theme_matches")
     o["theme_distribution"] = distribution(T, THEMES, "theme")

@@ -225,6 +225,11 @@ def emo(f: Callable[[DataFrame], DataFrame]) -> Query:
     )
 
 
+def emotions_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of a lexicon that is too large for a constant."""
+    return emotions.enrich_with_emotions(emotions.emotion_subset(B.txt(spark, sf_dir)), lexicon(spark), limit=0)
+
+
 def emotion_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = without_context(B.txt(spark, sf_dir))
     return emotions.emotion_overview(df, emotions.enrich_with_emotions(emotions.emotion_subset(df), lexicon(spark)))
@@ -238,6 +243,10 @@ def theme(f: Callable[[DataFrame], DataFrame]) -> Query:
     return txt(lambda df: f(themes.enrich_with_themes(themes.theme_subset(df), L.THEMES)))
 
 
+def theme_phrases_of_tokens(df: DataFrame) -> DataFrame:
+    return themes.enrich_with_themes(themes.theme_subset(df), L.THEMES, phrase_mode="token").select("recommendationid", *[f"{t}_count" for t in L.THEMES])
+
+
 def theme_overview(df: DataFrame) -> DataFrame:
     df = without_context(df)
     return themes.theme_overview(df, themes.enrich_with_themes(themes.theme_subset(df), L.THEMES), L.THEMES)
@@ -561,6 +570,7 @@ def queries() -> dict[str, Query]:
 
     n["emotion_subset"] = txt(lambda df: emotions.emotion_subset(df).select("recommendationid", emotions.TOKENS))
     n["emotion_enrich"] = emo(pick(*EMOTION_COLUMNS))
+    n["emotion_enrich_by_join"] = lambda spark, sf_dir: pick(*EMOTION_COLUMNS)(emotions_by_join(spark, sf_dir))
     n["emotion_overview"] = emotion_overview
     n["emotion_distribution"] = REPORT["emotion_distribution_summary"]
     n["emotion_by_polarity"] = REPORT["emotion_by_polarity"]
@@ -570,6 +580,7 @@ def queries() -> dict[str, Query]:
 
     n["theme_subset"] = txt(lambda df: themes.theme_subset(df).select("recommendationid", themes.TOKENS))
     n["theme_match"] = txt(theme_match)
+    n["theme_phrases_of_tokens"] = txt(theme_phrases_of_tokens)
     n["theme_enrich"] = theme(pick(*THEME_COLUMNS))
     n["theme_overview"] = txt(theme_overview)
     n["theme_distribution"] = REPORT["theme_distribution_summary"]

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import constants as K
 from gleaner.functions import exprs as X
-from gleaner.functions.lookups import SMALL_ROWS, rows_if_small
+from gleaner.functions.durable import durable
+from gleaner.functions.lookups import SMALL_ROWS, constant_lookup, rows_if_small
 from gleaner.functions.stopwords import STOPWORDS
 from gleaner.operators import categories as C
 from gleaner.operators.text import text_subset
@@ -26,47 +26,57 @@ def emotion_subset(
 
 
 def enrich_with_emotions(text: DataFrame, lexicon: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Matched tokens, and hits and hits per 100 tokens for each emotion.
+    """Matched tokens, and hits and hits per 100 tokens for each emotion. Rows need no id.
 
-    The lexicon becomes a constant lookup table inside a projection: no join, no shuffle, and rows need no id. It may have up
-    to `limit` words; a larger one is refused.
+    A lexicon of up to `limit` words becomes a constant lookup table inside a projection: no join, no shuffle. A larger one is
+    joined with the tokens. The result is the same.
     """
     lexicon = lexicon.filter(F.col("emotion").isin(K.EMOTIONS))
     bit = F.element_at(F.create_map(*[F.lit(x) for i, e in enumerate(K.EMOTIONS) for x in (e, 1 << i)]), F.col("emotion"))
     words = lexicon.groupBy("word").agg(F.bit_or(bit).alias("bits"))
-    rows = rows_if_small(words.select("word", "bits", _slot(F.col("word")).alias("slot")), limit)
-    if rows is None:
-        raise ValueError(f"The lexicon has more than {limit} words")
-    return _count_in_place(text, rows).withColumns({f"{e}_per_100_tokens": C.rate(e, TOKENS) for e in K.EMOTIONS})
+    rows = rows_if_small(words.select("word", "bits"), limit)
+    counted = _count_by_join(text, words) if rows is None else _count_in_place(text, {r.word: r.bits for r in rows})
+    return counted.withColumns({f"{e}_per_100_tokens": C.rate(e, TOKENS) for e in K.EMOTIONS})
 
 
-_SLOTS = 4096
-
-
-def _slot(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(_SLOTS)) + 1
+#: A token is frequent if it makes up this share of all tokens, so there are at most as many as its inverse.
+FREQUENT = 0.001
 
 
 def _has(emotion: str) -> Callable[[Column], Column]:
     return lambda bits: bits.bitwiseAND(1 << K.EMOTIONS.index(emotion)) != 0
 
 
-def _count_in_place(text: DataFrame, rows: Sequence) -> DataFrame:
-    """The words sit in 4096 small maps by their hash, so a token is compared with a handful of words only. The table
-    is one JSON constant that the optimizer parses once."""
-    slots: list[dict[str, int]] = [{} for _ in range(_SLOTS)]
-    for r in rows:
-        slots[r.slot - 1][r.word] = r.bits
-    table = F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,int>>")
-    found = F.filter(
-        F.transform("tokens", lambda t: F.element_at(table, _slot(t))[t]), lambda bits: bits.isNotNull()
-    )
+def _count_in_place(text: DataFrame, bits: Mapping[str, int]) -> DataFrame:
+    found = F.filter(F.transform("tokens", constant_lookup(bits, "int")), lambda b: b.isNotNull())
     return text.withColumn("__bits", found).withColumns({
         MATCHES: F.size("__bits").cast("bigint"),
         **{f"{e}_count": F.size(F.filter("__bits", _has(e))).cast("bigint") for e in K.EMOTIONS},
     }).drop("__bits")
 
 
+def _count_by_join(text: DataFrame, words: DataFrame) -> DataFrame:
+    """Tokens leave their row with its number, meet the lexicon, and their counts come back to it.
+
+    Frequent tokens, a thousand at most, meet their entries by a broadcast of these. All others meet the lexicon by shuffle,
+    where no token has more than a thousandth of the rows.
+    """
+    rows = durable(text.withColumn("__row", F.monotonically_increasing_id()))
+    tokens = rows.select("__row", F.explode("tokens").alias("word"))
+    counts = durable(tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    frequent = counts.filter(F.col("n") >= max(1, FREQUENT * total)).select("word")
+    known = durable(frequent.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("known")))
+    marked = tokens.join(F.broadcast(known), "word", "left")
+    rare = marked.filter("known is null").select("__row", "word").join(words, "word").select("__row", "bits")
+    both = marked.filter("known > 0").select("__row", F.col("known").alias("bits")).unionByName(rare)
+    counts_per_row = both.groupBy("__row").agg(
+        F.count(F.lit(1)).alias(MATCHES), *[F.count_if(_has(e)(F.col("bits"))).alias(f"{e}_count") for e in K.EMOTIONS]
+    )
+    new = [MATCHES, *[f"{e}_count" for e in K.EMOTIONS]]
+    return rows.join(counts_per_row, "__row", "left").fillna(0, new).drop("__row").select(*text.columns, *new)
+
+
 def emotion_overview(
     cleaned: DataFrame, enriched: DataFrame, target: str = "english", keys: Sequence[str] = ()
 ) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import exprs as X
+from gleaner.functions.lookups import constant_lookup
 from gleaner.functions.stopwords import ENGLISH_WITHOUT_DOMAIN_WORDS
 from gleaner.operators import categories as C
 from gleaner.operators.text import text_subset
@@ -33,42 +34,78 @@ def theme_subset(
     return text_subset(df, min_length, ENGLISH_WITHOUT_DOMAIN_WORDS if remove_stopwords else None, target, token_count=TOKENS)
 
 
-def theme_terms_found(text: DataFrame, themes: Themes, count_every_hit: bool = True) -> DataFrame:
-    """Adds `theme_hits`: an array of (theme, term, hits) for the terms that occur in each review.
+PHRASE_MODES = ("substring", "token")
+#: Letters on either side of a phrase's first blank that tell which phrases may begin there.
+EDGE = 3
 
-    Words match whole tokens. Phrases match as substrings of the joined tokens, without overlaps. Everything happens
-    inside the row: no join and no shuffle, whatever the number of reviews that hold a term.
-    """
-    themes = clean_themes(themes)
-    pairs = [(theme, term) for theme, terms in themes.items() for term in terms]
-    words = [(t, w) for t, w in pairs if " " not in w]
-    phrases = [(t, p) for t, p in pairs if " " in p]
-    hit = "struct<theme:string,term:string,hits:bigint>"
 
-    # Only the dictionary's own words are kept before the per-term counts.
-    known = sorted({w for _, w in words})
-    kept = F.expr(f"filter(tokens, t -> t in ({X.sql_list(known)}))") if known else F.array().cast("array<string>")
-    base = text.withColumns({"__words": kept, "__joined": F.array_join("tokens", " ") if phrases else F.lit("")})
+def _edge(phrase: str) -> tuple[str, str]:
+    before, after = phrase.split(" ")[:2]
+    return before[-EDGE:], after[:EDGE]
+
 
-    def one(theme: str, term: str, hits: str) -> str:
-        return f"named_struct('theme', {X.sql_string(theme)}, 'term', {X.sql_string(term)}, 'hits', cast({hits} as bigint))"
+def theme_terms_found(text: DataFrame, themes: Themes, count_every_hit: bool = True, phrase_mode: str = "substring") -> DataFrame:
+    """Adds `theme_hits`: an array of (theme, term, hits) for the terms that occur in each review.
 
-    found = [one(t, w, f"size(filter(__words, t -> t = {X.sql_string(w)}))") for t, w in words]
-    for t, p in phrases:
-        q = X.sql_string(p)
-        found.append(one(t, p, f"(char_length(__joined) - char_length(replace(__joined, {q}, ''))) div char_length({q})"))
-    if not found:
+    Words match whole tokens. Phrases match without overlaps: as substrings of the joined tokens (`phrase_mode="substring"`, so
+    they may begin and end within a token), or as whole tokens in a row (`"token"`). The dictionary is an index of constants:
+    tokens look up words, and pairs of neighbouring tokens look up the phrases that may begin there; only terms found in this
+    way are counted. Everything happens inside the row, and the plan does not grow with the number of terms.
+    """
+    if phrase_mode not in PHRASE_MODES:
+        raise ValueError(f"phrase_mode must be one of {PHRASE_MODES}")
+    hit = "struct<theme:string,term:string,hits:bigint>"
+    pairs = [(theme, term) for theme, terms in clean_themes(themes).items() for term in terms]
+    words = [(t, w) for t, w in pairs if " " not in w]
+    # tokens hold no blanks, so a phrase with two blanks in a row occurs nowhere
+    phrases = [(t, p) for t, p in pairs if " " in p and "  " not in p]
+    terms = words + phrases
+    if not terms:
         return text.withColumn("theme_hits", F.array().cast(f"array<{hit}>"))
-    present = F.filter(F.expr(f"array({', '.join(found)})"), lambda h: h["hits"] > 0)
+
+    starts: dict[str, list[int]] = {}
+    for number, (_, term) in enumerate(terms, 1):
+        before, after = ("", "") if number <= len(words) else _edge(term) if phrase_mode == "substring" else term.split(" ")[:2]
+        starts.setdefault(f"{before} {after}" if before else term, []).append(number)
+    index = constant_lookup(starts, "array<int>")
+    named = constant_lookup({str(i): list(term) for i, term in enumerate(terms, 1)}, "array<string>")
+
+    keys = F.array_distinct("tokens")
+    if phrases:
+        t = F.col("tokens")
+        neighbours = F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(2), F.size(t)), lambda i: F.struct(F.element_at(t, i - 1).alias("a"), F.element_at(t, i).alias("b"))))
+        if phrase_mode == "token":
+            ends = [lambda p: F.concat(p["a"], F.lit(" "), p["b"])]
+        else:
+            lengths = sorted({tuple(map(len, _edge(p))) for _, p in phrases})
+            ends = [lambda p, x=x, y=y: F.concat(F.right(p["a"], F.lit(x)), F.lit(" "), F.left(p["b"], F.lit(y))) for x, y in lengths]
+        at = F.flatten(F.transform(neighbours, lambda p: F.array(*[end(p) for end in ends])))
+        keys = F.concat(keys, F.coalesce(F.array_distinct(at), F.array().cast("array<string>")))
+    numbers = F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(keys, index), lambda x: x.isNotNull()))))
+
+    blank = F.lit(" ") if phrase_mode == "substring" else F.lit("  ")
+    joined = F.array_join("tokens", " ") if phrase_mode == "substring" else F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" "))
+
+    def hits(number: Column) -> Column:
+        term = named(number.cast("string"))
+        word = term[1]
+        sought = word if phrase_mode == "substring" else F.concat(F.lit(" "), F.replace(word, F.lit(" "), blank), F.lit(" "))
+        phrase_hits = (F.length("__joined") - F.length(F.replace(F.col("__joined"), sought, F.lit("")))) / F.length(sought)
+        word_hits = F.size(F.filter("tokens", lambda t: t == word))
+        n = F.when(number <= len(words), word_hits).otherwise(phrase_hits).cast("bigint")
+        return F.struct(term[0].alias("theme"), word.alias("term"), n.alias("hits"))
+
+    base = text.withColumns({"__joined": joined if phrases else F.lit(""), "__numbers": numbers})
+    present = F.filter(F.transform("__numbers", hits), lambda h: h["hits"] > 0)
     if not count_every_hit:
         present = F.transform(present, lambda h: h.withField("hits", F.lit(1).cast("bigint")))
-    return base.withColumn("theme_hits", present).drop("__words", "__joined")
+    return base.withColumn("theme_hits", present).drop("__joined", "__numbers")
 
 
-def enrich_with_themes(text: DataFrame, themes: Themes, count_every_hit: bool = True) -> DataFrame:
+def enrich_with_themes(text: DataFrame, themes: Themes, count_every_hit: bool = True, phrase_mode: str = "substring") -> DataFrame:
     """Per theme: count, presence, matched terms and hits per 100 tokens; in total: matches and themes present."""
     names = list(clean_themes(themes))
-    found = theme_terms_found(text, themes, count_every_hit)
+    found = theme_terms_found(text, themes, count_every_hit, phrase_mode)
 
     def of(theme: str):
         return F.filter("theme_hits", lambda h: h["theme"] == theme)
