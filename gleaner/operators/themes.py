@@ -73,7 +73,13 @@ def theme_terms_found(text: DataFrame, themes: Themes, count_every_hit: bool = T
     keys = F.array_distinct("tokens")
     if phrases:
         t = F.col("tokens")
-        neighbours = F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(2), F.size(t)), lambda i: F.struct(F.element_at(t, i - 1).alias("a"), F.element_at(t, i).alias("b"))))
+        # a look at two letters spares most pairs the lookup; there are no more such letters than an alphabet has
+        heads = [term.split(" ")[:2] for _, term in phrases]
+        ends_in, begins_with = sorted({a[-1] for a, _ in heads}), sorted({b[0] for _, b in heads})
+        likely = F.filter(F.sequence(F.lit(2), F.size(t)), lambda i: (
+            F.right(F.element_at(t, i - 1), F.lit(1)).isin(ends_in) & F.left(F.element_at(t, i), F.lit(1)).isin(begins_with)
+        ))
+        neighbours = F.when(F.size(t) > 1, F.transform(likely, lambda i: F.struct(F.element_at(t, i - 1).alias("a"), F.element_at(t, i).alias("b"))))
         if phrase_mode == "token":
             ends = [lambda p: F.concat(p["a"], F.lit(" "), p["b"])]
         else:
