@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import words as W
-from gleaner.llm.storage import written
+from gleaner.llm.storage import set_apart, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block; only the last one of a source is shorter.
@@ -213,9 +213,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0
 
     `text` is the piece, from its first word to the next piece's (white space included); `n_chars`, where there is such a
     column, becomes its length. A piece is a document's share of one block, so pieces end only where blocks of `BLOCK` words
-    do, or where the last block of a source is cut off; neighbouring pieces are not joined. Texts without words are not in the mix.
+    do, or where the last block of a source is cut off; neighbouring pieces are not joined. Texts without words are not in the mix,
+    and an empty table has none. A text of any length is cut whole, alone if it is longer than a batch. Other columns are kept,
+    whatever their names.
     """
-    spark = docs.sparkSession
+    spark, given = docs.sparkSession, docs.columns
+    docs = set_apart(docs, ("doc_id", "text", "source", "n_chars"))
     rows = written(sized(docs), "sized")
     p = plan(_totals(rows), weights, most, seed)
     placed = _placed(rows.select("source", "__row", "__size"), p).filter("__size > 0").select("__row", F.col("s").alias("__s"), F.col("before").alias("__before"))
@@ -248,4 +251,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __s int, __block long"
     pieces = rows.drop("__size").join(placed, "__row").mapInArrow(cut, schema)
     mixed = pieces.join(slots(spark, p).select(F.col("s").alias("__s"), F.col("block").alias("__block")), ["__s", "__block"]).select(*names)
-    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else mixed
+    mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else mixed
+    return mixed.toDF(*given)

@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import words as W
 from gleaner.llm.graph import components
-from gleaner.llm.storage import shuffle_width, written
+from gleaner.llm.storage import bounded_batches, set_apart, shuffle_width, written
 from gleaner.llm.vectors import groups
 
 #: Shingles of this many texts or more form one frequency class; it is also the size from which a batch combines them.
 HOT = 64
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, PIECE_BYTES = 2 << 20, 1 << 19
+#: Row groups of tables with large binary columns.
+ROW_GROUP = 16 << 20
 #: Texts of a group that are compared in one go.
 GROUP_ROWS = 2048
 LOW48 = np.uint64((1 << 48) - 1)
@@ -128,7 +130,7 @@ def shingle_rows(batches: Iterator[pa.RecordBatch], fragments: int, width: int,
     """Texts to one row each, and blocks of their shingles by fragment."""
     for table in W.by_bytes(batches, "text", BATCH_BYTES):
         row = table["row"].to_numpy()
-        hashes, counts = W.shingle_sets(*W.utf8(table["text"]), width)
+        hashes, counts = W.shingle_sets(*W.utf8(table["text"]), width, PIECE_BYTES)
         cuts = np.cumsum(counts) - counts
         some = counts > 0
         k0, k1 = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
@@ -317,34 +319,40 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, fr
 
     Two texts link when their shingle sets' Jaccard similarity is `similarity` (whole per mille) or more. Null and empty texts
     have no shingles and link with nothing. Repeated rows are texts of their own, equal texts link. A text with a null doc_id
-    takes part; its component is the smallest non-null one of its group, or null if it has none. `docs` needs `doc_id` and
-    `text`; its other columns are kept, unless they have the names of the two new ones, which replace them.
+    takes part; its component is the smallest non-null one of its group, or null if it has none. A text of any length is
+    taken whole; a task's memory grows with its longest text. An empty table gives no rows. `docs` needs `doc_id` and `text`;
+    its other columns are kept, whatever their names, unless they have those of the two new ones, which replace them.
     """
-    texts = written(_numbered(docs), "texts")
     kept = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
+    own = set_apart(docs.select(*kept), NEEDED)
+    texts = written(_numbered(own), "texts", row_group=ROW_GROUP)
     found = _groups(texts, similarity, width, fragments).select("__row", "n_shingles", "component_id")
-    return texts.select("__row", *kept).join(found, "__row").select(*kept, "n_shingles", "component_id")
+    return texts.join(found, "__row").select(*own.columns, "n_shingles", "component_id").toDF(*kept, "n_shingles", "component_id")
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, fragments: int | None = None) -> DataFrame:
     """`(doc_id, n_shingles, component_id)` per row of `docs`; see `near_duplicates`."""
-    return _groups(_numbered(docs), similarity, width, fragments).select("doc_id", "n_shingles", "component_id")
+    return _groups(_numbered(docs.select(*NEEDED)), similarity, width, fragments).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, fragments: int | None = None) -> DataFrame:
     """The rows of `docs` that stay when of each group of near duplicates one does.
 
     The one with the smallest doc_id stays, of several rows with it the first, and the first row where all have a null doc_id.
-    Rows without shingles all stay.
+    Rows without shingles all stay. All columns are kept, whatever their names; long texts and empty tables as in `near_duplicates`.
     """
-    texts = written(_numbered(docs), "texts")
+    own = set_apart(docs, NEEDED)
+    texts = written(_numbered(own), "texts", row_group=ROW_GROUP)
     found = written(_groups(texts, similarity, width, fragments), "groups")
     usable = found.filter("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
     first = usable.groupBy("component").agg(F.min_by("__row", order).alias("__first"))
     dropped = usable.join(first, "component").filter("__row <> __first").select("__row")
     # what goes grows with the corpus, so this is a shuffle join at every size
-    return texts.join(dropped.hint("merge"), "__row", "left_anti").select(*docs.columns)
+    return texts.join(dropped.hint("merge"), "__row", "left_anti").select(*own.columns).toDF(*docs.columns)
+
+
+NEEDED = ("doc_id", "text")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -357,6 +365,7 @@ def _groups(texts: DataFrame, similarity: float, width: int, fragments: int | No
     `component` is the smallest `__row` of the group, so groups differ in it also where ids are null or repeated.
     """
     spark = texts.sparkSession
+    bounded_batches(spark)
     fragments = fragments or shuffle_width(spark)
     per_mille = round(1000 * similarity)
     source = texts.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -364,7 +373,7 @@ def _groups(texts: DataFrame, similarity: float, width: int, fragments: int | No
     made = source.mapInArrow(lambda x: shingle_rows(x, fragments, width, per_mille), ROWS)
     # the fragment's number is its partition; other rows only pass
     parts = made.repartition(fragments, "key").mapInArrow(lambda x: fragment_rows(x, fragments, per_mille), ROWS)
-    parts = written(parts, "fragments")
+    parts = written(parts, "fragments", row_group=ROW_GROUP)
     ids = parts.filter("kind = 3").select(F.col("u").alias("__row"), "doc_id", F.col("nu").alias("n"), "k0", "k1")
 
     # links that sums of partial overlaps prove, and equal sets
@@ -376,7 +385,7 @@ def _groups(texts: DataFrame, similarity: float, width: int, fragments: int | No
     # texts that can link at all, one of each equal set
     blocks = parts.filter("kind in (1, 3)").select(*COLUMNS)
     survivors = blocks.repartition(fragments, "key").mapInArrow(lambda x: surviving_rows(x, per_mille), SURVIVOR)
-    survivors = written(survivors, "survivors")
+    survivors = written(survivors, "survivors", row_group=ROW_GROUP)
     one_each = survivors.join(copies.select(F.col("u").alias("row")), "row", "left_anti")
 
     # links within groups of likely near copies; a large group is cut into blocks that share its first text

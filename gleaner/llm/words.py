@@ -64,13 +64,16 @@ def word_starts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~space & before)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) and the number of words per text."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) and the number of words per text.
+
+    Some `piece` bytes are hashed at once, for which arrays of some forty times as many bytes are made.
+    """
     starts_at = np.zeros(len(data) + 1, dtype=bool)
     starts_at[offsets[:-1]] = True
     starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
     while at < len(data):
-        end = min(len(data), at + PIECE)
+        end = min(len(data), at + piece)
         while end < len(data):  # cut where a word ends; a word longer than a piece makes the piece longer
             spaces = np.flatnonzero(IS_SPACE[data[max(at, end - 65536): end]])
             if len(spaces):
@@ -85,12 +88,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.diff(np.searchsorted(starts, offsets))
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text, ascending within the text, and their number per text.
 
     A text of fewer words than `width` has its whole word sequence as the only shingle; one without words has none.
     """
-    words, counts = word_hashes(data, offsets)
+    words, counts = word_hashes(data, offsets, piece)
     ends = np.cumsum(counts)
     if not len(words):
         return words, counts

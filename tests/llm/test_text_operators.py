@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gleaner.llm import language_id, mixing, ngram_join, packing, pii, quality, token_store
@@ -367,3 +368,16 @@ def test_batches_by_bytes_lose_nothing(docs):
     for most in (1, 100, 10_000, 1 << 30):
         parts = list(W.by_bytes(iter(table.to_batches(max_chunksize=4)), "text", most))
         assert pa.concat_tables(parts).select(["n"]).to_pydict() == table.select(["n"]).to_pydict()
+
+
+def test_columns_of_the_names_that_operators_use(docs):
+    """Extra columns named like the operators' own come back with their values."""
+    own = {"__row": 700, "__size": 800, "__s": 1, "__block": 2, "__before": 3, "component": 4, "row": 5, "n": 6, "other 1": 7}
+    table = docs.withColumns({c: F.lit(v) for c, v in own.items()})
+    for found in (ngram_join.keep_one(table), ngram_join.near_duplicates(table), mixing.mix(table)):
+        assert set(table.columns) <= set(found.columns)
+        assert {tuple(r) for r in found.select(*[f"`{c}`" for c in own]).collect()} == {tuple(own.values())}
+    taken = {tuple(r) for r in mixing.taken(docs).collect()}
+    assert {tuple(r) for r in mixing.taken(table).collect()} == taken
+    one, other = (sorted(map(repr, ngram_join.classes(d).collect())) for d in (docs, table))
+    assert one == other
