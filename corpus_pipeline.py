@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import mixing, ngram_join, packing, pii, quality
-from gleaner.llm.storage import written
+from gleaner.llm.storage import bounded_batches, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    bounded_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
@@ -21,16 +22,19 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts gives way to its kind."""
+    bounded_batches(spark)
     return pii.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target proportions: pieces of documents, repeated or left out as the mix has drawn them."""
+    bounded_batches(spark)
     return mixing.mix(docs, weights=(1, 2, 3), most=3.0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens, with their token ids."""
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), spaces="dropped", end_id=2, window=4096)
 
 
