@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import words as W
-from gleaner.llm.storage import written
+from gleaner.llm.storage import bounded_batches, written
 from gleaner.llm.tokens import memo, with_end
 
 BATCH_BYTES = 2 << 20
@@ -51,10 +51,11 @@ def pack(docs: DataFrame, path: str, spaces: str = "dropped", end_id: int = 2, w
     One row per piece: `doc_id, start` (the document's tokens before it), `length, ids` (little-endian unsigned 32-bit),
     `doc_tokens, sequence_id, offset` (place in the sequence), and `sequence_length`: the tokens of the sequence with its
     padding. A last sequence that is not full is padded to `window`, unless its length is a power of two, which stays as it
-    is. Null and empty texts consist of `end_id` alone; repeated rows and null ids are documents of their own; an empty table
-    has no pieces. `docs` needs `doc_id` and `text`; other columns are ignored.
+    is. Null and empty texts consist of `end_id` alone; repeated rows and null ids are documents of their own; a text of any
+    length is encoded whole, alone if it is longer than a batch; an empty table has no pieces. `docs` needs `doc_id` and `text`; other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     stored = written(tokenised(docs, path, spaces, end_id), "tokens")
     totals = written(stored.groupBy("part").agg(F.sum("doc_tokens").alias("n")), "totals")
     # One row per partition of the input: the window is over as many rows as there were tasks.
