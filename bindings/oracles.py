@@ -6,7 +6,7 @@ from bindings import fixtures as B
 from bindings import lookups as L
 from gleaner.functions import constants as K
 from gleaner.functions.stopwords import ENGLISH_WITHOUT_DOMAIN_WORDS, STOPWORDS, WORD_CLOUD_STOPWORDS
-from gleaner.operators import charts, describe
+from gleaner.operators import charts, describe, prepare
 from gleaner.sources import schema as S
 
 DAY, WEEK, MONTH, YM = (
@@ -427,6 +427,9 @@ def oracle_sql() -> dict[str, str]:
     o["csv_round_trip"] = f"with {R_TXT} select recommendationid, language, {norm_text('review')} as review, timestamp_created, voted_up, playtime_forever from r_txt"
     o["json_records"] = f"""{NUM} select json_object('recommendationid', recommendationid, 'language', language, 'voted_up', voted_up, 'votes_up', votes_up,
       'days_to_developer_response', days_to_developer_response)::varchar as value from c"""
+    iso = {ts: f"strftime(make_timestamp({unix} * 1000000), '%Y-%m-%dT%H:%M:%SZ') as {ts}" for unix, (ts, _) in prepare.TIMES.items()}
+    whole = [iso.get(c, c) for c in S.CLEANED_COLUMNS if c not in ("game_slug", "game_title")]
+    o["json_whole_rows"] = f"{NUM} select {', '.join(whole)} from c"
     o["preparation_metadata"] = f"""{NUM} select count(*) as rows_exported, {len(S.CLEANED_COLUMNS) - 2}::bigint as columns_exported, {trues('is_positive')} as positive_reviews,
       {trues('is_negative')} as negative_reviews, {trues('has_developer_response')} as reviews_with_developer_response, count(distinct language) as languages_detected from c"""
     emotions = "[" + ", ".join(map(q, [*K.EMOTIONS, "other"])) + "]"

@@ -127,6 +127,13 @@ def json_records(df: DataFrame) -> DataFrame:
     )
 
 
+def json_whole_rows(df: DataFrame) -> DataFrame:
+    """Whole cleaned rows as JSON text and read back; timestamps stay the text that they were written as."""
+    whole = cleaned_columns(df)
+    schema = ", ".join(f"`{c}` {'string' if t == 'timestamp' else t}" for c, t in whole.dtypes)
+    return tables.json_records(whole).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def lexicon_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexicon lines spelled from the orders, with bad lines, unknown categories and zero flags among them."""
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
@@ -477,6 +484,7 @@ def queries() -> dict[str, Query]:
     n["ingest_summary"] = ingest_summary
     n["csv_round_trip"] = csv_round_trip
     n["json_records"] = num(json_records)
+    n["json_whole_rows"] = over(B.order_reviews, json_whole_rows)
     n["preparation_metadata"] = over(B.order_reviews, lambda df: tables.preparation_metadata(cleaned_columns(df)))
     n["lexicon_load"] = lexicon_load
     n["theme_dictionary_load"] = theme_dictionary_load
