@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm import ranks
 from gleaner.llm import words as W
 from gleaner.llm.storage import bounded_batches, written
 from gleaner.llm.tokens import memo, with_end
@@ -28,11 +29,12 @@ PIECE = "struct(w as sequence_id, greatest(first, w * {n}) - first as start, gre
 
 def tokenised(docs: DataFrame, path: str, spaces: str, end_id: int) -> DataFrame:
     """`(part int, before long, doc_id, doc_tokens long, ids binary)`: each document's ids and `end_id` as little-endian unsigned 32-bit numbers."""
+    fast = spaces == "dropped" and ranks.by_bytes(path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for table in W.by_bytes(batches, "text", BATCH_BYTES):
-            ids, counts = with_end(*memo(path, spaces).encode([t or "" for t in table["text"].to_pylist()]), end_id)
+            ids, counts = with_end(*memo(path, spaces, fast).encode([t or "" for t in table["text"].to_pylist()]), end_id)
             ends = np.cumsum(counts)
             offsets = pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32).tobytes())
             blobs = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, offsets, pa.py_buffer(ids.astype("<u4").tobytes())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gleaner.llm import language_id, mixing, ngram_join, packing, pii, quality, token_store
+from gleaner.llm import language_id, mixing, ngram_join, packing, pii, quality, ranks, token_store
 from gleaner.llm import words as W
 from gleaner.llm.tokens import WordMemo
 
@@ -37,14 +38,39 @@ AWKWARD = [
 ]
 
 
-@pytest.mark.parametrize("path,spaces", [(WORD_BPE, "dropped"), (BYTE_BPE, "leading")])
-def test_memo_encodes_like_the_tokenizer(path, spaces):
-    memo = WordMemo(path, spaces)
+@pytest.mark.parametrize("path,spaces,by_bytes", [(WORD_BPE, "dropped", False), (WORD_BPE, "dropped", True), (BYTE_BPE, "leading", False)])
+def test_memo_encodes_like_the_tokenizer(path, spaces, by_bytes):
+    memo = WordMemo(path, spaces, by_bytes)
     for _ in range(2):  # the second time from memory
         ids, n = memo.encode(AWKWARD)
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x[:-1] for x in encode(path, AWKWARD, 0)]
 
 
+def test_merges_by_bytes_give_the_tokenizers_ids(spark, sf_dir):
+    assert ranks.by_bytes(WORD_BPE) and not ranks.by_bytes(BYTE_BPE)
+    letters = list("abcdefghijklmnopqrstuvwxyzAEORTéèüñß")
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(letters, n)) + str(rng.choice(["", ".", ",", "?!", "..."])) for n in rng.integers(1, 40, 20_000)]
+    texts = [" ".join(words[i: i + 50]) for i in range(0, len(words), 50)]
+    texts += [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(2000).collect()]
+    ids, n = WordMemo(WORD_BPE, "dropped", True).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x[:-1] for x in encode(WORD_BPE, texts, 0)]
+
+
+def test_merges_that_depend_on_more_than_bytes_are_told(tmp_path):
+    with open(WORD_BPE, encoding="utf-8") as f:
+        tokenizer = json.load(f)
+    merges = [m.split(" ") if isinstance(m, str) else m for m in tokenizer["model"]["merges"]]
+    made = {a + b: i for i, (a, b) in enumerate(merges)}
+    whole = next(i for i, (a, b) in enumerate(merges) if len(a) == 2 and len(b) == 1)
+    part = made[merges[whole][0]]
+    merges[whole], merges[part] = merges[part], merges[whole]  # a token is merged before its own part
+    tokenizer["model"]["merges"] = merges
+    path = tmp_path / "swapped.json"
+    path.write_text(json.dumps(tokenizer), encoding="utf-8")
+    assert not ranks.by_bytes(str(path))
+
+
 def test_packing_is_gapless_and_whole(docs):
     rows = docs.collect()
     want = Counter(tuple(x) for x in encode(WORD_BPE, [r.text for r in rows], 2))
