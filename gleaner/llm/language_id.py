@@ -22,6 +22,8 @@ from gleaner.llm import words as W
 
 DIMENSIONS, GRAM, SEED = 1024, 3, 11
 BATCH_BYTES, ROWS_AT_ONCE, CELLS = 2 << 20, 256, 1 << 24
+#: N-grams whose counts and vectors are held at once.
+SLICE = 8192
 UNKNOWN = "und"
 
 
@@ -37,11 +39,12 @@ def letter_vectors(codes: np.ndarray) -> np.ndarray:
     return (bits.astype(np.int8) << 1) - 1
 
 
-def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """How often each n-gram occurs in each text (texts x n-grams), and the n-grams' vectors.
+def bundles_of(texts: list[str], slice_size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the vectors of each text's n-grams (texts x dimensions), and whether it has any.
 
     Letters are lower-cased; anything between letters is one blank; a text begins and ends with a blank. A text without letters
-    has no n-grams.
+    has no n-grams. Distinct n-grams are taken `slice_size` at a time, so scripts of many letters need no more memory; sums are
+    of whole numbers, so slices change nothing.
     """
     lowered = [" " + t.lower() + " " for t in texts]
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -65,10 +68,18 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         at = number[grams]
     else:
         kinds, at = np.unique(grams, return_inverse=True)
-    counts = np.bincount(owner[:-2][whole] * max(1, len(kinds)) + at, minlength=len(texts) * len(kinds)).reshape(len(texts), len(kinds)) if len(kinds) else np.zeros((len(texts), 0))
-    letters = letter_vectors(alphabet)
-    vectors = np.roll(letters, 2, axis=1)[kinds // (k * k)] * np.roll(letters, 1, axis=1)[kinds // k % k] * letters[kinds % k]
-    return counts, vectors
+    holder = owner[:-2][whole] if len(owner) > 2 else np.zeros(0, np.int64)
+    letters, sums = letter_vectors(alphabet), np.zeros((len(texts), DIMENSIONS))
+    if len(kinds) > slice_size:
+        order = np.argsort(at, kind="stable")
+        at, holder = at[order], holder[order]
+    for start in range(0, len(kinds), slice_size):
+        part = kinds[start: start + slice_size]
+        here = slice(*np.searchsorted(at, [start, start + slice_size])) if len(kinds) > slice_size else slice(None)
+        counts = np.bincount(holder[here] * len(part) + at[here] - start, minlength=len(texts) * len(part)).reshape(len(texts), len(part))
+        vectors = np.roll(letters, 2, axis=1)[part // (k * k)] * np.roll(letters, 1, axis=1)[part // k % k] * letters[part % k]
+        sums += _product(counts, vectors)
+    return sums, np.bincount(holder, minlength=len(texts)) > 0
 
 
 def _chunks(table: pa.Table) -> Iterator[pa.Table]:
@@ -89,10 +100,10 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         held: dict[str, np.ndarray] = {}
         for table in W.by_bytes(batches, "text", BATCH_BYTES):
             for part in _chunks(table):
-                counts, vectors = gram_counts([t or "" for t in part["text"].to_pylist()])
+                sums, _ = bundles_of([t or "" for t in part["text"].to_pylist()])
                 langs, at = np.unique(np.array(part["lang"].to_pylist(), dtype=object).astype(str), return_inverse=True)
                 member = (np.arange(len(langs))[:, None] == at[None, :]).astype(np.float64)
-                for lang, row in zip(langs, _product(member @ counts, vectors)):
+                for lang, row in zip(langs, member @ sums):
                     held[lang] = held.get(lang, 0) + row.astype(np.int64)
         yield from _rows(held)
 
@@ -128,17 +139,17 @@ def predict(docs: DataFrame, names: list[str], bundles: np.ndarray) -> DataFrame
     """`(doc_id, lang_pred, score)` per row: the best language and its cosine (0 if negative), over the whole text.
 
     A null text and one without letters, and every text if there are no languages, get `und` with score 0. Equal cosines give
-    the first language by name. `docs` needs `doc_id` and `text`; other columns are ignored.
+    the first language by name. Repeated rows are answered each; a text of any length is taken whole, and a task's memory grows
+    with its longest text; an empty table gives no rows. `docs` needs `doc_id` and `text`; other columns are ignored.
     """
     unit = profiles(bundles)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in W.by_bytes(batches, "text", BATCH_BYTES):
             for part in _chunks(table):
-                counts, vectors = gram_counts([t or "" for t in part["text"].to_pylist()])
-                sums = _product(counts, vectors).astype(np.float64)
+                sums, lettered = bundles_of([t or "" for t in part["text"].to_pylist()])
                 best, score = np.zeros(len(sums), np.int64), np.zeros(len(sums))
-                known = counts.any(axis=1) if counts.shape[1] and len(names) else np.zeros(len(sums), bool)
+                known = lettered if len(names) else np.zeros(len(sums), bool)
                 if known.any():
                     cosine = np.round(sums[known] @ unit.T / np.maximum(np.linalg.norm(sums[known], axis=1, keepdims=True), 1e-12), 9)
                     best[known], score[known] = cosine.argmax(axis=1), np.clip(cosine.max(axis=1), 0.0, 1.0)

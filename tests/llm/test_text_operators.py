@@ -280,6 +280,18 @@ def test_language_of_held_out_texts(spark, sf_dir, docs, nothing):
     assert names == [] and {r.lang_pred for r in language_id.predict(docs, names, bundles).collect()} == {"und"}
 
 
+def test_scripts_of_many_letters_are_taken_in_slices():
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 4000))), "", "plain words", "123", "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 500)))]
+    sums, known = language_id.bundles_of(texts, 700)
+    again, _ = language_id.bundles_of(texts, 1 << 20)
+    assert (sums == again).all() and known.tolist() == [True, False, True, False, True]
+    letters = dict(zip(" plainwords", language_id.letter_vectors(np.array([ord(c) for c in " plainwords"])).astype(int)))
+    text = " plain words "
+    want = sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(text, text[1:], text[2:]))
+    assert (sums[2] == want).all()
+
+
 def test_prototypes_do_not_depend_on_the_split(docs):
     a, b = language_id.prototypes(docs.repartition(1)), language_id.prototypes(docs.repartition(5))
     assert a[0] == b[0] and (a[1] == b[1]).all()
