@@ -4,7 +4,8 @@ Vectors near each other share a shard (centres from a bounded sample; a centre's
 vector fills several). Of each shard a centre and a radius are known, so `query . centre + |query| * radius` bounds every
 inner product in it. A query first searches the shard with the largest bound. The k-th score that it finds there goes with it
 to all other shards whose bound reaches it, and in each of them to the nodes of the shard's ball tree, largest bound first,
-until no node can hold a better vector. Bounds have a margin for rounding; scores are whole numbers, computed exactly.
+until no node can hold a better vector. Bounds have a margin for rounding; scores are whole numbers, computed exactly, and one
+that 64 bits cannot hold is an error.
 
 A shard holds vectors of one length. Each length has centres of its own, and queries reach the shards of their own length only.
 """
@@ -38,22 +39,38 @@ def whole_vectors(table: DataFrame, scale: int) -> DataFrame:
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, values in matrices(batch.column("embedding")):
-                whole = np.floor(scale * values).astype(np.int64)
+                whole = whole_numbers(values, scale)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows)), pa.array([v.tobytes() for v in whole], pa.binary())], names=["vec_id", "vector"])
 
     usable = table.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     return usable.mapInArrow(convert, "vec_id long, vector binary")
 
 
+def whole_numbers(values: np.ndarray, scale: int) -> np.ndarray:
+    """`floor(scale * x)` as 64-bit numbers; one that does not fit is an error."""
+    out = np.floor(scale * values)
+    if not (np.abs(out) < 2.0**63).all():
+        raise OverflowError("A scaled component does not fit into 64 bits")
+    return out.astype(np.int64)
+
+
+def long_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of large numbers; one that does not fit into 64 bits is an error."""
+    own = query.tolist()
+    out = [sum(a * b for a, b in zip(row, own)) for row in vectors.tolist()]
+    if any(not -(1 << 62) <= x < 1 << 63 for x in out):
+        raise OverflowError("A score does not fit into 64 bits")
+    return np.array(out, np.int64)
+
+
 class BallTree:
     """Nodes with centre and radius over at most a shard's vectors; halves along the direction of largest spread."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         order = np.argsort(ids, kind="stable")  # equal scores are then found in order of ids
         self.vectors, self.ids = vectors[order], ids[order]
-        # products of 32-bit numbers are summed exactly in 64 bits; floating point is exact below 2**53 and faster
-        largest = float(np.abs(vectors).max(initial=0))
-        self.exact = largest**2 * max(1, vectors.shape[1]) < 2**52
+        # no inner product, nor any part of its sum, is beyond `largest` times the query's largest component
+        self.largest = float(np.abs(vectors.astype(np.float64)).max(initial=0)) * max(1, vectors.shape[1])
         self.points = self.vectors.astype(np.float64)
         self.centres, self.radii, self.children, self.rows = [], [], [], []
         self._build(np.arange(len(ids)))
@@ -74,6 +91,15 @@ class BallTree:
             self.children[node] = (self._build(np.sort(rows[order[:half]])), self._build(np.sort(rows[order[half:]])))
         return node
 
+    def scores(self, rows: np.ndarray, query: np.ndarray, as_float: np.ndarray) -> np.ndarray:
+        """Exact inner products: in floating point below 2**53, which is faster, in 64 bits, or in whole numbers of any size."""
+        most = self.largest * float(np.abs(as_float).max(initial=0))
+        if most < 2**52:
+            return (self.points[rows] @ as_float).astype(np.int64)
+        if most < 2**62:
+            return self.vectors[rows] @ query
+        return long_products(self.vectors[rows], query)
+
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query its best `k` here (scores, ids) that reach the `known` k-th score; rows with the query's own id are none."""
         as_float = queries.astype(np.float64)
@@ -90,8 +116,9 @@ class BallTree:
                         heapq.heappush(heap, (-bounds[i, child], child))
                     continue
                 rows = self.rows[node]
-                found = (self.points[rows] @ as_float[i]).astype(np.int64) if self.exact else self.vectors[rows] @ queries[i]
-                keep = (self.ids[rows] != own[i]) & (found >= floor)
+                rows = rows[self.ids[rows] != own[i]]
+                found = self.scores(rows, queries[i], as_float[i])
+                keep = found >= floor
                 if keep.any():
                     scores, ids = np.concatenate([scores, found[keep]]), np.concatenate([ids, self.ids[rows[keep]]])
                     best = np.lexsort((ids, -scores))[:k]
@@ -141,7 +168,7 @@ def top_k(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> Da
     `table` has `vec_id` and `embedding`; other columns are ignored. Queries are the rows whose vec_id is divisible by `every`.
     Vectors are made whole by `floor(scale * x)`; see `whole_vectors` for those that take no part. Equal scores go to the
     smaller vec_id. Rows that repeat a query's id are not its candidates; a repeated query is answered as often as it occurs,
-    a repeated candidate is listed as often. With fewer than `k` candidates there are fewer ranks; an empty table gives none.
+    a repeated candidate is listed as often. A scaled component or a score beyond 64 bits (below -2**62) is an error. With fewer than `k` candidates there are fewer ranks; an empty table gives none.
     """
     spark = table.sparkSession
     vectors = written(whole_vectors(table, scale), "vectors")

@@ -53,6 +53,22 @@ def test_multi_index_against_brute_force(vectors):
     assert (single["vec_id"].fillna(-1) == single["component_id"].fillna(-1)).all()
 
 
+def test_scores_are_exact_whatever_the_size_of_a_query(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-2000, 2000, 8)], 0, 0.5) for i in range(1, 50)]
+    rows += [(0, [float(x) for x in rng.integers(2**43, 2**44, 8)], 0, 0.5), (50, [float(2**50 + i) for i in range(8)], 0, 0.5)]
+    table = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    whole = {i: [int(x) for x in v] for i, v, *_ in rows}
+    scores = sorted((-sum(a * b for a, b in zip(whole[0], v)), i) for i, v in whole.items() if i not in (0, 50))
+    want = {(0, n, i, -x) for n, (x, i) in enumerate(scores[:5], 1)}
+    got = ball_search.top_k(table.filter("vec_id != 50"), scale=1).select("query_id", "rank", "vec_id", "score")
+    assert {tuple(r) for r in got.collect()} == want
+    with pytest.raises(Exception, match="64 bits"):
+        ball_search.top_k(table, scale=1).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        ball_search.top_k(table.selectExpr("vec_id", "array(1e300D) as embedding"), scale=256).collect()
+
+
 def test_vector_operators_on_nothing(spark, vectors):
     empty = vectors.limit(0)
     assert multi_index.near_duplicates(empty).count() == 0 and ball_search.top_k(empty).count() == 0
