@@ -432,6 +432,27 @@ def oracle_sql() -> dict[str, str]:
     o["json_whole_rows"] = f"{NUM} select {', '.join(whole)} from c"
     o["preparation_metadata"] = f"""{NUM} select count(*) as rows_exported, {len(S.CLEANED_COLUMNS) - 2}::bigint as columns_exported, {trues('is_positive')} as positive_reviews,
       {trues('is_negative')} as negative_reviews, {trues('has_developer_response')} as reviews_with_developer_response, count(distinct language) as languages_detected from c"""
+    page = "cast(recommendationid as bigint) // 100 as page"
+    reason = "case when page % 7 = 0 then 'not a JSON page' when page % 11 = 0 then 'no list of reviews' when page % 13 = 0 then 'empty' when page % 5 = 0 then 'not successful' end"
+    good = " ".join(["page % 7 <> 0", "and page % 11 <> 0", "and page % 13 <> 0", "and page % 5 <> 0"])
+    o["good_page_reviews"] = f"select * from ({o['flatten_reviews']}) where {good}"
+    o["rejected_pages"] = f"with {R_TXT}, p as (select distinct {page} from r_txt) select page, {reason} as reason from p where not ({good})"
+    o["combined_in_one_job"] = f"select * from ({o['combine_chunks']}), ({o['combine_counts']})"
+    o["metadata_in_one_job"] = o["preparation_metadata"]
+    configured = """s as (select app_id, case when app_id < 2 then 30 + app_id * 40 else 100 end::bigint as min_reviews_per_language,
+      case when app_id < 2 then 30 else 1 end::double as min_share_per_language, case when app_id < 2 then 10 + app_id * 5 else 7 end::bigint as top_n_unigrams,
+      100::bigint as top_n_bigrams, 50::bigint as top_n_trigrams, case when app_id < 2 then app_id + 2 else 2 end::bigint as min_token_length, app_id <> 1 as remove_stopwords,
+      case when app_id = 1 then 'german' else 'english' end as target_language, 100::bigint as top_n_emotion_terms, true as count_multiple_hits_per_theme
+      from (select distinct app_id from r_num))"""
+    o["settings_load"] = f"with {R_NUM}, {configured} select * from s"
+    own = " union all ".join(f"select * from {tokens(stops, where=f'app_id = {app}', least=least)}" for app, stops, least in ((0, L.STOPS, 2), (1, None, 3), (2, L.STOPS, 2)))
+    by_product = f"{TXT}, {configured.replace('r_num', 'c')}, t as ({own})"
+    o["settings_top_unigrams"] = f"""{by_product}, g as (select app_id, term, count(*) as frequency from ({grams(1, 'app_id,')}) group by app_id, term)
+      select r.* from (select app_id, row_number() over (partition by app_id order by frequency desc, term) as rank, term as token,
+        frequency, {k1000('frequency', 'sum(frequency) over (partition by app_id)')} as relative_frequency_per_1000_tokens from g) r join s using (app_id) where rank <= top_n_unigrams"""
+    o["settings_languages"] = f"""{by_product}, l as (select app_id, language, count(*) as reviews, sum(token_count)::bigint as tokens, {pct('count(*)', 'sum(count(*)) over (partition by app_id)')} as share from t group by 1, 2)
+      select l.app_id, l.language, reviews, tokens from l join s using (app_id) where reviews >= min_reviews_per_language or share >= min_share_per_language"""
+    o["settings_target_language"] = f"{by_product} select recommendationid, app_id, token_count from t join s using (app_id) where language = target_language"
     emotions = "[" + ", ".join(map(q, [*K.EMOTIONS, "other"])) + "]"
     o["lexicon_load"] = f"select distinct 'w' || (o_custkey % 500) as word, {emotions}[o_orderkey % 11 + 1] as emotion from orders where o_orderkey % 11 < 10 and o_orderkey % 2 = 1 and o_orderkey % 13 <> 0"
     o["theme_dictionary_load"] = """select distinct 'theme ' || (o_custkey % 9) as theme, term, contains(term, ' ') as is_phrase from (
@@ -519,6 +540,10 @@ def oracle_sql() -> dict[str, str]:
     shares = ", ".join(f"{pct(f'nullif(count(*) filter (where review_length_words_band = {q(l)}), 0)', 'count(*)')} as {ident(f'review_length_words_band_{l}_percentage')}" for l in K.WORDS_LABELS)
     o["monthly_text_length"] = f"{TXT} select {MONTH}, {stats_by(['review_length_words', 'review_length_chars', 'review_length_lines'])}, {shares} from c where {MONTH} is not null group by {MONTH}"
     o["monthly_playtime"] = monthly(f"{stats_by(['playtime_at_review', 'playtime_forever', 'playtime_post_review'])}, {rates_by(['played_after_review', 'recent_playtime_recorded', 'used_steam_deck_at_review'])}, {bands_by('playtime_at_review_band', K.PLAYTIME_LABELS)}")
+    played = stats_by(["playtime_at_review", "playtime_forever", "playtime_post_review"])
+    o["monthly_playtime_from_days"], o["monthly_volume_from_days"] = monthly(played), o["monthly_volume_extended"]
+    o["weekly_playtime_from_days"] = f"{NUM} select app_id, {WEEK}, {played} from c where {WEEK} is not null group by app_id, {WEEK}"
+    o["distinct_from_days"] = f"{NUM} select app_id, v as variable, count(distinct x) as distinct from (select app_id, unnest(['steamid', 'recommendationid']) as v, unnest([steamid, recommendationid]) as x from c) group by 1, 2"
     o["monthly_reviewer_profile"] = monthly(f"{stats_by(['num_reviews', 'num_games_owned'])}, {bands_by('num_reviews_band', K.REVIEWER_LABELS)}, {bands_by('num_games_owned_band', K.LIBRARY_LABELS)}")
     o["monthly_interaction"] = monthly(f"{stats_by(['votes_up', 'votes_funny', 'comment_count'])}, {rates_by(['has_helpful_votes', 'has_funny_votes', 'has_comments'])}")
     o["review_updates"] = f"""{NUM} select {MONTH}, count(recommendationid) as review_count, {trues('review_updated_after_creation')} as updated_reviews,

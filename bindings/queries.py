@@ -15,7 +15,8 @@ from gleaner.functions import exprs as X
 from gleaner.functions import tokens as TK
 from gleaner.functions.durable import checkpoint_folder
 from gleaner.functions.stopwords import STOPWORDS
-from gleaner.operators import charts, describe, emotions, prepare, quality, temporal, text, themes
+from gleaner.operators import by_settings as BS
+from gleaner.operators import charts, describe, emotions, prepare, quality, rollups, temporal, text, themes
 from gleaner.sources import id_store, landing, tables
 from gleaner.sources import schema as S
 from gleaner.streaming import ingest
@@ -134,6 +135,87 @@ def json_whole_rows(df: DataFrame) -> DataFrame:
     return tables.json_records(whole).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
+def damaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed pages, some of them cut off, empty, unsuccessful or without reviews."""
+    k, value = F.col("page"), F.col("value")
+    text = (
+        F.when(k % 7 == 0, F.substr(value, F.lit(1), F.length(value) - 5)).when(k % 11 == 0, '{"success": 1}')
+        .when(k % 13 == 0, " ").when(k % 5 == 0, '{"success": 2, "reviews": []}').otherwise(value)
+    )
+    return pages(spark, sf_dir).select("page", text.alias("value"))
+
+
+def landed(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
+    path = _folder(spark) + "/landed"
+    return path, landing.land_pages(damaged_pages(spark, sf_dir), path)
+
+
+def rejected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = landed(spark, sf_dir)
+    return landing.landed_pages(spark, path, rejected=True).filter("rejected_text is not null").select("page", "reason")
+
+
+def good_page_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = landed(spark, sf_dir)
+    return landing.flatten_pages(landing.landed_pages(spark, path), ["page"]).drop("position")
+
+
+def combined_in_one_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combined table as written, each row with the counts of the job that wrote it."""
+    path = _folder(spark) + "/combined"
+    counts = landing.write_combined(B.raw_reviews(spark, sf_dir), path, ["seq"])
+    return spark.read.parquet(path).select("seq", "recommendationid", *[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()])
+
+
+def metadata_in_one_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.write_cleaned_counted(cleaned_columns(B.order_reviews(spark, sf_dir)), _folder(spark) + "/cleaned")
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} bigint" for k in found))
+
+
+def product_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration for each product, spelled from its number; product 2 leaves most to the defaults."""
+    products = B.order_reviews(spark, sf_dir).select("app_id").distinct()
+    config = F.when(F.col("app_id") < 2, F.format_string(
+        '{"text_metrics": {"top_n_unigrams": %d, "min_token_length": %d, "remove_stopwords": %s, "min_reviews_per_language": %d, "min_share_per_language": 30}, '
+        '"emotion_metrics": {"target_language": " %s "}}',
+        F.col("app_id") * 5 + 10, F.col("app_id") + 2, (F.col("app_id") == 0).cast("string"), F.col("app_id") * 40 + 30,
+        F.when(F.col("app_id") == 0, "English").otherwise("german"),
+    )).otherwise('{"text_metrics": {"top_n_unigrams": 7}}')
+    return BS.parse_settings(products.select("app_id", config.alias("value")))
+
+
+def by_settings(f: Callable[[DataFrame, DataFrame], DataFrame], **options) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        settings = product_settings(spark, sf_dir)
+        return f(BS.corpus(B.txt(spark, sf_dir), settings, L.STOPS, **options), settings)
+
+    return query
+
+
+def settings_top_unigrams(corpus: DataFrame, settings: DataFrame) -> DataFrame:
+    return BS.frequency_table(text.term_counts(corpus, 1, ["app_id"]), settings, "top_n_unigrams")
+
+
+def settings_languages(corpus: DataFrame, settings: DataFrame) -> DataFrame:
+    chosen = BS.of_selected_languages(corpus, settings)
+    return chosen.groupBy("app_id", "language").agg(F.count(F.lit(1)).alias("reviews"), F.sum("token_count").alias("tokens"))
+
+
+PLAYTIMES = ["playtime_at_review", "playtime_forever", "playtime_post_review"]
+
+
+def from_days(f: Callable[[rollups.Days], DataFrame], keys: tuple[str, ...] = ()) -> Query:
+    """A report out of daily states, which two batches of reviews have left in storage."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, df = _folder(spark) + "/days", B.num(spark, sf_dir)
+        later = F.coalesce(F.crc32("recommendationid") % 3 == 0, F.lit(False))
+        for batch, part in enumerate([df.filter(~later), df.filter(later)]):
+            rollups.write_days(part, path, batch, PLAYTIMES, ["steamid", "recommendationid"], keys)
+        return f(rollups.read_days(spark, path))
+
+    return query
+
+
 def lexicon_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexicon lines spelled from the orders, with bad lines, unknown categories and zero flags among them."""
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
@@ -486,6 +568,16 @@ def queries() -> dict[str, Query]:
     n["json_records"] = num(json_records)
     n["json_whole_rows"] = over(B.order_reviews, json_whole_rows)
     n["preparation_metadata"] = over(B.order_reviews, lambda df: tables.preparation_metadata(cleaned_columns(df)))
+    n["rejected_pages"], n["good_page_reviews"] = rejected_pages, good_page_reviews
+    n["combined_in_one_job"], n["metadata_in_one_job"] = combined_in_one_job, metadata_in_one_job
+    n["settings_load"] = product_settings
+    n["settings_top_unigrams"] = by_settings(settings_top_unigrams)
+    n["settings_languages"] = by_settings(settings_languages)
+    n["settings_target_language"] = by_settings(lambda c, s: c.select("recommendationid", "app_id", "token_count"), language=True)
+    n["monthly_volume_from_days"] = from_days(rollups.monthly_volume_extended)
+    n["monthly_playtime_from_days"] = from_days(lambda d: rollups.numeric_by_period(d, temporal.MONTH, PLAYTIMES))
+    n["weekly_playtime_from_days"] = from_days(lambda d: rollups.numeric_by_period(d, temporal.WEEK, PLAYTIMES, ["app_id"]), ("app_id",))
+    n["distinct_from_days"] = from_days(lambda d: rollups.distinct_ids(d.ids, ["app_id"]), ("app_id",))
     n["lexicon_load"] = lexicon_load
     n["theme_dictionary_load"] = theme_dictionary_load
 

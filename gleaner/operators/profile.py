@@ -46,6 +46,16 @@ def histogram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
     return long.groupBy(group, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def flat_histogram(hist: DataFrame) -> DataFrame:
+    """`(keys, variable, value, n)`: a histogram as a table to store."""
+    return hist.select(f"{_GROUP}.*", "value", "n")
+
+
+def merged_histogram(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The histogram over `keys` out of flat ones over finer keys, which may come in any number of parts."""
+    return stored.groupBy(F.struct(*keys, "variable").alias(_GROUP), "value").agg(F.sum("n").alias("n"))
+
+
 class _Ranked:
     """The histogram cut into buckets (`inner`) and its bucket table (`outer`). Nulls have a bucket of their own."""
 
@@ -106,10 +116,15 @@ def numeric_profile(
     columns: Sequence[str],
     probs: Sequence[float] = (),
 ) -> DataFrame:
+    """`profile_of_histogram` of the columns' values."""
+    return profile_of_histogram(histogram(df, keys, columns), probs)
+
+
+def profile_of_histogram(hist: DataFrame, probs: Sequence[float] = ()) -> DataFrame:
     """One row per key and variable: count_non_null, count_null, count_zero, mean, std, min, max, sum, and the
     linearly interpolated quantiles `q0_5`, ... Unrounded; a variable without values has only its null count.
     """
-    ranked = _Ranked(histogram(df, keys, columns))
+    ranked = _Ranked(hist)
     known = F.col("bucket") != _NULLS
     mean, total = F.col("total_sum") / F.col("total_n"), F.max("total_n")
     shift = _centre(F.col("bucket")) - mean

@@ -21,8 +21,14 @@ def numeric_by_period(
     df: DataFrame, period: str, columns: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
     """Nine statistics per period for several columns at once, prefixed with the column; null periods are left out."""
+    hist = P.histogram(df.filter(F.col(period).isNotNull()), [*keys, period], columns)
+    return period_statistics(hist, period, columns, keys)
+
+
+def period_statistics(hist: DataFrame, period: str, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The statistics of `numeric_by_period` out of a histogram over keys and period."""
     group = [*keys, period]
-    stats = P.numeric_profile(df.filter(F.col(period).isNotNull()), group, columns, [0.25, 0.5, 0.75, 0.9])
+    stats = P.profile_of_histogram(hist, [0.25, 0.5, 0.75, 0.9])
     names = {
         "count_non_null": "count_non_null", "mean": "mean", "median": P.quantile_column(0.5), "std": "std",
         "min": "min", "p25": P.quantile_column(0.25), "p75": P.quantile_column(0.75),
@@ -80,6 +86,10 @@ def _volume(df: DataFrame, period: str, keys: Sequence[str], *more: Column) -> D
         F.count_if("is_negative").alias("negative_reviews"),
         *more,
     )
+    return with_percentages(out)
+
+
+def with_percentages(out: DataFrame) -> DataFrame:
     n = F.col("review_count")
     return out.withColumns({
         "positive_percentage": X.pct(F.col("positive_reviews"), n),
@@ -143,7 +153,11 @@ def weekly_volume(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def monthly_volume_extended(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    volume = _volume(df, MONTH, keys, F.count_distinct("steamid").alias("unique_reviewers"))
+    return extended(_volume(df, MONTH, keys, F.count_distinct("steamid").alias("unique_reviewers")), keys)
+
+
+def extended(volume: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Monthly volumes with running totals, changes and means over three rows."""
     three = _in_time(keys, MONTH).rowsBetween(-2, 0)
     return _running(volume, MONTH, "month", keys).withColumns({
         "review_count_rolling_mean_3m": F.round(F.avg("review_count").over(three), 4),

@@ -136,7 +136,7 @@ def _metrics(text: DataFrame, group: Sequence[str]) -> DataFrame:
     return with_unique.withColumn("type_token_ratio", _ttr())
 
 
-def _languages(text: DataFrame, keys: Sequence[str], context: Sequence[str] = ()) -> DataFrame:
+def language_shares(text: DataFrame, keys: Sequence[str], context: Sequence[str] = ()) -> DataFrame:
     counts = text.groupBy(*keys, X.or_unknown(F.col("language")).alias("language")).agg(
         F.count(F.lit(1)).alias("review_count"), *[F.any_value(c, ignoreNulls=True).alias(c) for c in context]
     )
@@ -144,7 +144,7 @@ def _languages(text: DataFrame, keys: Sequence[str], context: Sequence[str] = ()
     return counts.withColumn("review_percentage", X.pct(F.col("review_count"), total))
 
 
-def _enough(min_reviews: int, min_share: float) -> Column:
+def enough(min_reviews: int | Column, min_share: float | Column) -> Column:
     return (F.col("review_count") >= min_reviews) | (F.col("review_percentage") >= min_share)
 
 
@@ -152,7 +152,7 @@ def select_languages(
     text: DataFrame, min_reviews: int = 100, min_share: float = 1.0, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Languages with enough reviews or a large enough share for tables of their own."""
-    return _languages(text, keys).filter(_enough(min_reviews, min_share))
+    return language_shares(text, keys).filter(enough(min_reviews, min_share))
 
 
 def text_corpus_overview(
@@ -161,9 +161,9 @@ def text_corpus_overview(
     """Size, vocabulary and length of the corpus; with scope `by_language` once per language in `keys`."""
     context = [c for c in ("app_id", "game_slug", "game_title") if c in text.columns and c not in keys]
     groups = [k for k in keys if k != "language"]
-    per_language = _languages(text, groups, context)
+    per_language = language_shares(text, groups, context)
     chosen = F.array_sort(F.collect_list(
-        F.when(_enough(min_reviews, min_share), F.struct((-F.col("review_count")).alias("n"), "language"))
+        F.when(enough(min_reviews, min_share), F.struct((-F.col("review_count")).alias("n"), "language"))
     ))
     known = per_language.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("languages"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import exprs as X
@@ -29,6 +29,51 @@ def parse_pages(df: DataFrame, column: str = "value") -> DataFrame:
     return df.select(*others, F.from_json(column, S.page_schema()).alias("__page")).select(*others, "__page.*")
 
 
+NO_TEXT, NO_JSON, NO_SUCCESS, NO_REVIEWS = "empty", "not a JSON page", "not successful", "no list of reviews"
+
+
+def read_page_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Landed pages, one per line: `value` and `file`. Files of any size are split among tasks."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def checked_pages(df: DataFrame, column: str = "value") -> DataFrame:
+    """`parse_pages` with a `reason`: null for a good page, else why the page is rejected. No row is lost.
+
+    The text stays beside a rejected page only; pages that are empty, cut off, of another form, not successful, or without a
+    list of reviews are rejected. An empty list of reviews is a good page.
+    """
+    others = [c for c in df.columns if c != column]
+    schema = S.page_schema().add("__corrupt", "string")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}
+    page = F.explode(F.array(F.from_json(column, schema, options)))
+    parsed = df.select(*others, F.col(column).alias("__text"), page.alias("__page"))
+    reason = (
+        F.when(F.coalesce(X.strip(F.col("__text")), F.lit("")) == "", NO_TEXT)
+        .when(F.col("__page").isNull() | F.col("__page.__corrupt").isNotNull(), NO_JSON)
+        .when(F.coalesce(F.col("__page.success"), F.lit(1)) != 1, NO_SUCCESS)
+        .when(F.col("__page.reviews").isNull(), NO_REVIEWS)
+    )
+    told = parsed.withColumn("reason", reason)
+    kept = [F.when(F.col("reason").isNull(), F.col(f"__page.{f.name}")).alias(f.name) for f in S.page_schema()]
+    return told.select(*others, *kept, "reason", F.when(F.col("reason").isNotNull(), F.col("__text")).alias("rejected_text"))
+
+
+def land_pages(df: DataFrame, path: str, column: str = "value") -> dict:
+    """Writes good pages to `path/rejected=false` and the others to `path/rejected=true`; returns how many of each, from one job."""
+    seen = Observation()
+    checked = checked_pages(df, column).withColumn("rejected", F.col("reason").isNotNull())
+    counts = [F.count_if(~F.col("rejected")).alias("pages"), F.count_if("rejected").alias("rejected_pages")]
+    checked.observe(seen, *counts).write.mode("overwrite").partitionBy("rejected").parquet(path)
+    return seen.get
+
+
+def landed_pages(spark: SparkSession, path: str, rejected: bool = False) -> DataFrame:
+    """What `land_pages` has stored: the good pages, or the rejected ones with text and reason."""
+    stored = spark.read.parquet(path).filter(F.col("rejected") == rejected).drop("rejected")
+    return stored.drop(*([f.name for f in S.page_schema()] if rejected else ["reason", "rejected_text"]))
+
+
 def cast_raw(column: str, value: Column) -> Column:
     """Lenient cast of one landed leaf: bad numbers and unknown booleans become null."""
     if column in S.LONG_COLUMNS:
@@ -114,6 +159,22 @@ def combine_chunks(chunks: DataFrame, order: Sequence[str]) -> DataFrame:
     return ingest_dedup(chunks, order)
 
 
+def write_combined(chunks: DataFrame, path: str, order: Sequence[str]) -> dict:
+    """Writes the combined table and returns `rows_written` and `duplicate_rows_skipped`, all in one job.
+
+    The first row of each id comes with the number of its rows, combined in the map tasks; rows without an id are one group,
+    which is counted and then dropped. Rows that `order` does not tell apart leave any of them.
+    """
+    known = F.nullif(X.strip(F.col("recommendationid").cast("string")), F.lit(""))
+    rows = chunks.withColumn("recommendationid", known)
+    first = F.min_by(F.struct(*[X.quoted(c) for c in rows.columns]), F.struct(*order))
+    per_id = rows.groupBy(F.col("recommendationid").alias("__id")).agg(first.alias("__row"), F.count(F.lit(1)).alias("__n"))
+    seen = Observation()
+    observed = per_id.observe(seen, F.count("__id").alias("rows_written"), F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"))
+    observed.filter("__id is not null").select("__row.*").write.mode("overwrite").parquet(path)
+    return {"rows_written": seen.get["rows_written"], "duplicate_rows_skipped": seen.get["rows"] - seen.get["rows_written"]}
+
+
 def combine_counts(chunks: DataFrame) -> DataFrame:
     """`(rows_written, duplicate_rows_skipped)` of the combination; rows without id count as skipped."""
     known = X.strip(F.col("recommendationid").cast("string"))

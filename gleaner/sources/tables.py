@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import constants as K
@@ -60,14 +60,42 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
+def write_counted(df: DataFrame, path: str, counts: Mapping[str, Column], partition_by: Sequence[str] = ()) -> dict:
+    """Writes the table as Parquet and returns the `counts` over its rows, taken by the same job as it writes.
+
+    `counts` are aggregates without distinct. They are observed behind the last shuffle, where a repeated task counts once.
+    """
+    seen = Observation()
+    observed = df.observe(seen, *[c.alias(name) for name, c in counts.items()])
+    writer = observed.write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return seen.get
+
+
+def _metadata() -> dict[str, Column]:
+    return {
+        "rows_exported": F.count(F.lit(1)),
+        "positive_reviews": F.count_if("is_positive"),
+        "negative_reviews": F.count_if("is_negative"),
+        "reviews_with_developer_response": F.count_if("has_developer_response"),
+    }
+
+
+def write_cleaned_counted(df: DataFrame, path: str, partition_by: Sequence[str] = ("app_id",)) -> dict:
+    """`write_cleaned` that returns the preparation metadata of the table with it, from one job.
+
+    The languages are few: a set of them is gathered per task.
+    """
+    languages = {"languages": F.array_sort(F.collect_set("language"))}
+    found = write_counted(df, path, _metadata() | languages, [c for c in partition_by if c in df.columns])
+    return {**{k: found[k] for k in _metadata()}, "columns_exported": len(df.columns), "languages_detected": len(found["languages"])}
+
+
 def preparation_metadata(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rows, columns, polarity, responses and languages of a cleaned table."""
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows_exported"),
+        *[c.alias(name) for name, c in _metadata().items()],
         F.lit(len(df.columns)).cast("bigint").alias("columns_exported"),
-        F.count_if("is_positive").alias("positive_reviews"),
-        F.count_if("is_negative").alias("negative_reviews"),
-        F.count_if("has_developer_response").alias("reviews_with_developer_response"),
         F.count_distinct("language").alias("languages_detected"),
     )
 

@@ -18,6 +18,7 @@ SAMPLE = [
     "distinctive_pos_vs_neg", "per_language_distinctive", "emotion_enrich", "emotion_by_polarity", "theme_enrich",
     "theme_top_terms", "fig_language_top5", "cloud_trigrams", "dq_summary", "stream_resume", "stream_weekly_volume", "stream_progress",
     "incremental_bucketed", "stream_lost_state", "stream_progress_log", "theme_phrases_of_tokens", "emotion_enrich_by_join", "json_whole_rows",
+    "rejected_pages", "combined_in_one_job", "settings_top_unigrams", "weekly_playtime_from_days", "monthly_volume_from_days",
     "dq_polarity_total_by_product", "dq_unique_id_by_product", "dq_required_columns", "cross_tab", "period_crosstab", "slugify",
 ]
 
