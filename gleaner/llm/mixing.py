@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import words as W
-from gleaner.llm.storage import set_apart, written
+from gleaner.llm.storage import set_apart, shuffle_width, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block; only the last one of a source is shorter.
@@ -31,6 +31,8 @@ BLOCK = 256
 #: In place of its number, what names the block that is cut off to meet a target.
 CUT_OFF = -1
 SHARD_SLOTS = 4096
+#: Shards that one task draws at most, and slots that are filled at once.
+SHARDS_PER_TASK, RUN_SLOTS = 1024, 1 << 16
 BATCH_BYTES = 2 << 20
 
 
@@ -159,22 +161,33 @@ def slots(spark, p: Plan) -> DataFrame:
                 some = np.flatnonzero(counts)
                 yield pd.DataFrame({"shard": shard, "s": some.astype(np.int32), "n": counts[some]})
 
-    drawn = written(spark.range(0, shards, 1, max(1, min(shards, 64))).mapInPandas(draw, "shard long, s int, n long"), "draws")
-    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    runs = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    tasks = max(1, min(shards, max(64, shards // SHARDS_PER_TASK)))
+    drawn = written(spark.range(0, shards, 1, tasks).mapInPandas(draw, "shard long, s int, n long"), "draws")
+    # a source's slots are numbered in two steps, within runs of shards and over these
+    drawn = drawn.withColumn("part", F.expr(f"shard div {SHARDS_PER_TASK}"))
+    inside = Window.partitionBy("s", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = drawn.groupBy("s", "part").agg(F.sum("n").alias("all")).select("s", "part", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("base"))
+    local = drawn.withColumn("local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    runs = local.join(base, ["s", "part"]).withColumn("first", F.col("base") + F.col("local"))
     got = {r.s: r.n for r in drawn.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # one row per source
     short = [(shards, i, int(want - got.get(i, 0)), int(got.get(i, 0))) for i, want in enumerate(p.slots) if want > got.get(i, 0)]
     runs = runs.select("shard", "s", "n", "first").unionByName(spark.createDataFrame(short, "shard long, s int, n long, first long"))
+    # slots are filled where their shard falls, whatever the source; a long run is cut
+    cut = runs.filter("n > 0").withColumn("at", F.explode(F.expr(f"sequence(0L, n - 1, {RUN_SLOTS}L)")))
+    cut = cut.select("shard", "s", F.least(F.col("n") - F.col("at"), F.lit(RUN_SLOTS)).alias("n"), (F.col("first") + F.col("at")).alias("first"))
+    runs = cut.repartition(shuffle_width(spark), "shard", "first")
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for shard, s, n, first in zip(f["shard"], f["s"], f["n"], f["first"]):
-                for at in range(first, min(first + n, int(p.slots[s])), 1 << 16):
-                    k = np.arange(at, min(at + (1 << 16), first + n, int(p.slots[s])))
-                    turn, size = k // p.blocks[s], np.full(len(k), p.blocks[s])
-                    block = permuted(k % p.blocks[s], size, _key(np.full(len(k), s), turn, p.seed))
-                    block[(k == p.slots[s] - 1) & (p.last[s] >= 0)] = CUT_OFF
-                    yield pd.DataFrame({"shard": shard, "slot": k, "s": np.int32(s), "block": block})
+                k = np.arange(first, min(first + n, int(p.slots[s])))
+                if not len(k):
+                    continue
+                turn, size = k // p.blocks[s], np.full(len(k), p.blocks[s])
+                block = permuted(k % p.blocks[s], size, _key(np.full(len(k), s), turn, p.seed))
+                block[(k == p.slots[s] - 1) & (p.last[s] >= 0)] = CUT_OFF
+                yield pd.DataFrame({"shard": shard, "slot": k, "s": np.int32(s), "block": block})
 
     return runs.mapInPandas(fill, "shard long, slot long, s int, block long")
 

@@ -371,6 +371,21 @@ def test_permutations_can_be_walked_back(size):
     assert mixing.permuted(there, np.full(size, size), np.full(size, 9), back=True).tolist() == list(range(size))
 
 
+def test_slots_of_a_hot_source_are_spread(spark):
+    p = mixing.plan([("hot", 90_000_000), ("b", 6_000_000), ("c", 4_000_000)])
+    found = mixing.slots(spark, p).withColumn("task", F.spark_partition_id()).toPandas()
+    for s in range(3):
+        own = found[found["s"] == s].sort_values("slot")
+        k = np.arange(p.slots[s])
+        assert own["slot"].tolist() == k.tolist()
+        want = mixing.permuted(k % p.blocks[s], np.full(len(k), p.blocks[s]), mixing._key(np.full(len(k), s), k // p.blocks[s], p.seed))
+        if p.last[s] >= 0:
+            want[-1] = mixing.CUT_OFF
+        assert own["block"].tolist() == want.tolist()
+    hot = found[found["s"] == int(np.argmax(p.slots))].groupby("task").size()
+    assert len(hot) > 2 and hot.max() < 0.6 * hot.sum()
+
+
 def test_small_sources_keep_their_running_text(spark):
     """Sources of every size are cut at the same 256 words, and what is taken of each is its target."""
     rows = []
