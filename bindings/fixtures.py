@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from gleaner.operators import prepare
 
 _DIALECT = {
-    "spark": {"unix": "unix_seconds(cast({0} as timestamp))", "str": "string"},
-    "duckdb": {"unix": "cast(floor(epoch({0})) as bigint)", "str": "varchar"},
+    "spark": {"unix": "unix_seconds(cast({0} as timestamp))", "str": "string", "list": "array", "each": "explode({0})"},
+    "duckdb": {"unix": "cast(floor(epoch({0})) as bigint)", "str": "varchar", "list": "list_value", "each": "unnest({0})"},
 }
 
 
@@ -105,12 +105,9 @@ def raw_text_reviews(dialect: str, reviews: str = "r_txt") -> str:
   cast(null as {d['str']}) as weighted_vote_score,
   case when developer_response is not null then concat(developer_response, {cr}) end as developer_response,
   app_id"""
-    source = f"(select *, cast(recommendationid as bigint) as k from {reviews})"
-    return f"""
-select k as seq, {body} from {source}
-union all
-select k + 1000000000 as seq, {body} from {source} where k % 10 = 0
-"""
+    numbered = f"(select *, cast(recommendationid as bigint) as k from {reviews})"
+    repeats = d["each"].format(f"case when k % 10 = 0 then {d['list']}(0, 1000000000) else {d['list']}(0) end")
+    return f"select k + shift as seq, {body} from (select *, {repeats} as shift from {numbered})"
 
 
 # ---------------------------------------------------------------- Spark side

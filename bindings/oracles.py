@@ -224,10 +224,10 @@ def ranked(base: str, n: int, gram: int, label: str, where: str = "true") -> str
       from g order by rank limit {n}"""
 
 
-def ranked_by_language(base: str, n: int) -> str:
-    return f"""{base}, g as (select language, term, count(*) as frequency from ({grams(1, 'language,')}) group by language, term)
-      select * from (select language, row_number() over (partition by language order by frequency desc, term) as rank, term as token,
-        frequency, {k1000('frequency', 'sum(frequency) over (partition by language)')} as relative_frequency_per_1000_tokens from g)
+def ranked_by_language(base: str, n: int, gram: int = 1, label: str = "token", where: str = "true") -> str:
+    return f"""{base}, g as (select language, term, count(*) as frequency from ({grams(gram, 'language,')}) where {where} group by language, term)
+      select * from (select language, row_number() over (partition by language order by frequency desc, term) as rank, term as {label},
+        frequency, {k1000('frequency', 'sum(frequency) over (partition by language)')} as relative_frequency_per_1000_{label}s from g)
       where rank <= {n}"""
 
 
@@ -249,14 +249,28 @@ SEG = "(select unnest(['overall', 'positive', 'negative']) as segment)"
 IN_SEG = "(s.segment = 'overall' or (s.segment = 'positive' and t.is_positive) or (s.segment = 'negative' and t.is_negative))"
 
 
-def text_metrics(group: str, chars: bool, share: bool = False) -> str:
-    more = ", round(avg(review_length_chars), 4) as mean_review_length_chars, round(median(review_length_chars), 4) as median_review_length_chars" if chars else ""
+LENGTHS = ", ".join(
+    f"round({f}(review_length_{u}), 4) as {n}_review_length_{u}" for u in ("words", "chars") for n, f in (("mean", "avg"), ("median", "median"))
+)
+WORD_LENGTHS = LENGTHS[: LENGTHS.index(", round(avg(review_length_chars)")]
+
+
+def text_metrics(*group: str, share: bool = False, base: str = TEXT) -> str:
     part = f", {pct('count(*)', '(select count(*) from t)')} as review_percentage" if share else ""
-    return f"""{TEXT}, u as (select {group}, count(distinct term) as unique_tokens from (select {group}, unnest(tokens) as term from t) group by {group})
+    by, same = ", ".join(group), " and ".join(f"u.{g} is not distinct from a.{g}" for g in group)
+    return f"""{base}, u as (select {by}, count(distinct term) as unique_tokens from (select {by}, unnest(tokens) as term from t) group by {by})
       select a.*, u.unique_tokens, round(u.unique_tokens::double / a.total_tokens, 6) as type_token_ratio from (
-        select {group}, count(*) as review_count{part}, sum(token_count)::bigint as total_tokens,
-          round(avg(review_length_words), 4) as mean_review_length_words, round(median(review_length_words), 4) as median_review_length_words{more}
-        from t group by {group}) a join u on u.{group} is not distinct from a.{group}"""
+        select {by}, count(*) as review_count{part}, sum(token_count)::bigint as total_tokens, {WORD_LENGTHS}
+        from t group by {by}) a join u on {same}"""
+
+
+def polarity_by_language(base: str, segment: str, where: str) -> str:
+    """One segment of every language; a language without rows of the segment keeps its row."""
+    return f"""{base} select l.language, '{segment}' as segment, coalesce(a.n, 0) as review_count, coalesce(a.k, 0) as total_tokens, coalesce(u.n, 0) as unique_tokens,
+      round(coalesce(u.n, 0)::double / nullif(coalesce(a.k, 0), 0), 6) as type_token_ratio, a.* exclude (language, n, k)
+      from (select distinct language from t) l
+      left join (select language, count(*) as n, sum(token_count)::bigint as k, {LENGTHS} from t where {where} group by language) a on a.language = l.language
+      left join (select language, count(distinct term) as n from ({grams(1, 'language,')}) where {where} group by language) u on u.language = l.language"""
 
 
 def enriched_emotions() -> str:
@@ -601,8 +615,8 @@ def oracle_sql() -> dict[str, str]:
           round(avg(review_length_words), 4) as mean_review_length_words, round(median(review_length_words), 4) as median_review_length_words,
           round(avg(review_length_chars), 4) as mean_review_length_chars, round(median(review_length_chars), 4) as median_review_length_chars from t where {w}"""
         for s, w in where.items())
-    o["text_by_band"] = text_metrics("playtime_at_review_band", False)
-    o["text_by_language"] = text_metrics("language", False, True)
+    o["text_by_band"] = text_metrics("playtime_at_review_band")
+    o["text_by_language"] = text_metrics("language", share=True)
     o["top_terms_by_language"] = ranked_by_language(TEXT, 100)
     o["distinctive_pos_vs_neg"] = distinctive(TEXT, "positive", "negative", 100)
     o["distinctive_neg_vs_pos"] = distinctive(TEXT, "negative", "positive", 100)
@@ -610,6 +624,13 @@ def oracle_sql() -> dict[str, str]:
     selected = f"{TXT}, t0 as {tokens(L.STOPS)}, t as (select * from t0 where language in (select language from t0 group by language having count(*) >= 130 or {pct('count(*)', '(select count(*) from t0)')} >= 20))"
     o["per_language_top_terms"] = ranked_by_language(selected, 50)
     o["per_language_distinctive"] = distinctive(selected, "positive", "negative", 50, "language")
+    o["per_language_distinctive_negative"] = distinctive(selected, "negative", "positive", 50, "language")
+    for s, w in where.items():
+        if s != "overall":
+            o[f"per_language_unigrams_{s}"] = ranked_by_language(selected, 50, where=w)
+        o[f"per_language_bigrams_{s}"] = ranked_by_language(selected, 50, 2, "bigram", w)
+    o["per_language_by_band"] = text_metrics("language", "playtime_at_review_band", base=selected)
+    o["per_language_by_polarity"] = " union all ".join(f"({polarity_by_language(selected, s, w)})" for s, w in where.items())
     o["slugify"] = f"with {R_TXT} select recommendationid, coalesce(nullif(trim(regexp_replace(lower({strip('review')}), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown') as slug from r_txt"
 
     # G. emotions

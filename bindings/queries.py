@@ -666,6 +666,16 @@ def queries() -> dict[str, Query]:
     n["per_language_top_terms"] = selected(lambda t: text.top_terms_by_language(t, 50))
     n["per_language_distinctive"] = selected(lambda t: text.distinctive_terms(
         text.term_counts(t, 1, ["language"]), "positive", "negative", 50, ["language"]))
+    n["per_language_distinctive_negative"] = selected(lambda t: text.distinctive_terms(
+        text.term_counts(t, 1, ["language"]), "negative", "positive", 50, ["language"]))
+    for s in K.SEGMENTS:
+        if s != "overall":
+            n[f"per_language_unigrams_{s}"] = selected(lambda t, s=s: text.frequency_table(
+                text.term_counts(t, 1, ["language"]), 50, "token", s, ["language"]))
+        n[f"per_language_bigrams_{s}"] = selected(lambda t, s=s: text.frequency_table(
+            text.term_counts(t, 2, ["language"]), 50, "bigram", s, ["language"]))
+    n["per_language_by_polarity"] = selected(lambda t: text.text_by_polarity(t, ["language"]))
+    n["per_language_by_band"] = selected(lambda t: text.text_by_band(t, ["language"]))
     n["slugify"] = over(B.document_reviews, slugs)
 
     n["emotion_subset"] = txt(lambda df: emotions.emotion_subset(df).select("recommendationid", emotions.TOKENS))

@@ -299,13 +299,16 @@ def monthly_polarity_by_band(df: DataFrame, keys: Sequence[str] = ()) -> DataFra
 
 
 def peak_activity(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Busiest day, week and month; the earliest of equals."""
-    peaks = []
-    for label, period in (("day", DAY), ("week", WEEK), ("month", MONTH)):
-        counts = df.groupBy(*keys, period).agg(F.count("recommendationid").alias("n"))
-        best = F.min_by(F.struct(F.col(period), F.col("n")), F.struct(-F.col("n"), F.col(period)))
-        one = counts.groupBy(*keys).agg(best.alias("best"))
-        peaks.append(X.metric_rows(one, keys, {
-            f"peak_{label}_period": F.col(f"best.{period}"), f"peak_{label}_review_count": F.col("best.n"),
-        }))
-    return peaks[0].unionByName(peaks[1]).unionByName(peaks[2])
+    """Busiest day, week and month; the earliest of equals. Rows are counted once, by day; weeks and months add days up."""
+    units = {"day": DAY, "week": WEEK, "month": MONTH}
+    days = df.groupBy(*keys, *units.values()).agg(F.count("recommendationid").alias("n"))
+    each = days.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(unit).alias("unit"), F.col(period).alias("period"), "n") for unit, period in units.items()
+    ])))
+    counts = each.groupBy(*keys, "unit", "period").agg(F.sum("n").alias("n"))
+    one = counts.groupBy(*keys).agg(*[
+        F.min_by(F.struct("period", "n"), F.when(F.col("unit") == unit, F.struct(-F.col("n"), "period"))).alias(unit) for unit in units
+    ])
+    return X.metric_rows(one, keys, {
+        f"peak_{unit}_{name}": F.col(f"{unit}.{c}") for unit in units for name, c in (("period", "period"), ("review_count", "n"))
+    })

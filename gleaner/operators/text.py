@@ -100,13 +100,20 @@ _LENGTHS = {
 }
 
 
-def _sizes(text: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Reviews, tokens, polarity and lengths per group, all from one pass over the texts: it writes a few numbers per row to
-    the checkpoint folder, and the profile reads those."""
-    flags = {f"__{c}": F.col(c).cast("int") for c in ("is_positive", "is_negative") if c in text.columns}
-    columns = ["token_count", "review_length_words", "review_length_chars", *flags]
-    sizes = text.withColumns(flags) if flags else text
-    stats = P.numeric_profile(durable(sizes.select(*group, *columns)), group, columns, [0.5])
+_NUMBERS = ["token_count", "review_length_words", "review_length_chars"]
+_FLAGS = {f"__{c}": c for c in ("is_positive", "is_negative")}
+
+
+def _numbers(text: DataFrame, more: Sequence[str]) -> DataFrame:
+    """A few numbers per row and the columns in `more`, from one pass over the texts, in the checkpoint folder."""
+    flags = {flag: F.col(c).cast("int") for flag, c in _FLAGS.items() if c in text.columns}
+    return durable(text.withColumns(flags).select(*more, *_NUMBERS, *flags))
+
+
+def _sizes(numbers: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Reviews, tokens, polarity and lengths per group of stored `_numbers`."""
+    flags = [flag for flag in _FLAGS if flag in numbers.columns]
+    stats = P.numeric_profile(numbers, group, [*_NUMBERS, *flags], [0.5])
 
     def of(variable: str, stat: str) -> Column:
         return F.max(F.when(F.col("variable") == variable, F.col(stat)))
@@ -117,7 +124,7 @@ def _sizes(text: DataFrame, group: Sequence[str]) -> DataFrame:
     return stats.groupBy(*group).agg(
         whole("token_count", "count_non_null").alias("review_count"),
         whole("token_count", "sum").alias("total_tokens"),
-        *[whole(f"__is_{p}", "sum").alias(f"{p}_review_count") for p in ("positive", "negative") if flags],
+        *[whole(flag, "sum").alias(f"{flag.removeprefix('__is_')}_review_count") for flag in flags],
         *[F.round(of(variable, stat), 4).alias(name) for name, (variable, stat) in _LENGTHS.items()],
     )
 
@@ -131,8 +138,9 @@ def _unique_tokens(text: DataFrame, keys: Sequence[str]) -> DataFrame:
     return terms.groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_tokens"))
 
 
-def _metrics(text: DataFrame, group: Sequence[str]) -> DataFrame:
-    with_unique = X.attach(_sizes(text, group), _unique_tokens(text, group), group, ["unique_tokens"])
+def _metrics(text: DataFrame, group: Sequence[str], numbers: DataFrame | None = None) -> DataFrame:
+    sizes = _sizes(_numbers(text, group) if numbers is None else numbers, group)
+    with_unique = X.attach(sizes, _unique_tokens(text, group), group, ["unique_tokens"])
     return with_unique.withColumn("type_token_ratio", _ttr())
 
 
@@ -161,7 +169,8 @@ def text_corpus_overview(
     """Size, vocabulary and length of the corpus; with scope `by_language` once per language in `keys`."""
     context = [c for c in ("app_id", "game_slug", "game_title") if c in text.columns and c not in keys]
     groups = [k for k in keys if k != "language"]
-    per_language = language_shares(text, groups, context)
+    numbers = _numbers(text, [*groups, "language", *context])
+    per_language = language_shares(numbers, groups, context)
     chosen = F.array_sort(F.collect_list(
         F.when(enough(min_reviews, min_share), F.struct((-F.col("review_count")).alias("n"), "language"))
     ))
@@ -170,7 +179,7 @@ def text_corpus_overview(
         F.array_join(chosen.getField("language"), ", ").alias("selected"),
         *[F.any_value(c, ignoreNulls=True).alias(c) for c in context],
     )
-    one = X.attach(_metrics(text, keys), known, keys, ["languages", "selected", *context])
+    one = X.attach(_metrics(text, keys, numbers), known, keys, ["languages", "selected", *context])
     metrics = {
         "scope": F.lit(scope),
         **{c: F.col(c) for c in context},
@@ -205,7 +214,7 @@ def text_by_polarity(text: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     rows = text.select(*keys, segment, "token_count", "review_length_words", "review_length_chars")
     terms = term_counts(text, 1, keys).groupBy(*keys).agg(*[F.count_if(F.col(s) > 0).alias(s) for s in K.SEGMENTS])
     unique = terms.unpivot(list(keys), K.SEGMENTS, "segment", "unique_tokens")
-    out = X.join_on(X.join_on(all_segments(text, keys), _sizes(rows, group), group), unique, group)
+    out = X.join_on(X.join_on(all_segments(text, keys), _sizes(_numbers(rows, group), group), group), unique, group)
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("review_count", "total_tokens", "unique_tokens")})
     return out.select(*group, "review_count", "total_tokens", "unique_tokens", _ttr().alias("type_token_ratio"), *_LENGTHS)
 

@@ -15,7 +15,7 @@ SAMPLE = [
     "clean_text", "normalise_booleans", "prepare_reviews", "text_lengths", "period_keys", "polarity_summary",
     "numeric_summary", "concentration_summary", "xtab_playtime", "monthly_polarity_trends", "monthly_volume_extended",
     "monthly_playtime", "response_timeline", "peak_activity", "tokenise", "top_bigrams_positive", "text_by_polarity",
-    "distinctive_pos_vs_neg", "per_language_distinctive", "emotion_enrich", "emotion_by_polarity", "theme_enrich",
+    "distinctive_pos_vs_neg", "per_language_distinctive", "per_language_by_polarity", "per_language_bigrams_negative", "emotion_enrich", "emotion_by_polarity", "theme_enrich",
     "theme_top_terms", "fig_language_top5", "cloud_trigrams", "dq_summary", "stream_resume", "stream_weekly_volume", "stream_progress",
     "incremental_bucketed", "stream_lost_state", "stream_progress_log", "theme_phrases_of_tokens", "emotion_enrich_by_join", "json_whole_rows",
     "rejected_pages", "combined_in_one_job", "settings_top_unigrams", "weekly_playtime_from_days", "monthly_volume_from_days",
