@@ -7,6 +7,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -53,6 +54,24 @@ def test_multi_index_against_brute_force(vectors):
     assert (single["vec_id"].fillna(-1) == single["component_id"].fillna(-1)).all()
 
 
+def test_multi_index_recall_over_many_cells(spark):
+    """Vectors without groups of their own, each third one with a neighbour just above the threshold: the hardest case for cells."""
+    rng = np.random.default_rng(11)
+    first = rng.standard_normal((15_000, 64))
+    first /= np.linalg.norm(first, axis=1, keepdims=True)
+    noise = rng.standard_normal((5_000, 64))
+    noise -= (noise * first[:5_000]).sum(axis=1, keepdims=True) * first[:5_000]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = rng.choice([0.932, 0.94, 0.96], 5_000)[:, None]
+    unit = np.concatenate([first, cosine * first[:5_000] + np.sqrt(1 - cosine**2) * noise])
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(unit)), "embedding": unit.tolist(), "label": 0}), "vec_id long, embedding array<double>, label int")
+    assert len(multi_index.fit(unit, len(unit), 0.93, 0.99).first) ** 2 > 100
+    want = sum(int((unit[i: i + 2_000] @ unit.T >= 0.93).sum()) for i in range(0, len(unit), 2_000)) - len(unit)
+    got = multi_index.near_duplicates(table).agg({"n_links": "sum"}).first()[0]
+    print(f"links {got} of {want}")
+    assert want >= 10_000 and 0.98 * want <= got <= want
+
+
 def test_scores_are_exact_whatever_the_size_of_a_query(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.integers(-2000, 2000, 8)], 0, 0.5) for i in range(1, 50)]
