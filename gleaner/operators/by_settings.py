@@ -69,7 +69,7 @@ def of_selected_languages(corpus: DataFrame, settings: DataFrame, key: str = PRO
     """The texts in languages that have enough reviews, or a large enough share, by their product's own bounds."""
     languages = with_settings(text.language_shares(corpus, [key]), settings, ["min_reviews_per_language", "min_share_per_language"], key)
     chosen = languages.filter(text.enough(F.col("__min_reviews_per_language"), F.col("__min_share_per_language")))
-    return X.join_on(corpus, chosen.select(key, "language"), [key, "language"], "left_semi")
+    return text.in_chosen(corpus, chosen.select(key, "language"), nulls=True)
 
 
 def frequency_table(
