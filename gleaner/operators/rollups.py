@@ -43,11 +43,14 @@ def daily_ids(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -
 
     Values are whole numbers of 64 bits, as numbers or spelled out; anything else is an error, null is no value. A bitmap takes
     4 KB in memory however few of its numbers occur (little of it when stored), so this is for ids that lie close together.
+    Numbers are shuffled, not bitmaps: first their repeats go, then each bitmap's at most 32,768 numbers meet and are set in one
+    task, which holds sorted numbers and the one bitmap that it fills.
     """
     ids = df.select(*keys, T.DAY, *[F.col(c).cast("bigint").alias(c) for c in columns])
     long = ids.unpivot([*keys, T.DAY], list(columns), "variable", "value").filter(F.col("value").isNotNull())
-    bucket = F.bitmap_bucket_number("value").alias("bucket")
-    return long.groupBy(*keys, T.DAY, "variable", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("value")).alias("bits"))
+    group = [*keys, T.DAY, "variable", "bucket"]
+    once = long.distinct().select(*keys, T.DAY, "variable", F.bitmap_bucket_number("value").alias("bucket"), F.bitmap_bit_position("value").alias("place"))
+    return once.repartition(*group).groupBy(*group).agg(F.bitmap_construct_agg("place").alias("bits"))
 
 
 def daily_sketches(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), lg: int = SKETCH_LG) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import by_settings as BS
-from gleaner.operators import text
+from gleaner.operators import rollups, temporal, text
 
 
 @pytest.fixture
@@ -50,3 +50,14 @@ def test_a_selected_language_does_not_meet_in_one_task(spark, by_shuffle, monkey
     known = {tuple(r) for r in expected.collect()}
     assert sorted(r.id for r in by_settings.collect()) == sorted(r.id for r in rows.collect() if (r.app_id, r.language) in known)
     assert _largest(by_settings) < 200
+
+
+def test_only_numbers_are_shuffled_for_bitmaps(spark, by_shuffle):
+    df = spark.range(0, 20_000, 1, 8).select(F.concat(F.lit("2024-01-0"), F.col("id") % 10_000 % 2 + 1).alias(temporal.DAY), (F.col("id") % 10_000 * 7).cast("string").alias("person"))
+    days = rollups.daily_ids(df, ["person"])
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    lines = [x.strip(" :+-*()0123456789") for x in plan.splitlines()]
+    shuffles = [i for i, x in enumerate(lines) if x.startswith("Exchange")]
+    made = [i for i, x in enumerate(lines) if "bitmap_construct_agg" in x]
+    assert len(shuffles) == 2 and max(made) < min(shuffles)  # plans are printed from the result down
+    assert rollups.distinct_ids(days).first()["distinct"] == 10_000
