@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import words as W
-from gleaner.llm.storage import set_apart, shuffle_width, written
+from gleaner.llm.storage import lean, set_apart, shuffle_width, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block; only the last one of a source is shorter.
@@ -262,7 +262,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0
                 yield from out.select([*names, "__s", "__block"]).combine_chunks().to_batches()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __s int, __block long"
-    pieces = rows.drop("__size").join(placed, "__row").mapInArrow(cut, schema)
+    pieces = rows.drop("__size").join(placed, "__row").mapInArrow(lean(cut), schema)
     mixed = pieces.join(slots(spark, p).select(F.col("s").alias("__s"), F.col("block").alias("__block")), ["__s", "__block"]).select(*names)
     mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else mixed
     return mixed.toDF(*given)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import words as W
 from gleaner.llm.graph import components
-from gleaner.llm.storage import bounded_batches, set_apart, shuffle_width, written
+from gleaner.llm.storage import bounded_batches, lean, set_apart, shuffle_width, written
 from gleaner.llm.vectors import groups
 
 #: Shingles of this many texts or more form one frequency class; it is also the size from which a batch combines them.
@@ -370,9 +370,9 @@ def _groups(texts: DataFrame, similarity: float, width: int, fragments: int | No
     per_mille = round(1000 * similarity)
     source = texts.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    made = source.mapInArrow(lambda x: shingle_rows(x, fragments, width, per_mille), ROWS)
+    made = source.mapInArrow(lean(lambda x: shingle_rows(x, fragments, width, per_mille)), ROWS)
     # the fragment's number is its partition; other rows only pass
-    parts = made.repartition(fragments, "key").mapInArrow(lambda x: fragment_rows(x, fragments, per_mille), ROWS)
+    parts = made.repartition(fragments, "key").mapInArrow(lean(lambda x: fragment_rows(x, fragments, per_mille)), ROWS)
     parts = written(parts, "fragments", row_group=ROW_GROUP)
     ids = parts.filter("kind = 3").select(F.col("u").alias("__row"), "doc_id", F.col("nu").alias("n"), "k0", "k1")
 

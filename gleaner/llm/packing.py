@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import ranks
 from gleaner.llm import words as W
-from gleaner.llm.storage import bounded_batches, written
+from gleaner.llm.storage import bounded_batches, lean, written
 from gleaner.llm.tokens import memo, with_end
 
 BATCH_BYTES = 2 << 20
@@ -44,7 +44,7 @@ def tokenised(docs: DataFrame, path: str, spaces: str, end_id: int) -> DataFrame
             )
             before += int(ends[-1])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "part int, before long, doc_id long, doc_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(encode), "part int, before long, doc_id long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, spaces: str = "dropped", end_id: int = 2, window: int = 4096) -> DataFrame:

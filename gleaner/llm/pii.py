@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import words as W
-from gleaner.llm.storage import written
+from gleaner.llm.storage import lean, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("form", "gazetteer", "context", "surroundings")
@@ -159,7 +159,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "base", "kinds", "starts", "ends", "votes"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(find, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(lean(find), FOUND)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -288,5 +288,5 @@ def redact(docs: DataFrame) -> DataFrame:
             out = table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             yield from out.combine_chunks().to_batches()
 
-    out = docs.mapInArrow(replace, docs.schema)
+    out = docs.mapInArrow(lean(replace), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import words as W
-from gleaner.llm.storage import written
+from gleaner.llm.storage import lean, written
 
 BATCH_BYTES = 2 << 20
 #: Classes of bytes that statistics count; the last number is for bytes beyond ASCII.
@@ -72,7 +72,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(0, stats.size + 1, N_STATS, dtype=np.int32), pa.array(stats.ravel()))
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), lists], names=["doc_id", "stats"])
 
-    return docs.select("doc_id", "text").mapInArrow(compute, "doc_id long, stats array<double>")
+    return docs.select("doc_id", "text").mapInArrow(lean(compute), "doc_id long, stats array<double>")
 
 
 @dataclass
@@ -192,4 +192,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
             good = model.score(text_statistics(*W.utf8(table["text"]))) >= threshold
             yield from table.filter(pa.array(good)).to_batches()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gleaner.llm import language_id, mixing, ngram_join, packing, pii, quality, ranks, token_store
+from gleaner.llm import language_id, mixing, ngram_join, packing, pii, quality, ranks, storage, token_store
 from gleaner.llm import words as W
 from gleaner.llm.tokens import WordMemo
 
@@ -57,6 +57,17 @@ def test_merges_by_bytes_give_the_tokenizers_ids(spark, sf_dir):
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x[:-1] for x in encode(WORD_BPE, texts, 0)]
 
 
+def test_a_task_gives_its_free_memory_back(monkeypatch):
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    monkeypatch.setattr(storage.pa, "default_memory_pool", Pool)
+    assert list(storage.lean(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and Pool.released == 1
+
+
 def test_merges_that_depend_on_more_than_bytes_are_told(tmp_path):
     with open(WORD_BPE, encoding="utf-8") as f:
         tokenizer = json.load(f)
