@@ -1,6 +1,7 @@
-"""Byte-pair merges of a vocabulary with word ends, as ranks of byte strings, so that many words are encoded in one call.
+"""Byte-pair merges of a vocabulary as ranks of byte strings, so that many words are encoded in one call.
 
-A word is followed by a blank that stands for its end. The blank joins the last byte before any other merge; after that, pairs
+In a vocabulary with word ends, a word is followed by a blank that stands for its end, which joins the last byte before any
+other merge; in one without, a blank before the word is a byte of it. After that, pairs
 merge by the rank of the bytes they make, not by the rank of the pair. Both give the same ids if every token of the vocabulary,
 taken alone, is merged into itself: what happens inside the bytes of a token depends on these bytes only, as long as nothing
 merges across their border, so two neighbours that make a token's bytes are the pair that the vocabulary merges.
@@ -19,6 +20,8 @@ VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: chr(b) for b in VISIBLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in VISIBLE)}
 #: Words are sequences of anything but blanks, each with its end.
 WORDS = r"[^ ]+ "
+#: A blank and letters, or marks.
+SPACED = r" [^ .,;:!?]+|[.,;:!?]+"
 
 
 @lru_cache(maxsize=2)
@@ -60,6 +63,20 @@ def by_bytes(path: str) -> bool:
     return True
 
 
+@lru_cache(maxsize=2)
+def spaced_by_bytes(path: str) -> bool:
+    """The same for a vocabulary without word ends."""
+    model = _model(path)
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return False
+    pairs, vocab, byte_of = _pairs(model), model["vocab"], _byte_of()
+    merged = [a + b for a, b in pairs]
+    ranks = {p: i for i, p in enumerate(pairs)}
+    if len({*merged, *BYTES.values()}) < len(merged) + len(BYTES) or not all(t in vocab for t in [*merged, *BYTES.values()]):
+        return False
+    return all(all(c in byte_of for c in token) and _alone([*token], ranks) == [token] for token in merged)
+
+
 @lru_cache(maxsize=1)
 def _byte_of() -> dict[str, int]:
     return {c: b for b, c in BYTES.items()}
@@ -76,3 +93,14 @@ def encoding(path: str):
     raw = [bytes(map(byte_of.__getitem__, b)) + b" " * (t != b) for t, b in zip(tokens, bodies)]
     encoder = tiktoken.Encoding("words", pat_str=WORDS, mergeable_ranks={r: i for i, r in enumerate(raw)}, special_tokens={})
     return encoder, np.array([model["vocab"][t] for t in tokens], np.uint32), np.array([t != b for t, b in zip(tokens, bodies)])
+
+
+def spaced_encoding(path: str):
+    """The encoder of words that follow a blank, the vocabulary's ids by its numbers, and which numbers begin a word."""
+    import tiktoken
+
+    model, byte_of = _model(path), _byte_of()
+    tokens = [*BYTES.values(), *(a + b for a, b in _pairs(model))]
+    raw = [bytes(map(byte_of.__getitem__, t)) for t in tokens]
+    encoder = tiktoken.Encoding("spaced words", pat_str=SPACED, mergeable_ranks={r: i for i, r in enumerate(raw)}, special_tokens={})
+    return encoder, np.array([model["vocab"][t] for t in tokens], np.uint32), np.array([r[0] == 32 for r in raw])

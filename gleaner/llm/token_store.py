@@ -27,8 +27,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm import ranks
 from gleaner.llm import words as W
-from gleaner.llm.storage import new_folder, shuffle_width
+from gleaner.llm.storage import lean, new_folder, shuffle_width
 from gleaner.llm.tokens import memo, with_end
 
 MAGIC, LEVELS, ROOM = 0x314B4F5453, 32, 2
@@ -153,12 +154,13 @@ def write(docs: DataFrame, path: str, spaces: str = "leading", end_id: int = 0,
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-store")
+    fast = spaces == "leading" and ranks.spaced_by_bytes(path)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
         name, ids, counts, empty_ids, out = f"shard-{uuid.uuid4().hex}", [], [], 0, None
-        tokens = memo(path, spaces)
+        tokens = memo(path, spaces, fast)
         kind = np.dtype("<u2" if max(tokens.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4")
         for table in W.by_bytes(batches, "text", BATCH_BYTES):
             out = out or fs.open_output_stream(f"{root}/{name}.bin")
@@ -183,7 +185,7 @@ def write(docs: DataFrame, path: str, spaces: str = "leading", end_id: int = 0,
     # the second key spreads an id that very many rows have
     spread = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     ordered = spread.repartitionByRange(shards or shuffle_width(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row")
-    ordered.select("doc_id", "text").mapInArrow(store, MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered.select("doc_id", "text").mapInArrow(lean(store), MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
 

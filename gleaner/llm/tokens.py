@@ -21,6 +21,9 @@ ENCODE_AT_ONCE = 4096
 #: A line break, Latin letters that have one lower-case form of one code point, marks; a blank marks a first word.
 PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*) ?")
 
+#: Such a word with a space before it.
+SPACED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]*")
+
 def _as_bytes(text: str) -> str:
     return text if text.isascii() else text.encode().decode("latin-1").translate(BYTES)
 
@@ -42,7 +45,7 @@ class WordMemo:
     Byte-pair merges never cross the boundaries of the tokenizer's first split. For `spaces="dropped"` (white space only
     separates) those include every run of white space. For `spaces="leading"` (a space belongs to the word after it) they
     include every single space or line break between two words. Texts in which other white space occurs are encoded whole.
-    `by_bytes` says that `ranks.by_bytes` holds for the vocabulary.
+    `by_bytes` says that `ranks.by_bytes` (for leading spaces `ranks.spaced_by_bytes`) holds for the vocabulary.
     """
 
     def __init__(self, path: str, spaces: str, by_bytes: bool = False):
@@ -53,7 +56,7 @@ class WordMemo:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.leading = {"leading": True, "dropped": False}[spaces]
-        self.encoder = ranks.encoding(path) if by_bytes and not self.leading else None
+        self.encoder = (ranks.spaced_encoding if self.leading else ranks.encoding)(path) if by_bytes else None
         self._clear()
 
     def _clear(self) -> None:
@@ -114,8 +117,21 @@ class WordMemo:
             self.place.update(zip(chosen, self._add(numbers[found], np.diff(last, prepend=-1))))
         return [w for w, p in zip(words, plain) if not p]
 
+    def _learn_spaced(self, words: list[str]) -> list[str]:
+        """The same where spaces lead, for words with a space before them."""
+        encoder, numbers, begins = self.encoder
+        plain = [len(w) <= LONGEST and SPACED.fullmatch(w) is not None for w in words]
+        chosen = list(compress(words, plain))
+        if chosen:
+            found = np.array(encoder.encode_ordinary(" " + " ".join(chosen)), np.int64)
+            first = np.flatnonzero(begins[found])
+            self.place.update(zip(chosen, self._add(numbers[found], np.diff(first, append=len(found)))))
+        return [w for w, p in zip(words, plain) if not p]
+
     def _learn(self, words: list[str]) -> None:
-        if self.encoder:
+        if self.encoder and self.leading:
+            words = self._learn_spaced(words)
+        elif self.encoder:
             rest = self._learn_plain(words)
             self.place.update(zip(rest, self._store(rest)))
             return

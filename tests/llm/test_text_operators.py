@@ -57,6 +57,20 @@ def test_merges_by_bytes_give_the_tokenizers_ids(spark, sf_dir):
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x[:-1] for x in encode(WORD_BPE, texts, 0)]
 
 
+def test_spaced_words_in_one_call_give_the_tokenizers_ids(spark, sf_dir, monkeypatch):
+    assert ranks.spaced_by_bytes(BYTE_BPE) and not ranks.spaced_by_bytes(WORD_BPE)
+    letters = list("abcdefghijklmnopqrstuvwxyzAEORTéèüñßÖ")
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(letters, n)) + str(rng.choice(["", ".", ",", "?!", "...", "'s", "7"])) for n in rng.integers(1, 40, 20_000)]
+    texts = [" ".join(words[i: i + 50]) + "\nnext" for i in range(0, len(words), 50)] + AWKWARD
+    texts += [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(2000).collect()]
+    memo, singly = WordMemo(BYTE_BPE, "leading", True), []
+    monkeypatch.setattr(memo, "_plain", lambda word: singly.append(word) or WordMemo._plain(memo, word))
+    ids, n = memo.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x[:-1] for x in encode(BYTE_BPE, texts, 0)]
+    assert not any(w.isascii() and w.isalpha() and len(w) <= 200 for w in singly)  # none is left to be encoded by itself
+
+
 def test_a_task_gives_its_free_memory_back(monkeypatch):
     class Pool:
         released = 0
