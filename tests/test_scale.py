@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from bindings import queries as Q
 from gleaner.operators import by_settings as BS
 from gleaner.operators import rollups, temporal, text
 
@@ -61,3 +62,8 @@ def test_only_numbers_are_shuffled_for_bitmaps(spark, by_shuffle):
     made = [i for i, x in enumerate(lines) if "bitmap_construct_agg" in x]
     assert len(shuffles) == 2 and max(made) < min(shuffles)  # plans are printed from the result down
     assert rollups.distinct_ids(days).first()["distinct"] == 10_000
+
+
+def test_figures_share_the_rows_they_are_made_of(spark, sf_dir):
+    plan = Q.figure_index(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # texts have been tokenised before, once per kind of rows
