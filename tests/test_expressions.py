@@ -50,6 +50,11 @@ def test_clean_text(spark, text, want):
     assert one(spark, text, "string", X.clean_text) == want
 
 
+@pytest.mark.parametrize("text,want", [("", 0), (" \t", 0), ("a", 1), ("\x1ca\x1d\x1eb\u3000", 2), (" a\u200bb  c\x85", 2), ("\U0001f600 \xa0!", 2), (None, None)])
+def test_word_count(spark, text, want):
+    assert one(spark, text, "string", X.word_count) == want
+
+
 @pytest.mark.parametrize("day,want", [
     ("2023-11-07", "2023-11-07/2023-11-13"), ("2023-11-13", "2023-11-07/2023-11-13"), ("2023-11-14", "2023-11-14/2023-11-20"),
 ])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bindings import queries as Q
 from gleaner.operators import by_settings as BS
-from gleaner.operators import rollups, temporal, text
+from gleaner.operators import prepare, rollups, temporal, text
 
 
 @pytest.fixture
@@ -67,3 +67,16 @@ def test_only_numbers_are_shuffled_for_bitmaps(spark, by_shuffle):
 def test_figures_share_the_rows_they_are_made_of(spark, sf_dir):
     plan = Q.figure_index(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan  # texts have been tokenised before, once per kind of rows
+
+
+def test_an_overview_tokenises_the_texts_once(spark):
+    rows = spark.createDataFrame(
+        [(1, "english", "good good game day", True), (1, "english", "bad\x1cday", False), (1, "french", "  ", True)],
+        "app_id long, language string, review string, is_positive boolean",
+    ).withColumn("is_negative", ~F.col("is_positive"))
+    corpus = text.text_subset(prepare.add_lengths(rows), 2, ["game"])
+    overview = text.text_corpus_overview(corpus, ["language"], scope="by_language")
+    # the stored rows have the vocabulary, so no pattern is left in what follows
+    assert "regexp_extract_all" not in overview._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.metric: r.value for r in overview.filter("language = 'english'").collect()}
+    assert (found["total_tokens"], found["total_unique_tokens"], found["average_review_length_words"]) == ("5", "3", "3.0")
