@@ -80,3 +80,18 @@ def test_an_overview_tokenises_the_texts_once(spark):
     assert "regexp_extract_all" not in overview._jdf.queryExecution().optimizedPlan().toString()
     found = {r.metric: r.value for r in overview.filter("language = 'english'").collect()}
     assert (found["total_tokens"], found["total_unique_tokens"], found["average_review_length_words"]) == ("5", "3", "3.0")
+
+
+def test_ngrams_are_counted_in_parts_of_a_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "TASK_BYTES", 200, raising=False)
+    docs = spark.range(0, 101, 1, 1).selectExpr(
+        "id as doc_id", "case when id % 2 = 0 then 'en' else 'fr' end as lang", "case when id < 100 then concat('good little words ', id) end as text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("select cast(1 as bigint) as doc_id, 1 as quality").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.sql("select cast(1 as bigint) as o_orderkey, cast(1 as bigint) as o_custkey, '1-URGENT' as o_orderpriority, 'F' as o_orderstatus, date'2024-01-01' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("select cast(1 as bigint) as l_orderkey, 1.0 as l_quantity, date'2024-01-02' as l_shipdate, 'R' as l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    queries = Q.queries()
+    for name, first in (("top_trigrams", ("good little words", 100)), ("per_language_bigrams_overall", ("good little", 50))):
+        found = queries[name](spark, str(tmp_path))
+        assert "Repartition 10, true" in found._jdf.queryExecution().optimizedPlan().toString()  # 1,990 bytes of text
+        assert tuple(found.filter("rank = 1").first()[found.columns.index("rank") + 1:][:2]) == first
