@@ -95,3 +95,11 @@ def test_ngrams_are_counted_in_parts_of_a_bounded_size(spark, tmp_path, monkeypa
         found = queries[name](spark, str(tmp_path))
         assert "Repartition 10, true" in found._jdf.queryExecution().optimizedPlan().toString()  # 1,990 bytes of text
         assert tuple(found.filter("rank = 1").first()[found.columns.index("rank") + 1:][:2]) == first
+
+
+def test_single_words_of_languages_are_counted_in_stored_rows(spark, sf_dir):
+    names = [n for n in Q.queries() if n.startswith("per_language_") and "bigrams" not in n and n != "per_language_overview"]
+    assert len(names) == 7
+    for name in names:
+        plan = Q.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan, name  # else each pass joins and tokenises the texts anew
