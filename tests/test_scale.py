@@ -103,3 +103,18 @@ def test_single_words_of_languages_are_counted_in_stored_rows(spark, sf_dir):
     for name in names:
         plan = Q.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp_extract_all" not in plan, name  # else each pass joins and tokenises the texts anew
+
+
+def test_terms_of_a_language_do_not_meet_in_one_task(spark, by_shuffle):
+    known = F.col("id") % 41 != 0
+    language = F.when(known, "english")  # a null key has totals of its own
+    rows = spark.range(0, 410, 1, 8).select(language.alias("language"), F.concat(F.lit("w"), F.col("id")).alias("term"),
+                                            F.lit(1).alias("positive"), (F.col("id") % 2).alias("negative"))
+    counted = text._with_totals(rows, ["language"], __a="positive", __b="negative")
+    assert sorted(counted.columns) == sorted([*rows.columns, "__a", "__b"]) and _largest(counted) < 200
+    assert {(r.language, r["__a"], r["__b"]) for r in counted.collect()} == {("english", 400, 200), (None, 10, 5)}
+    assert counted.count() == 410
+    ranked = text.distinctive_terms(rows, "positive", "negative", 3, ["language"])
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan[plan.index(", Final"):plan.index(", Partial")]  # the first are taken before the shuffle, too
+    assert [r.token for r in ranked.filter("language is not null").collect()] == ["w10", "w100", "w102"]
